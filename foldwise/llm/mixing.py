@@ -57,7 +57,7 @@ def _pair(acc: Column, x: Column, seed: int) -> Column:
         done = F.when(a_done, F.struct(a["id"].alias("id"), a["size"].alias("size"), (a["base"] + to_a.cast("int")).alias("copies"))).otherwise(
             F.struct(x["id"].alias("id"), x["size"].alias("size"), (x["base"] + (~to_a).cast("int")).alias("copies"))
         )
-        rest = lambda s, p: F.struct(s["h"].alias("h"), s["id"].alias("id"), s["size"].alias("size"), p.alias("p"), s["base"].alias("base"))
+        rest = lambda s, p: F.struct(s["o"].alias("o"), s["h"].alias("h"), s["id"].alias("id"), s["size"].alias("size"), p.alias("p"), s["base"].alias("base"))
         left = F.when(a_done, rest(x, inside(x["p"] - move / x["size"]))).otherwise(rest(a, inside(a["p"] + move / a["size"])))
         return F.struct(left.alias("open"), F.array_append(acc["done"], done).alias("done"))
 
@@ -67,14 +67,14 @@ def _pair(acc: Column, x: Column, seed: int) -> Column:
     return F.when(a.isNull(), first).otherwise(let(chances, moved))
 
 
-ITEM = "struct<h:bigint,id:bigint,size:bigint,p:double,base:int>"
+ITEM = "struct<o:bigint,h:bigint,id:bigint,size:bigint,p:double,base:int>"
 DONE = "array<struct<id:bigint,size:bigint,copies:int>>"
 
 
 def _level(rows: DataFrame, seed: int) -> DataFrame:
-    """Round each block of a source; the last open document of the block goes on."""
+    """Round each block of a source, large documents first; the last open document of the block goes on."""
     start = F.struct(F.lit(None).cast(ITEM).alias("open"), F.array().cast(DONE).alias("done"))
-    blocks = rows.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("h", "id", "size", "p", "base"))).alias("items"))
+    blocks = rows.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("o"), "h", "id", "size", "p", "base"))).alias("items"))
     return written(blocks.select("source", "block", F.aggregate("items", start, lambda acc, x: _pair(acc, x, seed)).alias("r")), "mix-level")
 
 
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     while blocks:
         done = _level(level, seed + step)
         parts.append(done.select("source", F.inline("r.done")))
-        level = done.where("r.open is not null").select("source", F.floor(F.col("block") / BLOCK).alias("block"), "r.open.*")
+        level = done.where("r.open is not null").select("source", F.floor(F.col("block") / BLOCK).alias("block"), "r.open.*").drop("o")
         blocks, step = (0 if blocks == 1 else math.ceil(blocks / BLOCK)), step + 1
     if step:
         last = F.pmod(F.xxhash64("id", "h", F.lit(seed + step)), F.lit(1 << 30)) / float(1 << 30) < F.col("p")
