@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import dart_minhash, exact_dedup, mixing, packing, quality_cnn
+from foldwise.llm import dart_minhash, exact_dedup, mixing, packing, quality_cnn, scaled_sketch, secret_scan
 from foldwise.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,9 +46,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_secret_scan": op3_secret_scan,
         "op4_dart_minhash": op4_dart_minhash,
         "op5_pivotal_mix": op5_pivotal_mix,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op8_scaled_sketch": op8_scaled_sketch,
         "op10_quality_cnn": op10_quality_cnn,
         "pipeline": pipeline,
     }
