@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import dart_minhash, exact_dedup, mixing, packing, quality_cnn, scaled_sketch, secret_scan
+from foldwise.llm import dart_minhash, exact_dedup, mixing, packing, pii_feistel, quality_cnn, scaled_sketch, secret_scan, suffix_dedup
 from foldwise.llm.common import table
 
 
+def op1_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_feistel.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_sketch.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,12 +53,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_pii_feistel": op1_pii_feistel,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_secret_scan": op3_secret_scan,
         "op4_dart_minhash": op4_dart_minhash,
         "op5_pivotal_mix": op5_pivotal_mix,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_scaled_sketch": op8_scaled_sketch,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality_cnn": op10_quality_cnn,
         "pipeline": pipeline,
     }
