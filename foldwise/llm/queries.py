@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import dart_minhash, exact_dedup, mixing, packing, pii_feistel, quality_cnn, scaled_sketch, secret_scan, suffix_dedup
+from foldwise.llm import dart_minhash, exact_dedup, mixing, packing, pii_feistel, quality_cnn, scaled_sketch, secret_scan, suffix_dedup, warc_derivatives
 from foldwise.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derivatives.derivatives(warc_derivatives.responses(table(spark, sf_dir, "pages")))
+
+
 def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_sketch.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict:
         "op4_dart_minhash": op4_dart_minhash,
         "op5_pivotal_mix": op5_pivotal_mix,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_warc_derivatives": op7_warc_derivatives,
         "op8_scaled_sketch": op8_scaled_sketch,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality_cnn": op10_quality_cnn,
