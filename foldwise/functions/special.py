@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _N = NormalDist()
 
@@ -54,19 +55,19 @@ def t_sf(t: float, df: float) -> float:
     return tail if t >= 0 else 1 - tail
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf_col(x: pd.Series) -> pd.Series:
     return x.map(normal_cdf, na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_ppf_col(p: pd.Series) -> pd.Series:
     """Quantiles of the standard normal; 0 and 1 are brought just inside."""
     q = p.clip(1e-16, 1 - 1e-16)
     return q.map(normal_ppf, na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_sf_col(t: pd.Series, df: pd.Series) -> pd.Series:
     out = [t_sf(a, b) if np.isfinite(a) and b > 0 else np.nan for a, b in zip(t, df)]
     return pd.Series(out, dtype="float64")

@@ -20,9 +20,8 @@ from foldwise.llm.common import text_of, written
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: 24 bands of 5: a pair at 0.8 shares a band with probability 0.9999, one at 0.3 with 0.06.
 BANDS, BAND_ROWS = 24, 5
-#: Buckets up to this size are paired in full; larger ones through leaders (see near_links).
-SMALL_BUCKET = 16
-LEADERS = 4
+#: Leaders of a bucket grow by this factor each round; buckets with no more texts than leaders are paired in full.
+LEADERS = 16
 #: Documents whose darts are thrown together.
 DOCS_AT_ONCE = 64
 
@@ -175,14 +174,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Membership ``doc_id, rep`` and verified links ``a, b`` between representatives of different texts.
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct pairs of texts in one bucket: ``key, rep`` with ``key, lead``, and components if both have them."""
+    both = left.join(right, "key").where("rep <> lead")
+    if "comp" in left.columns:
+        both = both.where("comp <> lead_comp")
+    return both.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
 
-    Rows with the same shingles share a representative (the smallest id), so copies of any number are one text.
-    Buckets of a band up to SMALL_BUCKET texts are paired in full. A larger bucket compares its texts with
-    LEADERS leaders; those that link to none are strays and are compared with new leaders among themselves,
-    twice as many each round, until every stray has led or linked. So a bucket of texts alike costs a few
-    comparisons a text, and strays are compared in full with each other.
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Membership ``doc_id, rep``, and ``id, label``: the connected component of representatives that have links.
+
+    Rows with the same shingles share a representative (the smallest id), so copies of any number are one text. All
+    links are verified on the texts' full shingles. First each text of a bucket meets one leader, and components
+    are formed; within a component no more needs comparing. In each later round the strays of a bucket, those
+    outside its largest component, meet LEADERS times as many leaders of other components. A bucket with no
+    more texts than leaders is then compared in full across its components, so in the end every bucket is, and
+    none ever pairs the texts that are known to belong together.
     """
     sig = written(sketches(docs, id_col, text_col), "sketches")
     texts = sig.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
@@ -192,55 +200,51 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = written(rows.join(full, "key").select("key", "rep", "n"), "buckets")
     ids = rows.select(F.col("rep").alias("__fw_rep")).distinct()
-    candidates = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id") == F.col("__fw_rep"), "left_semi")
+    candidates = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # the same plan at every size, a shuffle by id
+    candidates = candidates.join(ids.hint("merge"), F.col("id") == F.col("__fw_rep"), "left_semi")
     cells = written(_cells(candidates, "id", "text").dropDuplicates(["id"]), "cells")
 
-    small = rows.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("m"))
-    small = small.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
-    open_rows, leaders, seen, links = rows.where(F.col("n") > SMALL_BUCKET).select("key", "rep"), LEADERS, 0, []
-    pairs = small.distinct()
-    while True:
-        order = F.xxhash64("key", "rep", F.lit(seen))
-        # leaders: the first by hash in each of so many parts of the bucket
-        part = F.pmod(F.xxhash64("rep", F.lit(seen)), F.lit(leaders))
-        lead = written(open_rows.groupBy("key", part.alias("part")).agg(F.min_by("rep", order).alias("lead")).drop("part"), "leaders")
-        star = open_rows.join(lead, "key").where("rep <> lead")
-        star = star.select("key", F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"), "rep")
-        ask = pairs.unionByName(star.select("a", "b")).distinct() if seen == 0 else star.select("a", "b").distinct()
-        found = written(_verified(ask, cells, similarity), "links")
-        links.append(found)
-        linked = star.join(found, ["a", "b"]).select("key", "rep").distinct()
-        led = lead.select("key", F.col("lead").alias("rep"))
-        open_rows = written(open_rows.join(linked.unionByName(led), ["key", "rep"], "left_anti"), "strays")
-        seen, leaders = seen + 1, leaders * 2
-        if open_rows.limit(1).count() == 0:
-            break
-    out = links[0]
-    for part in links[1:]:
-        out = out.unionByName(part)
-    return members, written(out.distinct(), "near-links")
+    most = rows.agg(F.max("n")).first()[0] or 0
+    lead = rows.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("lead"))
+    links = written(_verified(_pairs(rows, lead), cells, similarity), "links")
+    labels, leaders, done = components(links), LEADERS, 1
+    while done < most:
+        known = labels.select(F.col("id").alias("rep"), "label")
+        cur = rows.where(F.col("n") > done).join(known, "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("comp"))
+        sizes = cur.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "main")
+        cur = written(cur.join(main, "key"), "open")
+        strays = cur.where("comp <> main").select("key", "rep", "comp")
+        part = F.pmod(F.xxhash64("rep", F.lit(leaders)), F.lit(leaders))
+        some = cur.where(F.col("n") > leaders).groupBy("key", part.alias("part"))
+        some = some.agg(F.min_by(F.struct(F.col("rep").alias("lead"), F.col("comp").alias("lead_comp")), F.xxhash64("key", "rep")).alias("l")).select("key", "l.*")
+        every = cur.where(F.col("n") <= leaders).select("key", F.col("rep").alias("lead"), F.col("comp").alias("lead_comp"))
+        found = written(_verified(_pairs(strays, every.unionByName(some)), cells, similarity), "links")
+        if found.limit(1).count():
+            links = written(links.unionByName(found), "links")
+            labels = components(links)
+        done, leaders = leaders, leaders * LEADERS
+    return members, labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, rep_id, n_links, kept``: one row per input row.
+    """``doc_id, class_id, rep_id, kept``: one row per input row.
 
     ``class_id`` is the smallest id of the connected component of links with weighted Jaccard similarity of
-    five-word shingles (lower case, split at white space) of at least ``similarity``; ``n_links`` counts the
-    links of the row's text to different texts. The smallest id of a class is kept.
+    five-word shingles (lower case, split at white space) of at least ``similarity``; ``rep_id`` is the smallest id
+    with the same shingles. The smallest id of a class is kept.
 
     Null and empty texts have no words and are one class of copies. A text of fewer than five words is one
     shingle. Rows that repeat an id are in the class of each of their texts' representatives, each by its own
     text. A null id is in the class of its text's copies, and a class of null ids only has a null class_id and
-    keeps them. An empty table gives an empty result.
+    keeps them. An empty table gives an empty result; other columns are ignored.
     """
-    members, links = near_links(docs, id_col, text_col, similarity)
-    labels = components(links)
-    ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id")))
-    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    known = labels.join(degree, "id").select(F.col("id").alias("rep"), "label", "n_links")
-    rows = members.join(known, "rep", "left")
+    members, labels = near_classes(docs, id_col, text_col, similarity)
+    known = labels.select(F.col("id").alias("rep"), "label")
     cls = F.coalesce("label", "rep")
-    return rows.select("doc_id", cls.alias("class_id"), F.col("rep").alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cls.eqNullSafe(F.col("doc_id")).alias("kept"))
+    rows = members.join(known, "rep", "left")
+    return rows.select("doc_id", cls.alias("class_id"), F.col("rep").alias("rep_id"), cls.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

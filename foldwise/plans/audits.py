@@ -1,6 +1,506 @@
-"""Composite audits with models; no SQL can express the fits, so their rows are checked by tests."""
+"""Composite audits with models. No SQL can express the fits; tests hold their rows against known bands.
+
+Sweeps simulate many small tables in one plan, label each fold by its own training quartile, fit one small model a
+task and roll the folds' metrics up. Audits of the driver's tables fit pyspark.ml models on whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foldwise.functions import formulas as fx
+from foldwise.functions.hashing import uniform
+from foldwise.operators import attribution, checks, contaminate, joins, metrics, ranking, rollup, splits, stats
+from foldwise.plans import models, queries
+from foldwise.plans.simulate import POPULATION, SCENARIOS, simulate
+from foldwise.sources.tables import parquet
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+FOLDS, N = 5, 1500
+FEATURES = fx.PREDICTORS
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+# -- sweeps over simulated tables --------------------------------------------
+
+
+def in_folds(rows: DataFrame, run: Sequence[str], outcome: str = fx.TARGET, q: float = 0.25, side: str = "low", scope: str = "fold", k: int = FOLDS, seed=0) -> DataFrame:
+    """Rows of many runs, once for each fold, with ``is_test`` and the fold's ``label``.
+
+    Folds are stratified by the run's overall label. The label's threshold is a quantile of the fold's training
+    rows, or with ``scope="global"`` of all the run's rows, which leaks.
+    """
+    whole = rows.groupBy(*run).agg(F.percentile(outcome, F.lit(q)).alias("__q"))
+    rows = rows.join(F.broadcast(whole), list(run)).withColumn("__y0", fx.binarise(F.col(outcome), F.col("__q"), side))
+    rows = rows.withColumn("__u", uniform(*run, "record_id", seed=seed))
+    rows = ranking.row_numbers(rows, [*run, "__y0"], [F.col("__u"), F.col("record_id")], F.lit(0), "__rn")
+    rows = rows.withColumn("fold", ((F.col("__rn") - 1) % k).cast("int")).drop("__rn", "__u", "__y0")
+    each = models.for_each_fold(rows, k)
+    if scope == "global":
+        each = each.withColumn("threshold", F.col("__q"))
+    else:
+        fitted = each.where("not is_test").groupBy(*run, "k").agg(F.percentile(outcome, F.lit(q)).alias("threshold"))
+        each = each.join(fitted, [*run, "k"])
+    return each.withColumn("label", fx.binarise(F.col(outcome), F.col("threshold"), side)).drop("__q")
+
+
+def fold_metrics(scores: DataFrame, run: Sequence[str]) -> DataFrame:
+    """``run, auroc, pr_auc, brier, n_folds``: means over folds that have both classes."""
+    keys = [*run, "k"]
+    per = metrics.auroc(scores, keys, "score", "label").join(metrics.average_precision(scores, keys, "score", "label"), keys)
+    per = per.join(scores.groupBy(*keys).agg(metrics.brier("score", "label").alias("brier")), keys).where("auroc is not null")
+    return per.groupBy(*run).agg(F.avg("auroc").alias("auroc"), F.avg("average_precision").alias("pr_auc"), F.avg("brier").alias("brier"), F.count(F.lit(1)).alias("n_folds"))
+
+
+def cross_validated(rows: DataFrame, run: Sequence[str], features: Sequence[str] = FEATURES, balance: bool = False, **label) -> DataFrame:
+    return fold_metrics(models.fit_and_score(in_folds(rows, run, **label), [*run, "k"], features, balance=balance), run)
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def many(spark: SparkSession, configs: dict[str, dict], name: str, seeds: Sequence[int], n: int = N) -> DataFrame:
+    """Simulated tables of several named configurations and seeds."""
+    return _union([simulate(spark, c, seeds, n).withColumn(name, F.lit(k)) for k, c in configs.items()])
+
+
+def scenario_sweep_rows(spark, seeds=(1, 2, 3), n=N) -> DataFrame:
+    return many(spark, {s: {"scenario": s} for s in SCENARIOS}, "scenario", seeds, n)
+
+
+@query
+def m_scenario_sweep(spark, sf_dir=None, seeds=(1, 2, 3)):
+    """Each scenario's clean, follow-up-leaking and target-leaking discrimination over seeds."""
+    rows = scenario_sweep_rows(spark, seeds)
+    pipelines = {"clean": FEATURES, "follow_up": [*FEATURES, fx.FOLLOW_UP], "target": [*FEATURES, fx.TARGET]}
+    each = in_folds(rows, ["scenario", "seed"])
+    parts = [fold_metrics(models.fit_and_score(each, ["scenario", "seed", "k"], f), ["scenario", "seed"]).withColumn("pipeline", F.lit(p)) for p, f in pipelines.items()]
+    return rollup.summary(_union(parts), ["scenario", "pipeline"], "auroc")
+
+
+@query
+def m_sample_size_sweep(spark, sf_dir=None, sizes=(300, 1000, 3000), seeds=(1, 2)):
+    """Discrimination by sample size, with the percentile equivalence rule."""
+    parts = [scenario_sweep_rows(spark, seeds, n).withColumn("n_rows", F.lit(n)) for n in sizes]
+    out = cross_validated(_union(parts), ["scenario", "n_rows", "seed"])
+    return rollup.summary(out, ["scenario", "n_rows"], "auroc").withColumn("equivalent", rollup.equivalence())
+
+
+@query
+def m_noise_sweep(spark, sf_dir=None, seeds=(1, 2)):
+    """Outcome noise at several levels, clean and leaking; rows in the order of the levels."""
+    levels = [f"noise_x{x}" for x in contaminate.NOISE_LEVELS]
+    rows = many(spark, {k: contaminate.shifted(POPULATION, k) for k in levels}, "noise", seeds)
+    each = in_folds(rows, ["noise", "seed"])
+    parts = [fold_metrics(models.fit_and_score(each, ["noise", "seed", "k"], f), ["noise", "seed"]).withColumn("pipeline", F.lit(p)) for p, f in (("clean", FEATURES), ("follow_up", [*FEATURES, fx.FOLLOW_UP]))]
+    out = rollup.summary(_union(parts), ["noise", "pipeline"], "auroc")
+    return out.withColumn("flag", F.when(F.col("pipeline") == "clean", rollup.clean_flag(F.col("mean"))).otherwise(rollup.leaky_flag(F.col("mean")))).orderBy(rollup.category_order("noise", levels), "pipeline")
+
+
+@query
+def m_measurement_noise(spark, sf_dir=None, seeds=(1, 2), multiples=(0.5, 1.0, 2.0, 3.0)):
+    """Measurement noise on the follow-up, and what the analytic curve expects; ``mean_inverse_square`` is the mean of 1/b^2."""
+    rows = simulate(spark, {}, seeds, N)
+    parts = [contaminate.with_noise(rows, fx.FOLLOW_UP, m * POPULATION["tcr_sd"], 17).withColumn("multiple", F.lit(m)) for m in multiples]
+    noisy = _union(parts)
+    out = rollup.summary(cross_validated(noisy, ["multiple", "seed"], [*FEATURES, fx.FOLLOW_UP]), ["multiple"], "auroc")
+    moments = rows.agg(F.avg(1.0 / (F.col(fx.FOLLOW_UP) * F.col(fx.FOLLOW_UP))).alias("mean_inverse_square"))
+    expected = F.create_map(*[F.lit(x) for m in multiples for x in (m, stats.expected_auroc_under_noise(m))])
+    return out.withColumn("expected", expected[F.col("multiple")]).join(F.broadcast(moments))
+
+
+@query
+def m_missingness_sweep(spark, sf_dir=None, seeds=(1, 2)):
+    """Missingness mechanisms and rates, imputed by training or by overall medians."""
+    holes = ("bmi", "hct", "hdl", "ldl")
+    rows = simulate(spark, {"scenario": "weak_signal"}, seeds, N)
+    key = ["seed", "record_id"]
+    settings = {"none": None, "mcar_10": ("MCAR", 0.10), "mcar_30": ("MCAR", 0.30), "mar_10": ("MAR", 0.10), "mar_30": ("MAR", 0.30)}
+    parts = []
+    for name, setting in settings.items():
+        t = rows
+        for c in holes if setting else ():
+            how = contaminate.missing_at_random if setting[0] == "MCAR" else None
+            t = how(t, c, setting[1], key, 5) if how else contaminate.missing_by(t, c, "age", setting[1], key, 5)
+        parts.append(t.withColumn("setting", F.lit(name)))
+    run = ["setting", "seed"]
+    each = in_folds(_union(parts), run)
+    out = []
+    for strategy in ("fold", "global"):
+        fitted = each.where("not is_test") if strategy == "fold" else each
+        medians = fitted.groupBy(*run, "k").agg(*[F.median(c).alias(f"__{c}") for c in holes])
+        filled = each.join(medians, [*run, "k"]).withColumns({c: F.coalesce(c, f"__{c}") for c in holes})
+        rates = each.where("is_test").groupBy(*run).agg(contaminate.missing_rate(holes).alias("actual_rate"))
+        out.append(fold_metrics(models.fit_and_score(filled, [*run, "k"], FEATURES), run).join(rates, run).withColumn("strategy", F.lit(strategy)))
+    return _union(out).groupBy("setting", "strategy").agg(F.avg("auroc").alias("auroc_mean"), F.coalesce(F.stddev_samp("auroc"), F.lit(0.0)).alias("auroc_sd"), F.avg("brier").alias("brier_mean"), F.avg("actual_rate").alias("actual_rate"))
+
+
+#: Settings of the outlier stress: share of rows, and which values are made implausible.
+OUTLIERS = {
+    "clean": (0.0, []),
+    "neg_tg4h_5": (0.05, ["neg_tg4h"]),
+    "ext_hct_5": (0.05, ["extreme_hct"]),
+    "ext_tp_1": (0.01, ["extreme_tp"]),
+    "mixed_5": (0.05, ["neg_tg4h", "extreme_hct", "extreme_tp"]),
+}
+
+
+@query
+def m_outlier_sweep(spark, sf_dir=None, seeds=(1, 2)):
+    """Implausible values against four ways of cleaning, with counts of what is out of range."""
+    rows, run = simulate(spark, {"scenario": "wbv_positive"}, seeds, N), ["setting", "seed"]
+    t = _union([contaminate.inject_outliers(rows, kinds, rate, ["seed", "record_id"], 9).withColumn("setting", F.lit(s)) for s, (rate, kinds) in OUTLIERS.items()])
+    bounds = {c: b for c, b in contaminate.PLAUSIBLE.items() if c in FEATURES}
+    bad = t.groupBy(*run).agg(*contaminate.out_of_range(contaminate.PLAUSIBLE))
+    n_bad = sum((F.col(f"{c}_out") for c in contaminate.PLAUSIBLE), F.lit(0))
+    each = in_folds(t, run)
+    names = list(bounds)
+    quantiles = lambda d, keys: d.groupBy(*keys).agg(*[F.percentile(c, F.lit([0.01, 0.99])).alias(f"__{c}") for c in names])
+
+    def clipped(params: DataFrame, keys: list[str]) -> DataFrame:
+        return each.join(params, keys).withColumns({c: fx.clip(F.col(c), F.col(f"__{c}")[0], F.col(f"__{c}")[1]) for c in names})
+
+    tables = {
+        "no_cleaning": each,
+        "global_cleaning": clipped(quantiles(t, run), run),
+        "fold_cleaning": clipped(quantiles(each.where("not is_test"), [*run, "k"]), [*run, "k"]),
+        "prespecified_clean": contaminate.cleaned(each, bounds),
+    }
+    parts = [fold_metrics(models.fit_and_score(d, [*run, "k"], FEATURES), run).withColumn("strategy", F.lit(s)) for s, d in tables.items()]
+    out = _union(parts).join(bad.select(*run, n_bad.alias("n_implausible")), run)
+    return out.groupBy("setting", "strategy").agg(F.avg("auroc").alias("auroc_mean"), F.coalesce(F.stddev_samp("auroc"), F.lit(0.0)).alias("auroc_sd"), F.avg("n_implausible").alias("n_implausible"))
+
+
+@query
+def m_leak_benchmark(spark, sf_dir=None, seeds=(1, 2), scenario="null"):
+    """The clean pipeline against eight leaks: discrimination, and inflation over clean."""
+    rows, run = simulate(spark, {"scenario": scenario}, seeds, N), ["seed"]
+    leaky = [*FEATURES, fx.FOLLOW_UP]
+    sealed_, open_ = in_folds(rows, run), in_folds(rows, run, scope="global")
+    tails = rows.groupBy("seed").agg(*[F.percentile(c, F.lit([0.01, 0.99])).alias(f"__{c}") for c in leaky])
+    winsor = open_.join(tails, "seed").withColumns({c: fx.clip(F.col(c), F.col(f"__{c}")[0], F.col(f"__{c}")[1]) for c in leaky})
+    moments = rows.groupBy("seed").agg(*[f(c).alias(f"__{k}{c}") for c in FEATURES for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    scaled = open_.join(moments, "seed").withColumns({c: (F.col(c) - F.col(f"__m{c}")) / F.col(f"__s{c}") for c in FEATURES})
+    best = stats.top_k(stats.anova_f(open_.where("k = 0"), FEATURES, "label"), "f", 5)
+    chosen = [r["feature"] for r in best.collect()]
+    balanced = _balanced_before(open_, FEATURES)
+    fits = {
+        "clean": (sealed_, FEATURES, True),
+        "follow_up": (sealed_, leaky, True),
+        "target": (sealed_, [*FEATURES, fx.TARGET], True),
+        "global_scaling": (scaled, FEATURES, False),
+        "global_winsor": (winsor, FEATURES, False),
+        "global_threshold": (open_, FEATURES, False),
+        "smote_before_cv": (balanced, FEATURES, False),
+        "selection_before_cv": (open_, chosen, False),
+        "combined": (_balanced_before(winsor, leaky), leaky, False),
+    }
+    parts = [fold_metrics(models.fit_and_score(d, ["seed", "k"], f, balance=b), run).withColumn("pipeline", F.lit(p)) for p, (d, f, b) in fits.items()]
+    out = joins.against_baseline(_union(parts), "auroc", ["seed"])
+    return out.groupBy("pipeline").agg(F.avg("auroc").alias("auroc_mean"), F.coalesce(F.stddev_samp("auroc"), F.lit(0.0)).alias("auroc_sd"), F.avg("pr_auc").alias("pr_auc_mean"), F.avg("brier").alias("brier_mean"), F.avg("delta").alias("auc_inflation"))
+
+
+def _balanced_before(each: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Synthetic rows made from all rows and then dealt to the folds: the leak of oversampling before splitting."""
+    names = list(features)
+
+    def work(pdf):
+        x, y = models.oversample(pdf[names].to_numpy(float), pdf["label"].to_numpy(float), 3)
+        extra = len(x) - len(pdf)
+        fold = np.r_[pdf["fold"].to_numpy(), np.arange(extra) % FOLDS]
+        import pandas as pd
+
+        out = pd.DataFrame(x, columns=names)
+        return out.assign(seed=pdf["seed"].iloc[0], k=pdf["k"].iloc[0], label=y.astype(int), is_test=fold == pdf["k"].iloc[0])
+
+    schema = ", ".join(f"{c} double" for c in names) + ", seed int, k int, label int, is_test boolean"
+    return each.select("seed", "k", "fold", "label", *[F.col(c).cast("double").alias(c) for c in names]).groupBy("seed", "k").applyInPandas(work, schema)
+
+
+@query
+def m_formula_benchmarks(spark, sf_dir=None, seeds=(1, 2)):
+    """Outcomes by difference and by ratio, labelled by their overall upper quartile; clean against follow-up."""
+    rows = simulate(spark, {}, seeds, N)
+    a, b = F.col("tg0h"), F.col("tg4h")
+    parts = []
+    for name in ("difference", "ratio"):
+        _, side, q = fx.OUTCOMES[name]
+        t = rows.withColumn("outcome", fx.outcome(name, a, b))
+        each = in_folds(t, ["seed"], "outcome", q, side, "global")
+        for p, f in (("clean", FEATURES), ("follow_up", [*FEATURES, fx.FOLLOW_UP])):
+            parts.append(fold_metrics(models.fit_and_score(each, ["seed", "k"], f), ["seed"]).withColumns({"formula": F.lit(name), "pipeline": F.lit(p)}))
+    return joins.against_baseline(_union(parts), "auroc", ["formula", "seed"]).groupBy("formula", "pipeline").agg(F.avg("auroc").alias("auroc_mean"), F.avg("delta").alias("delta_mean"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def m_domain_shift(spark, sf_dir=None, seeds=(1, 2)):
+    """Train on the original population, test on shifted ones, before and after recalibration on a small sample."""
+    base = simulate(spark, {"scenario": "weak_signal"}, seeds, N).withColumn("part", F.lit("train"))
+    kinds = ["none", "tg0h_shift", "bmi_shift", "noise_shift", "prevalence_shift"]
+    cfg = POPULATION | {"scenario": "weak_signal"}
+    tests = many(spark, {k: contaminate.shifted(cfg, k) for k in kinds}, "shift", [s + 1000 for s in seeds])
+    tests = tests.withColumns({"seed": F.col("seed") - 1000, "part": F.lit("test")})
+    train = base.withColumn("shift", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    q = base.groupBy("seed").agg(F.percentile(fx.TARGET, F.lit(0.25)).alias("q25"), F.percentile(fx.TARGET, F.lit(0.35)).alias("q35"))
+    both = train.unionByName(tests).join(F.broadcast(q), "seed")
+    cut = F.when((F.col("shift") == "prevalence_shift") & (F.col("part") == "test"), F.col("q35")).otherwise(F.col("q25"))
+    both = both.withColumns({"label": (F.col(fx.TARGET) <= cut).cast("int"), "is_test": F.col("part") == "test"})
+    parts = []
+    for p, f in (("clean", FEATURES), ("follow_up", [*FEATURES, fx.FOLLOW_UP])):
+        scores = models.fit_and_score(both, ["shift", "seed"], f, carry=["record_id"]).withColumn("pipeline", F.lit(p))
+        parts.append(scores)
+    scores = _union(parts)
+    keys = ["shift", "pipeline", "seed"]
+    first = F.substring("record_id", 4, 5).cast("int") <= 200
+    # recalibration: one logistic of the label on the score's logit, fitted on the first 200 test rows
+    logit = fx.logit(F.col("score"))
+    recal = models.fit_and_score(scores.withColumns({"x": logit, "cal": ~first}), keys, ["x"], is_test="cal", c=1e6)
+    before = metrics.auroc(scores, keys, "score", "label").join(metrics.calibration_error(scores, keys, "score", "label"), keys)
+    after = metrics.calibration_error(recal, keys, "score", "label").withColumnRenamed("ece", "ece_recalibrated")
+    out = before.join(after, keys).join(scores.groupBy(*keys).agg(F.avg("label").alias("prevalence")), keys)
+    return out.groupBy("shift", "pipeline").agg(*[F.avg(c).alias(c) for c in ("auroc", "ece", "ece_recalibrated", "prevalence")])
+
+
+@query
+def m_repeated_cv(spark, sf_dir=None, repeats=(1, 2, 3)):
+    """One table, several fold assignments."""
+    rows = simulate(spark, {"scenario": "moderate_signal"}, 2026, N).withColumn("seed", F.explode(F.array(*[F.lit(r) for r in repeats])))
+    return cross_validated(rows, ["seed"])
+
+
+@query
+def m_simulated_validation(spark, sf_dir=None):
+    """The validation report of each scenario's table."""
+    return _union([checks.validation_report(simulate(spark, {"scenario": s}, 2026, N), s).withColumn("scenario", F.lit(s)) for s in SCENARIOS])
+
+
+@query
+def m_confirmatory(spark, sf_dir=None, seeds=(1, 2)):
+    """Whether each pre-specified band holds."""
+    out = m_scenario_sweep(spark, sf_dir, seeds)
+    rows = []
+    for (scenario, pipeline), (lo, hi) in checks.CONFIRM.items():
+        hit = out.where((F.col("scenario") == scenario) & (F.col("pipeline") == pipeline))
+        rows.append(hit.select("scenario", "pipeline", "mean", F.lit(lo).alias("low"), F.lit(hi).alias("high"), checks.confirmed(scenario, pipeline, F.col("mean")).alias("holds")))
+    return _union(rows)
+
+
+@query
+def m_preprocessor(spark, sf_dir):
+    """The composite preprocessor over the whole paired table: training moments of what it makes, by fold and scope."""
+    from foldwise.operators.sealed import FoldSealedPreprocessor
+
+    d = queries.with_missing(spark, sf_dir)
+    parts = []
+    for scope in ("fold", "global"):
+        p = FoldSealedPreprocessor(["a", "qty", "tax"], ["flag"], scope)
+        out = p.fit_transform(d.select("rid", "fold", "a", "qty", "tax", "flag"))
+        made = [c for c in out.columns if c.endswith("_z")]
+        parts.append(out.groupBy("fold").agg(*[F.avg(c).alias(f"mean_{c}") for c in made], *[F.stddev_pop(c).alias(f"sd_{c}") for c in made]).withColumn("scope", F.lit(scope)))
+    return _union(parts)
+
+
+# -- audits of whole tables with pyspark.ml ----------------------------------
+
+
+def _scored_by(spark, sf_dir, name: str, **options) -> DataFrame:
+    """Fold 0 of the paired table scored by a model trained on the others, clean and with the follow-up."""
+    d = queries.labelled(spark, sf_dir).select("rid", "fold", "label", "a", "qty", "tax", "b").cache()
+    parts = []
+    for p, f in (("clean", ["a", "qty", "tax"]), ("follow_up", ["a", "qty", "tax", "b"])):
+        m = models.fit(d.where("fold <> 0"), name, f, **options)
+        parts.append(models.predict(m, d.where("fold = 0")).select("rid", "label", "score", F.lit(p).alias("pipeline")))
+    return _union(parts)
+
+
+def _ml_audit(name: str, **options):
+    def run(spark, sf_dir):
+        s = _scored_by(spark, sf_dir, name, **options)
+        out = metrics.auroc(s, ["pipeline"], "score", "label").join(metrics.average_precision(s, ["pipeline"], "score", "label"), "pipeline")
+        return out.withColumn("model", F.lit(name))
+
+    run.__doc__ = f"Discrimination of {name} on the whole paired table, clean and leaking."
+    return run
+
+
+QUERIES["m_lr"] = _ml_audit("lr")
+QUERIES["m_rf"] = _ml_audit("rf", numTrees=20, maxDepth=8)
+QUERIES["m_gbt"] = _ml_audit("xgb", maxIter=10)
+QUERIES["m_linear_svm"] = _ml_audit("linear_svm", maxIter=30)
+
+
+@query
+def m_kernel_svm(spark, sf_dir):
+    """A kernel machine by random Fourier features of standardised columns, calibrated by Platt's method."""
+    d = queries.labelled(spark, sf_dir).select("rid", "fold", "label", "a", "qty", "tax")
+    m = d.agg(*[f(c).alias(f"{k}{c}") for c in ("a", "qty", "tax") for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    d = d.withColumns({c: (F.col(c) - F.lit(m[f"m{c}"])) / F.lit(m[f"s{c}"] or 1.0) for c in ("a", "qty", "tax")})
+    d = models.kernel_features(d, ["a", "qty", "tax"], dims=20).cache()
+    names = [f"rff_{i}" for i in range(20)]
+    fitted = models.fit(d.where("fold > 1"), "svm", names, maxIter=20)
+    cal = models.platt(models.predict(fitted, d.where("fold = 1")), "score", "label")
+    s = models.calibrated(cal, models.predict(fitted, d.where("fold = 0")), "score")
+    return metrics.auroc(s, [], "calibrated", "label").join(F.broadcast(s.agg(metrics.brier("calibrated", "label").alias("brier"))))
+
+
+@query
+def m_calibration(spark, sf_dir):
+    """Platt and isotonic calibration of document length as a quality score: Brier and calibration error of each."""
+    j = queries.judged(spark, sf_dir).where("task = 'quality'").withColumn("fit", uniform("doc_id", seed=3) < 0.5).cache()
+    train, test = j.where("fit"), j.where("not fit")
+    versions = {"raw": test.withColumn("p", F.col("score"))}
+    for name, fitter in (("platt", models.platt), ("isotonic", models.isotonic)):
+        versions[name] = models.calibrated(fitter(train, "score", "label"), test, "score", "p")
+    parts = []
+    for name, t in versions.items():
+        a, b = metrics.calibration_line(t, "p", "label")
+        one = metrics.calibration_error(t, [], "p", "label").join(F.broadcast(t.agg(metrics.brier("p", "label").alias("brier"))))
+        parts.append(one.withColumns({"version": F.lit(name), "intercept": F.lit(a), "slope": F.lit(b)}))
+    return _union(parts)
+
+
+@query
+def m_smote(spark, sf_dir):
+    """Class counts of the labelled documents before and after oversampling."""
+    d = parquet(spark, sf_dir, "labels").join(parquet(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    d = d.select("doc_id", F.log1p("n_chars").alias("x"), F.sqrt(F.col("n_chars").cast("double")).alias("z"), F.col("quality").alias("label"))
+    return models.smote(d, ["x", "z"], "label", ["doc_id"]).groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min_x"), F.max("x").alias("max_x"))
+
+
+@query
+def m_decision_curve(spark, sf_dir):
+    """Net benefit of the clean and leaking logistic models on 490 thresholds, wide, with the gain nearest 0.25."""
+    s = _scored_by(spark, sf_dir, "lr")
+    b = metrics.net_benefit(s, ["pipeline"], "score", "label", queries.GRID_490)
+    wide = rollup.pivot(b, ["threshold", "treat_none"], "pipeline", ["clean", "follow_up"], "net_benefit", "max")
+    return wide.join(b.where("pipeline = 'clean'").select("threshold", "treat_all"), "threshold")
+
+
+def _status_audit(keys: Sequence[str]):
+    def run(spark, sf_dir):
+        o = parquet(spark, sf_dir, "orders").join(parquet(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        o = o.withColumn("label", ((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") <= 144000)).cast("int"))
+        o = splits.stratified_folds(o, "label", ["o_orderkey"], FOLDS, 5)
+        from foldwise.operators.sealed import apply_ordinal, fit_ordinal
+
+        for c in ("o_orderpriority", "c_mktsegment", "o_orderstatus"):
+            o = apply_ordinal(o, fit_ordinal(o, c), c, f"{c}_code").withColumn(f"{c}_code", F.col(f"{c}_code").cast("double"))
+        o = o.cache()
+        clean = ["c_acctbal", "o_orderpriority_code", "c_mktsegment_code"]
+        parts = []
+        for p, f in (("clean", clean), ("leaky", [*clean, *keys])):
+            m = models.fit(o.where("fold <> 0"), "lr", f, balanced=True)
+            parts.append(models.predict(m, o.where("fold = 0")).select("label", "score", F.lit(p).alias("pipeline")))
+        rule = o.where("fold = 0").select("label", F.col("label").cast("double").alias("score"), F.lit("oracle").alias("pipeline"))
+        out = metrics.auroc(_union([*parts, rule]), ["pipeline"], "score", "label").withColumn("unit", F.lit("all"))
+        return joins.headroom(joins.against_baseline(out, "auroc", ["unit"])).drop("unit")
+
+    run.__doc__ = "Status outcomes: clean predictors, with leaking columns, and the rule itself."
+    return run
+
+
+QUERIES["m_status_audit"] = _status_audit(["o_totalprice", "o_orderstatus_code"])
+QUERIES["m_proxy_audit"] = _status_audit(["o_orderstatus_code"])
+
+
+@query
+def m_event_pairs_audit(spark, sf_dir):
+    """Paired events in three windows, with and without pairs that another event interrupts: clean, leaking, oracle."""
+    e = queries.events(spark, sf_dir)
+    left = e.where("event_type in ('purchase', 'click')").select("event_id", "user_id", "ts", "value")
+    right = e.where("event_type in ('error', 'view')").select("event_id", "user_id", "ts", "value")
+    widest = joins.asof_forward(left, right, ["user_id"], "ts", "48 hours", tie="event_id")
+    parts = []
+    for hours in (12, 24, 48):  # nearest first, so a narrower window is a filter of the widest
+        pairs = widest.where(F.col("next_ts") <= F.col("ts") + F.expr(f"interval 1 second + interval {hours} hours"))
+        for cohort, t in (("all", pairs), ("uninterrupted", joins.no_event_between(pairs, left, ["user_id"], "ts", "next_ts", "ts"))):
+            parts.append(t.withColumns({"window": F.lit(hours), "cohort": F.lit(cohort)}))
+    pairs = _union(parts).withColumn("drop", fx.outcome("drop", F.col("value"), F.col("next_value")))
+    q = pairs.groupBy("window", "cohort").agg(F.percentile("drop", F.lit(0.75)).alias("q"), F.count(F.lit(1)).alias("n_pairs"))
+    d = pairs.join(q, ["window", "cohort"]).withColumn("label", (F.col("drop") >= F.col("q")).cast("int"))
+    rows = F.array(*[F.struct(F.lit(n).alias("pipeline"), s.alias("score")) for n, s in (("clean", F.hour("ts").cast("double")), ("baseline", F.col("value")), ("follow_up", -F.col("next_value")), ("oracle", F.col("drop")))])
+    out = metrics.auroc(d.select("window", "cohort", "label", F.inline(rows)), ["window", "cohort", "pipeline"], "score", "label")
+    return joins.headroom(joins.against_baseline(out, "auroc", ["window", "cohort"]))
+
+
+@query
+def m_subject_audit(spark, sf_dir):
+    """Leave-one-subject-out AUROC of value against being a purchase, over usable subjects, with its interval."""
+    e = parquet(spark, sf_dir, "events").select("user_id", "value", (F.col("event_type") == "purchase").cast("int").alias("label"))
+    usable = splits.leave_one_group_out(e, "user_id", "label").where("usable").select("user_id")
+    per = metrics.auroc(e.join(usable, "user_id", "left_semi"), ["user_id"], "value", "label")
+    return rollup.summary(per, [], "auroc")
+
+
+@query
+def m_meal_cohort(spark, sf_dir):
+    """Meals with peaks and outcomes, and the cohort's summary: subjects, meals, threshold and reconstruction error."""
+    meals = queries.range_window_peak(spark, sf_dir).join(queries.events(spark, sf_dir).select("event_id", F.col("value").alias("pre"), F.hour("ts").alias("hour_of_day")), "event_id")
+    q = meals.agg(F.percentile("rise", F.lit(0.75)).alias("q")).first()["q"] or 0.0
+    return meals.agg(
+        F.count(F.lit(1)).alias("n_meals"), F.count_distinct("user_id").alias("n_subjects"), F.lit(q).alias("threshold"), F.avg((F.col("rise") >= F.lit(q)).cast("double")).alias("prevalence"),
+        *checks.reconstruction_error("pre", "peak", "rise"),
+    )
+
+
+# -- attribution -------------------------------------------------------------
+
+
+@query
+def m_attribution(spark, sf_dir):
+    """Mean |phi| and ranks of a forest and of a logistic model on the whole paired table, clean and leaking, with distortions."""
+    d = queries.labelled(spark, sf_dir).select("rid", "fold", "label", "a", "qty", "tax", "b").cache()
+    train, test = d.where("fold <> 0"), d.where("fold = 0")
+    parts = []
+    for name in ("rf", "lr"):
+        ranks = {}
+        for p, f in (("clean", ["a", "qty", "tax"]), ("leaky", ["a", "qty", "tax", "b"])):
+            options = {"numTrees": 5, "maxDepth": 4} if name == "rf" else {}
+            m = models.fit(train, name, f, **options).stages[-1]
+            phi = attribution.tree_contributions(test, m, f, ["rid"]) if name == "rf" else attribution.linear_contributions(test, dict(zip(f, map(float, m.coefficients))), ["rid"])
+            ranks[p] = attribution.importance_ranks(attribution.mean_abs(phi))
+        parts.append(attribution.attribution_distortion(ranks["clean"], ranks["leaky"]).withColumn("classifier", F.lit(name)))
+    return _union(parts)
+
+
+@query
+def m_correlated_attribution(spark, sf_dir):
+    """Independent and correlation-aware contributions of one linear score: mean |phi| of each."""
+    p = queries.paired(spark, sf_dir)
+    w = {"a": 0.001, "b": -0.002, "qty": 0.1}
+    one = attribution.mean_abs(attribution.linear_contributions(p, w, ["rid"])).withColumnRenamed("mean_abs", "independent")
+    return one.join(attribution.mean_abs(attribution.correlated_contributions(p, w, ["rid"])).withColumnRenamed("mean_abs", "correlated"), "feature")
+
+
+@query
+def m_adi_tests(spark, sf_dir):
+    """Signed-rank tests of the distortions between two importance measures, by feature, Bonferroni-adjusted."""
+    d = queries.distortions(spark, sf_dir).where("adi is not null")
+    wide = rollup.pivot(d, ["boot_id", "feature"], "classifier", ["label", "target"], "adi", "max").dropna()
+    out = stats.wilcoxon(wide.withColumn("d", (F.col("label") - F.col("target")).cast("double")), ["feature"], "d")
+    return stats.bonferroni(out)
+
+
+@query
+def m_correlation_tests(spark, sf_dir):
+    """Pearson, Spearman and partial correlations of the paired table with p-values."""
+    p = queries.paired(spark, sf_dir)
+    n = p.count()
+    r = stats.correlations(p, ["qty", "y"]).where("a <> b").first()["r"]
+    rho = stats.spearman(p, "qty", "y").first()["rho"]
+    pr, pp = stats.partial_correlation(p, "qty", "y", ["a", "tax"])
+    rows = [("pearson", r, stats.correlation_p(r, n)), ("spearman", rho, stats.correlation_p(rho, n)), ("partial", pr, pp)]
+    return spark.createDataFrame([(k, float(x), float(z), n) for k, x, z in rows], "kind string, r double, p double, n long")

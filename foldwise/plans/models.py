@@ -107,33 +107,59 @@ def newton_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int =
     return w
 
 
-def oof_scores(df: DataFrame, run_keys: Sequence[str], features: Sequence[str], label: str = "label", fold: str = "fold", keys: Sequence[str] = (), c: float = 1.0) -> DataFrame:
-    """Out-of-fold logistic scores, one small fit a (run, fold) and many fits at once.
+def for_each_fold(df: DataFrame, folds: int = 5, fold: str = "fold") -> DataFrame:
+    """Each row once for each fold ``k``, with ``is_test`` where it is that fold's own. For small tables of a sweep."""
+    k = F.explode(F.array(*[F.lit(i) for i in range(folds)])).alias("k")
+    return df.select("*", k).withColumn("is_test", F.col("k") == F.col(fold))
+
+
+def oversample(x: np.ndarray, y: np.ndarray, seed: int, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Synthetic minority rows between neighbours until the classes are balanced; too few rows change nothing."""
+    n1 = int(y.sum())
+    minor = 1 if n1 * 2 <= len(y) else 0
+    rows = x[y == minor]
+    need = len(y) - 2 * len(rows)
+    if len(rows) < 2 or need <= 0:
+        return x, y
+    rng = np.random.default_rng(seed)
+    gap = ((rows[:, None, :] - rows[None, :, :]) ** 2).sum(2)
+    np.fill_diagonal(gap, np.inf)
+    near = np.argsort(gap, 1, kind="stable")[:, : min(k, len(rows) - 1)]
+    i = rng.integers(0, len(rows), need)
+    j = near[i, rng.integers(0, near.shape[1], need)]
+    made = rows[i] + rng.random((need, 1)) * (rows[j] - rows[i])
+    return np.vstack([x, made]), np.r_[y, np.full(need, float(minor))]
+
+
+def fit_and_score(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "label", is_test: str = "is_test", c: float = 1.0, balance: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """One small logistic fit for each group, many at once: test rows with ``score``, scaled by their training rows.
 
-    Each run is one group of ``applyInPandas``: for the many small tables of a sweep. One large table takes
-    :func:`fit` with pyspark.ml instead. Rows with nulls in features or label get no score.
+    A group is one fit of a sweep, a table of at most some thousand rows. One large table takes :func:`fit`
+    instead. Rows with nulls in features or label are left out; a group trained on one class has null scores.
     """
     names = list(features)
+    kept = [*keys, *carry, label]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok = pdf[names + [label]].notna().all(axis=1)
-        pdf = pdf[ok].copy()
+        pdf = pdf[pdf[names + [label]].notna().all(axis=1)]
+        test = pdf[is_test].to_numpy(bool)
         x, y = pdf[names].to_numpy(float), pdf[label].to_numpy(float)
-        out = np.full(len(pdf), np.nan)
-        for f in np.unique(pdf[fold]):
-            test = (pdf[fold] == f).to_numpy()
-            if len(np.unique(y[~test])) < 2:
-                continue
-            mean, sd = x[~test].mean(0), x[~test].std(0)
-            sd[sd == 0] = 1.0
-            w = newton_logistic((x[~test] - mean) / sd, y[~test], c)
-            out[test] = 1 / (1 + np.exp(-np.clip(w[0] + ((x[test] - mean) / sd) @ w[1:], -30, 30)))
-        pdf["score"] = out
-        return pdf[[*run_keys, *keys, fold, label, "score"]]
-
-    kept = [*run_keys, *keys, fold, label]
-    schema = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in kept) + ", score double"
-    return df.select(*kept, *[n for n in names if n not in kept]).groupBy(*run_keys).applyInPandas(work, schema)
+        out = pdf.loc[test, kept].copy()
+        if len(np.unique(y[~test])) < 2:
+            out["score"] = np.nan
+            return out
+        mean, sd = x[~test].mean(0), x[~test].std(0)
+        sd[sd == 0] = 1.0
+        xt, yt = (x[~test] - mean) / sd, y[~test]
+        if balance:
+            xt, yt = oversample(xt, yt, SEED)
+        w = newton_logistic(xt, yt, c)
+        out["score"] = 1 / (1 + np.exp(-np.clip(w[0] + ((x[test] - mean) / sd) @ w[1:], -30, 30)))
+        return out
+
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in kept) + ", score double"
+    return df.select(*dict.fromkeys([*kept, is_test, *names])).groupBy(*keys).applyInPandas(work, schema).where("score is not null and not isnan(score)")
 
 
 def smote(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], k: int = 5, seed=0, cells: int = 4) -> DataFrame:

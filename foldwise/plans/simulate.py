@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,20 +75,22 @@ def shifted_lognormal(u: Column, shift: float, mu: float, sigma: float, low: flo
     return clip(F.exp(F.lit(mu) + F.lit(sigma) * normal_ppf_col(F.lit(a) + u * F.lit(b - a))) + shift, low, high)
 
 
-def simulate(spark: SparkSession, config: dict | None = None, seed: int = 0, n: int | None = None) -> DataFrame:
-    """``record_id, age, sex, bmi, hct, tp, hdl, ldl, wbv, tg0h, tcr, tg4h``; no label, which is for the folds to fit.
+def simulate(spark: SparkSession, config: dict | None = None, seed: int | Sequence[int] = 0, n: int | None = None) -> DataFrame:
+    """``[seed,] record_id, age, sex, bmi, hct, tp, hdl, ldl, wbv, tg0h, tcr, tg4h``; no label, which is for the folds to fit.
 
-    Same seed, same rows. An unknown scenario raises ValueError; an empty one is the null scenario.
+    Same seed, same rows. Several seeds give as many tables, told apart by ``seed``, in one plan. An unknown scenario raises ValueError; an empty one is the null scenario.
     """
     c = POPULATION | (config or {})
     scenario = c.get("scenario") or "null"
     if scenario not in SCENARIOS:
         raise ValueError(f"scenario {scenario!r} is not one of {sorted(SCENARIOS)}")
-    rows = spark.range(n or c["n"])
+    n = n or c["n"]
+    seeds = [seed] if isinstance(seed, int) else list(seed)
+    rows = spark.range(n * len(seeds)).select((F.col("id") % n).alias("id"), F.array(*[F.lit(s) for s in seeds])[F.floor(F.col("id") / n).cast("int")].alias("seed"))
 
     def u(column: str) -> Column:
         """A uniform that belongs to the row, the column and the seed, wherever the row is computed."""
-        h = F.xxhash64(F.col("id"), F.lit(column), F.lit(seed))
+        h = F.xxhash64(F.col("id"), F.lit(column), F.col("seed").cast("long"))
         return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
 
     normal = lambda x: truncated_normal(u(x), c[f"{x}_mu"], c[f"{x}_sd"], c[f"{x}_low"], c[f"{x}_high"])
@@ -97,15 +101,17 @@ def simulate(spark: SparkSession, config: dict | None = None, seed: int = 0, n:
     effects, factor = SCENARIOS[scenario]
     if effects:
         effects = {x: c.get(f"beta_{x}", b) for x, b in effects.items()}
-        moments = rows.agg(*[f(x).alias(f"{k}_{x}") for x in effects for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        moments = rows.groupBy("seed").agg(*[f(x).alias(f"{k}_{x}") for x in effects for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+        rows = rows.join(F.broadcast(moments), "seed")
         mean = F.lit(c["tcr_mu"])
         for x, b in effects.items():
-            mean = mean + F.lit(b) * (F.col(x) - F.lit(moments[f"m_{x}"])) / F.lit(moments[f"s_{x}"] + 1e-8)
+            mean = mean + F.lit(b) * (F.col(x) - F.col(f"m_{x}")) / (F.col(f"s_{x}") + 1e-8)
         rows = rows.withColumn("tcr", clip(mean + normal_ppf_col(u("noise")) * F.lit(c["tcr_sd"] * factor), c["tcr_low"], c["tcr_high"]))
     else:
         rows = rows.withColumn("tcr", truncated_normal(u("tcr"), c["tcr_mu"], c["tcr_sd"], c["tcr_low"], c["tcr_high"]))
     rows = rows.withColumn("tg4h", follow_up(F.col("tg0h"), F.col("tcr")))
-    out = [F.format_string("SYN%05d", F.col("id") + 1).alias("record_id")]
+    out = [] if isinstance(seed, int) else [F.col("seed")]
+    out.append(F.format_string("SYN%05d", F.col("id") + 1).alias("record_id"))
     for x in ("age", "sex", "bmi", "hct", "tp", "hdl", "ldl", "wbv", "tg0h", "tcr", "tg4h"):
         out.append(F.bround(x, DECIMALS[x]).alias(x) if x in DECIMALS else F.col(x))
     return rows.select(*out)
