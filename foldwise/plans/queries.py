@@ -449,7 +449,8 @@ def admission_elapsed(spark, sf_dir):
     e = joins.first_in_group(e, ["user_id", "day"], "ts", "admit_ts")
     seconds = F.expr("timestampdiff(SECOND, date_trunc('second', admit_ts), date_trunc('second', ts))")
     elapsed = fx.fill(F.greatest(seconds / F.lit(86400.0), F.lit(0.0)), 0.0)
-    return e.select("event_id", "user_id", F.col("admit_ts").cast("timestamp_ntz").alias("admit_ts"), r6(elapsed).alias("elapsed_days"), F.hour("ts").alias("hour_of_day"))
+    days = F.round(elapsed * 1e6) / 1e6  # whole seconds often lie half way between six-digit days: round the double, not its decimal form
+    return e.select("event_id", "user_id", F.col("admit_ts").cast("timestamp_ntz").alias("admit_ts"), days.alias("elapsed_days"), F.hour("ts").alias("hour_of_day"))
 
 
 @query(
