@@ -8,6 +8,7 @@ places by their rank within their length.
 from __future__ import annotations
 
 import base64
+import bisect
 import zlib
 
 import numpy as np
@@ -88,9 +89,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_
 def plan(counts: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[int, tuple[int, ...]]]:
     """Patterns ``(how often, lengths)`` that use exactly ``counts`` documents of each length.
 
-    From the longest length down, the gap it leaves is looked up among single lengths, pair sums and triple
-    sums that are still available; each hit takes as many sequences at once as the counts allow. What has
-    no exact complement is packed best fit, decreasing.
+    From the longest length down, the gap it leaves is looked up among the single lengths that are still
+    available, then again among pair sums, then among triple sums; each hit takes as many sequences at once as
+    the counts allow. Short documents make sequences of their own only while the long ones can't take them in. What has no exact complement is packed best fit, decreasing.
     """
     n = np.zeros(seq_len + 1, np.int64)
     for length, c in counts.items():
@@ -116,16 +117,16 @@ def plan(counts: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[int, tupl
         good = np.flatnonzero((n[a] > 0) & (n[b] > (a == b)))
         return (int(a[good[0]]), int(b[good[0]])) if len(good) else None
 
-    def complement(length: int) -> tuple[int, ...] | None:
+    def complement(length: int, parts: int) -> tuple[int, ...] | None:
         gap = seq_len - length
         if gap == 0:
             return ()
         n[length] -= 1  # this document's own place
         try:
-            if gap <= length and n[gap] > 0:
-                return (gap,)
-            if found := pair(gap, length):
-                return found
+            if parts == 1:
+                return (gap,) if gap <= length and n[gap] > 0 else None
+            if parts == 2:
+                return pair(gap, length)
             for x in np.flatnonzero(n[: min(gap - 2, length) + 1])[::-1]:
                 x = int(x)
                 if 3 * x < gap:
@@ -139,24 +140,46 @@ def plan(counts: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[int, tupl
         finally:
             n[length] += 1
 
-    for length in range(seq_len, 0, -1):
-        while n[length] > 0:
-            rest = complement(length)
-            if rest is None or not take((length, *rest)):
-                break
-    # best fit, decreasing, in bulk: open bins by what they have left
-    while n.any():
-        length = int(np.flatnonzero(n)[-1])
-        items, gap, uses = [length], seq_len - length, {length: 1}
-        while gap:
-            fits = np.flatnonzero(n[: gap + 1])
-            fits = [int(x) for x in fits[::-1][:8] if n[x] > uses.get(int(x), 0)]
-            if not fits:
-                break
-            items.append(fits[0])
-            uses[fits[0]] = uses.get(fits[0], 0) + 1
-            gap -= fits[0]
-        take(tuple(items))
+    sizes, half = np.arange(seq_len + 1), seq_len // 2
+
+    def spare() -> bool:
+        """Whether the short documents are more than what the long ones, each in a sequence of its own, have room for."""
+        return int(n[: half + 1] @ sizes[: half + 1]) > int(n[half + 1 :] @ (seq_len - sizes[half + 1 :]))
+
+    for lengths in (range(seq_len, half, -1), range(half, 0, -1)):
+        for parts in (1, 2, 3):  # triples last: they use up the short documents that fill other gaps
+            for length in lengths:
+                while n[length] > 0 and (length > half or spare()):
+                    rest = complement(length, parts)
+                    if rest is None or not take((length, *rest)):
+                        break
+    # best fit, decreasing, in bulk: sequences of one pattern are filled together, by what they have left
+    open_: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+    gaps: list[int] = []  # of open_, in order
+    for length in np.flatnonzero(n)[::-1].tolist():
+        left = int(n[length])
+        while left:
+            at = bisect.bisect_left(gaps, length)
+            if at == len(gaps):  # none has room: new ones, each with as many of this length as fit
+                each = min(seq_len // length, left)
+                m, lengths, gap = left // each, (length,) * each, seq_len - length * each
+                left -= m * each
+            else:
+                gap = gaps[at]
+                m, lengths = open_[gap].pop()
+                if m > left:
+                    open_[gap].append((m - left, lengths))
+                    m = left
+                if not open_[gap]:
+                    del open_[gap], gaps[at]
+                left, lengths, gap = left - m, (*lengths, length), gap - length
+            if not gap:
+                out.append((m, lengths))
+                continue
+            if gap not in open_:
+                bisect.insort(gaps, gap)
+            open_.setdefault(gap, []).append((m, lengths))
+    out += [x for gap in gaps for x in open_[gap]]
     return out
 
 
