@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from foldwise.plans import audits, queries
@@ -24,7 +25,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "null"
     if isinstance(v, bool):
         return str(v)
