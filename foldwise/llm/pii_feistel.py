@@ -25,18 +25,32 @@ DEFAULT_KEY = "pseudonyms: replace in production"
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-PATTERN = re.compile(
-    r"""
-    (?P<email>(?<![\w.+-])[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w-]))
-  | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9]))
-  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![\w/-])(?!\.[0-9]))
-  | (?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w])(?!\.[0-9]))
-  | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-  | (?P<card>(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?![\w])(?!\.[0-9]))
-  | (?P<phone>(?<![\w+(.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w])(?!\.[0-9]))
-    """,
-    re.X,
-)
+#: In the order in which they are tried at a place.
+PARTS = {
+    "email": r"(?<![\w.+-])[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![\w/-])(?!\.[0-9])",
+    "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w])(?!\.[0-9])",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "card": r"(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?![\w])(?!\.[0-9])",
+    "phone": r"(?<![\w+(.])(?:\+[0-9]{8,15}|(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?|\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4})(?![\w])(?!\.[0-9])",
+}
+PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PARTS.items()))
+PARTS = {k: re.compile(p) for k, p in PARTS.items()}
+#: How cards are written: in one, or in these groups. Other groupings count where no such card starts within them.
+CARD_SHAPE = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}")
+#: Lengths of the registered IBANs: the one of the country is tried first.
+IBAN_LENGTHS = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT UA", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+        29: "BR EG PS QA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in cs.split()
+}
+#: Country codes of one and two digits; the others have three.
+COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
 #: Any of these has to be there for the pattern to match.
 HINT = re.compile(r"[0-9@]")
 
@@ -172,7 +186,9 @@ class Pseudonyms:
         s = re.sub(r"\D", "", v)
         if not 8 <= len(s) <= 15:
             return None
-        country = len(re.match(r"\+?(\d*)", v)[1]) if v.startswith("+") else 0
+        country = len(re.match(r"\+(\d*)", v)[1]) if v.startswith("+") else 0
+        if country > 3:  # written together with what follows
+            country = COUNTRY.match(s).end()
         rest = s[country:]
         valid = lambda r: r[0] not in "01" and r[3] not in "01"
         if country == 1 and len(rest) == 10 and valid(rest):  # area and exchange start with 2 to 9
@@ -246,16 +262,71 @@ class Pseudonyms:
             return text, []
         out, spans, at, look = [], [], 0, 0
         while m := PATTERN.search(text, look):
-            kind = m.lastgroup
-            new = getattr(self, kind)(m[0])
-            if new is None:
+            found = self._read(text, m)
+            if found is None:
                 look = self._after(text, m)
                 continue
+            kind, end, new = found
             out += [text[at : m.start()], new]
-            spans.append((kind, m.start(), m.end()))
-            at = look = m.end()
+            spans.append((kind, m.start(), end))
+            at = look = end
         return "".join(out) + text[at:], spans
 
+    def restore(self, text: str, spans: str) -> tuple[str, list[tuple[str, int, int]]]:
+        """The text with the values of known spans (``kind:start:end``, joined by commas) replaced, whatever is beside them."""
+        out, found, at = [], [], 0
+        for kind, start, end in (x.split(":") for x in spans.split(",") if x):
+            start, end = int(start), int(end)
+            new = getattr(self, kind)(text[start:end])
+            out += [text[at:start], text[start:end] if new is None else new]
+            found.append((kind, start, end))
+            at = end
+        return "".join(out) + text[at:], found
+
+    def _read(self, text: str, m: re.Match) -> tuple[str, int, str] | None:
+        """The first valid reading at a match's start: kind, end and pseudonym.
+
+        A match may have taken in what follows the value, so shorter ones and the other kinds are tried as well. A
+        phone number or an oddly grouped card is not read across the start of a card in one of the usual shapes.
+        """
+        start = m.start()
+        for kind, pattern in PARTS.items():
+            if not (h := pattern.match(text, start)):
+                continue
+            for end in self._ends(kind, h):
+                value = text[start:end]
+                new = getattr(self, kind)(value)
+                if new is None:
+                    continue
+                weak = kind == "phone" or (kind == "card" and not self._usual(value))
+                if not (weak and any(self._card_at(text, i) for i in range(start + 1 + (text[start] == "+"), end))):
+                    return kind, end, new
+        return None
+
+    @staticmethod
+    def _ends(kind: str, h: re.Match) -> list[int]:
+        """Where a match may end: cards and IBANs at any border of their groups too, likeliest first."""
+        v, start = h[0], h.start()
+        if kind not in ("card", "iban"):
+            return [h.end()]
+        least = 13 if kind == "card" else 15
+        cuts = [i for i in range(least, len(v) + 1) if (i == len(v) or v[i] in " -") and sum(c not in " -" for c in v[:i]) >= least]
+        if kind == "card":
+            likely = lambda i: CARD_SHAPE.fullmatch(v[:i]) is not None
+        else:
+            likely = lambda i: len(v[:i].replace(" ", "")) == IBAN_LENGTHS.get(v[:2])
+        return [start + i for i in sorted(cuts, key=lambda i: (not likely(i), -i))]
+
+    def _card_at(self, text: str, start: int) -> bool:
+        """Whether a valid card in one of the usual shapes starts here."""
+        h = PARTS["card"].match(text, start)
+        return h is not None and any(self._usual(text[start:e]) and self.card(text[start:e]) for e in self._ends("card", h))
+
+    @staticmethod
+    def _usual(card: str) -> bool:
+        """Whether a card has a usual shape and the first digit of the large issuers; years and counts before a card have not."""
+        return card[0] in "3456" and CARD_SHAPE.fullmatch(card) is not None
+
     @staticmethod
     def _after(text: str, m: re.Match) -> int:
         """Where to look on after an invalid value: at the end of its first run of word characters."""
@@ -267,15 +338,19 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, text, n_<kind>..., spans``: one row per input row, its text with pseudonyms.
 
     ``spans`` lists ``kind:start:end`` of what was replaced, in code points; a pseudonym is as long as its value,
-    so they hold for both texts. ``reverse`` with the same key gives the values back. Numbers that fail their
-    validation stay as they are. Null text counts as empty; repeated rows are each replaced; null ids stay null;
+    so they hold for both texts. ``reverse`` with the same key gives the values back: by their ``spans`` if the table
+    has them, which is always exact; otherwise values are found anew, and one beside another number can, by the
+    chance of a checksum, be read with it. A card in fours before three more digits (4-4-4-4-3) is read as one of 19
+    digits where all of them pass Luhn, so nothing of such a card stays. Numbers that fail their validation stay as
+    they are. Null text counts as empty; repeated rows are each replaced; null ids stay null;
     an empty table gives an empty result, and other columns are ignored.
     """
 
     def run(batches):
         p = Pseudonyms(key, reverse)
         for b in batches:
-            texts, found = zip(*[p.replace(t) for t in b["text"]]) if len(b) else ((), ())
+            done = [p.replace(t) if z is None else p.restore(t, z) for t, z in zip(b["text"], b["known"])]
+            texts, found = zip(*done) if done else ((), ())
             out = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": texts})
             for kind in KINDS:
                 out[f"n_{kind}"] = [sum(s[0] == kind for s in spans) for spans in found]
@@ -283,5 +358,6 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield out
 
     schema = "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    known = F.col("spans") if reverse and "spans" in docs.columns else F.lit(None)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), known.cast("string").alias("known"))
     return rows.mapInPandas(run, schema)

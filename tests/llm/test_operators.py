@@ -272,6 +272,42 @@ def test_pseudonyms_validate_and_go_back(spark):
     assert back == {1: text, 2: "again ann.lee@example.org", 3: "", None: ""}
 
 
+def _written(rng, kind):
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    if kind == "iban":
+        body = n(18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+    body = "4" + n(14)
+    card = body + pii_feistel.luhn_digit(body)
+    return card if kind == "card" else " ".join(card[i : i + 4] for i in (0, 4, 8, 12))
+
+
+def test_pseudonyms_of_values_beside_others():
+    rng = random.Random(4)
+    beside = {"card": ["{} 123", "{} 12/25", "{} 7", "123 {}", "415 555 2671 {}", "{} 415-555-2671", "no {} 12-34 x"], "spaced": ["{} 123", "{} 12/25", "2024 {}", "415 555 0199 {} 1"], "iban": ["{} BIC", "{} COBADEFF XXX", "{} 12", "BIC {}", "IBAN {} EUR 500"]}
+    p, back = pii_feistel.Pseudonyms(), pii_feistel.Pseudonyms(reverse=True)
+    for kind, shapes in beside.items():
+        for _ in range(40):
+            v = _written(rng, kind)
+            for shape in shapes:
+                text = shape.format(v)
+                new, spans = p.replace(text)
+                at = shape.index("{}")
+                assert any(k == kind.replace("spaced", "card") and a <= at and z >= at + len(v) for k, a, z in spans), (text, spans)
+                assert "415 555" not in new
+                assert back.restore(new, ",".join(f"{k}:{a}:{z}" for k, a, z in spans))[0] == text
+                if kind != "spaced":
+                    assert p.replace(v)[0] in new
+
+
+@pytest.mark.parametrize("number", ["+14155552671", "+1 4155552671", "+1(415)555-2671", "(415)555-2671", "(415)5552671", "+4915112345678", "+1415 555 2671"])
+def test_pseudonyms_of_phones_without_separators(number):
+    new, spans = pii_feistel.Pseudonyms().replace(f"call {number} 123 now")
+    assert spans == [("phone", 5, 5 + len(number))] and new[5 : 5 + len(number)] != number
+    assert new[5:7] == number[:2] or number[0] != "+"
+    assert pii_feistel.Pseudonyms(reverse=True).replace(new)[0] == f"call {number} 123 now"
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 366, 1000])
 def test_feistel_is_a_permutation(n):
     f = pii_feistel.Feistel("key", "tweak", n)
