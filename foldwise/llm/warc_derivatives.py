@@ -25,8 +25,14 @@ DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:foldwise:warc")
 CRLF = "\r\n"
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<![^>]*+>", re.S | re.I)
-_TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*+)[^>\"']*+(?:(?:\"[^\"]{0,4096}+\"|'[^']{0,4096}+'|[\"'])[^>\"']*+)*?>", re.S)
+#: The rest of a tag: quoted values, of any length, hide their '>'.
+_ATTRS = r"(?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+')|=)*+>"
+_TOKEN = re.compile(rf"<!--|<![^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+){_ATTRS}")
+#: Elements without visible text: those of raw text run to their end tag or the page's end, the others nest.
+_RAW, _NESTED = frozenset(["script", "style"]), frozenset(["noscript", "template", "svg"])
+_CLOSE = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*+>", re.I) for n in (*_RAW, "title", "noframes")}
+#: What a head may hold, besides those; anything else ends it.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta".split())
 _BREAK = frozenset(
     "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
 )
@@ -40,14 +46,71 @@ _SPACE, _LINES = re.compile(r"[ \t\r\f\v\xa0]{2,}+|[\t\r\f\v\xa0]"), re.compile(
 
 def to_text(page: str) -> str:
     """The page's visible text: one line a block, spaces collapsed, entities resolved."""
-    page = _DROP.sub(" ", page)
     page = page.replace("\n", " ")
-    page = _TAG.sub(lambda m: "\n" if m[1].lower() in _BREAK else "", page)
+    out, at, pairs = [], 0, {}
+    while m := _TOKEN.search(page, at):
+        name = m[2].lower() if m[2] else None
+        out.append(page[at : m.start()])
+        at = m.end()
+        if name is None or (not m[1] and (name == "head" or name in _RAW or name in _NESTED)):
+            at = _head_end(page, at, pairs) if name == "head" else _hidden_end(page, m, name, pairs)
+            out.append(" ")
+        elif name in _BREAK:
+            out.append("\n")
+    page = "".join(out) + page[at:]
     if "&" in page:
         page = html.unescape(page)
     return _LINES.sub("\n", _SPACE.sub(" ", page)).strip()
 
 
+def _hidden_end(page: str, m: re.Match, name: str | None, pairs: dict) -> int:
+    """Where a comment, declaration or element without visible text ends; one that is never closed is its tag alone.
+
+    ``pairs`` keeps, by name, where the elements that start at a place end.
+    """
+    if name is None:
+        end = page.find("-->", m.end()) + 3 if m[0] == "<!--" else m.end()
+        return end if end > 2 else len(page)
+    if name in _RAW:
+        close = _CLOSE[name].search(page, m.end())
+        return close.end() if close else len(page)
+    if name not in pairs:
+        pairs[name], still_open = {}, []
+        for t in _TOKEN.finditer(page, m.start()):
+            if (t[2] or "").lower() != name:
+                continue
+            if not t[1]:
+                if not (name == "svg" and t[0].endswith("/>")):
+                    still_open.append(t.start())
+            elif still_open:
+                pairs[name][still_open.pop()] = t.end()
+    return pairs[name].get(m.start(), m.end())
+
+
+def _head_end(page: str, at: int, pairs: dict) -> int:
+    """Where a head ends: after its end tag, which may be left out, or before what can only be in the body."""
+    while m := _TOKEN.search(page, at):
+        name = m[2].lower() if m[2] else None
+        if page[at : m.start()].strip():
+            return at
+        if m[1]:
+            if name in ("body", "html", "br"):
+                return m.start()
+            at = m.end()
+            if name == "head":
+                return at
+        elif name in ("title", "noframes"):
+            close = _CLOSE[name].search(page, m.end())
+            at = close.end() if close else m.end()
+        elif name is None or name in _RAW or name in ("noscript", "template"):
+            at = _hidden_end(page, m, name, pairs)
+        elif name in _IN_HEAD:
+            at = m.end()
+        else:
+            return m.start()
+    return at
+
+
 def links(page: str, base: str | None) -> list[dict]:
     """Links in page order, resolved against the page's URI."""
     host = _HOST.match(base or "")

@@ -376,3 +376,25 @@ def test_pipeline_stages(spark, tmp_path):
     mixed = {r["doc_id"]: r["n"] for r in spark.read.parquet(f"{tmp_path}/3").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     packed = {r["doc_id"]: r["n"] for r in at.where("piece = 0").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert mixed == packed
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<head><title>t</title><meta charset=x><body><p>one</p>", "one"),
+        ("<head><title>t</title><p>one</p>two", "one\ntwo"),
+        ("<head><title>t</title><script>s</script>bare <b>text</b>", "bare text"),
+        ("<head><noscript><style>x</style></noscript></head>one", "one"),
+        ("a <svg width=1 /> b <svg><g/><svg></svg>no</svg> c", "a b c"),
+        ("a <svg><p>b</p>", "a\nb"),
+        ("a <noscript>b <template>no</template>c", "a b c"),
+        ("a <i data-json='" + "x" * 9000 + "> no'>b</i>", "a b"),
+        ('a <iframe srcdoc="<script><p>no ' + "y" * 9000 + '"></iframe>b', "a b"),
+        ("a <img src=\"data:image/svg+xml,<svg xmlns='u'>\">b", "a b"),
+        ("<p title=it's>Hello it's</p>", "Hello it's"),
+        ("a <script>no", "a"),
+        ("a <!-- no", "a"),
+    ],
+)
+def test_conversion_keeps_all_text(page, want):
+    assert warc_derivatives.to_text(page) == want
