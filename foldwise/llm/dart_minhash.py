@@ -11,17 +11,15 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import text_of, written
+from foldwise.llm.common import forget, text_of, written
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: 24 bands of 5: a pair at 0.8 shares a band with probability 0.9999, one at 0.3 with 0.06.
 BANDS, BAND_ROWS = 24, 5
-#: Leaders of a bucket grow by this factor each round; buckets with no more texts than leaders are paired in full.
-LEADERS = 16
 #: Documents whose darts are thrown together.
 DOCS_AT_ONCE = 64
 
@@ -106,13 +104,16 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray,
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_rows: int = BAND_ROWS, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, content, bands``: a hash of the word sequence's shingles and one hash for each band."""
+    """``doc_id, th, node, bands``: a hash of the text, one of its shingles in order, and one hash for each band.
+
+    Texts with the same shingles are one node. A text without words has no bands.
+    """
 
     def sketch(batches):
         for b in batches:
-            for lo in range(0, len(b), DOCS_AT_ONCE):
-                part = b.iloc[lo : lo + DOCS_AT_ONCE]
-                bags = [shingles(text, size) for text in part["text"]]
+            for lo in range(0, b.num_rows, DOCS_AT_ONCE):
+                part = b.slice(lo, DOCS_AT_ONCE)
+                bags = [shingles(text, size) for text in part.column("text").to_pylist()]
                 counted = [np.unique(s, return_counts=True) for s in bags]
                 doc = np.repeat(np.arange(len(bags)), [len(e) for e, _ in counted])
                 elements, weights = (np.concatenate(x) for x in zip(*counted))
@@ -120,43 +121,56 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
                 h = np.broadcast_to(np.arange(bands).astype(np.uint64), sig.shape[:2])
                 for r in range(band_rows):
                     h = _mix(h ^ sig[:, :, r])
-                out = [x if len(s) else x[:0] for x, s in zip(h.view(np.int64), bags)]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "content": [_digest(s) for s in bags], "bands": out})
+                out = _lists([x if len(s) else x[:0] for x, s in zip(h.view(np.int64), bags)])
+                nodes = pa.array([_digest(s) for s in bags], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), nodes, out], ["doc_id", "th", "node", "bands"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(sketch, "doc_id long, th long, node binary, bands array<long>")
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(sketch, "doc_id long, content string, bands array<long>")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
 
 
-def _digest(s: np.ndarray) -> str:
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(x) for x in arrays])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], pa.int64()))
+
+
+def _digest(s: np.ndarray) -> bytes:
     import xxhash
 
-    return xxhash.xxh3_128_hexdigest(s.tobytes())
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _cells(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``id, cells``: a hash for each (shingle, how many before it), so that bags meet as sets."""
+def _cells(texts: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
+    """``node, cells`` of rows with a ``text``: a hash for each (shingle, how many before it), so that bags meet as sets."""
 
     def build(batches):
         for b in batches:
-            out = []
-            for text in b["text"]:
-                s = np.sort(shingles(text, size))
+            nodes, out = [], []
+            for text in b.column("text").to_pylist():
+                s = shingles(text, size)
+                nodes.append(_digest(s))
+                s = np.sort(s)
                 first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]][: len(s)])
                 nth = np.arange(len(s)) - np.repeat(first, np.diff(np.r_[first, len(s)]))
                 out.append(_mix(s ^ _mix(nth.astype(np.uint64))).view(np.int64))
-            yield pd.DataFrame({"id": b["id"], "cells": out})
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), _lists(out)], ["node", "cells"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(build, "id long, cells array<long>")
+    return texts.select("text").mapInArrow(build, "node binary, cells array<long>")
 
 
-def _verified(pairs: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` whose weighted Jaccard similarity reaches the threshold."""
+def _met(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` with ``shared``, the cells that both have, and both sizes."""
     left, right = cells.toDF("a", "cells_a"), cells.toDF("b", "cells_b")
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("cells_a", "cells_b"))
-    both = both.select("a", "b", shared.alias("shared"), (F.size("cells_a") + F.size("cells_b")).alias("total"))
-    return both.where(F.col("shared") >= similarity * (F.col("total") - F.col("shared"))).select("a", "b")
+    both = pairs.join(right, "b").join(left, "a")
+    return both.select("a", "b", F.size(F.array_intersect("cells_a", "cells_b")).alias("shared"), F.size("cells_a").alias("size_a"), F.size("cells_b").alias("size_b"))
+
+
+def _reaches(shared: Column, size_a: str, size_b: str, similarity: float) -> Column:
+    """Whether so many shared cells of two bags make their weighted Jaccard similarity at least the threshold."""
+    return shared >= F.lit(similarity) * (F.col(size_a) + F.col(size_b) - shared)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,64 +182,105 @@ def components(edges: DataFrame) -> DataFrame:
         new = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("root"))
         new = written(new.join(jump, "label", "left").select("id", F.least("label", F.coalesce("root", "label")).alias("label"), "old"), "labels")
-        moved = new.where("label <> old").limit(1).count()
-        labels = new.select("id", "label")
-        if not moved:
-            return labels
+        forget(labels)
+        labels = new
+        if not new.where("label <> old").limit(1).count():
+            forget(both)
+            return labels.select("id", "label")
+
 
+def _candidates(met: DataFrame, labels: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of texts that met the same leader, that may be linked and aren't known to belong together.
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs of texts in one bucket: ``key, rep`` with ``key, lead``, and components if both have them."""
-    both = left.join(right, "key").where("rep <> lead")
-    if "comp" in left.columns:
-        both = both.where("comp <> lead_comp")
-    return both.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    Of two bags s and m and their leader c no more than ``min(|s & c|, |m & c|) + |(s - c) & (m - c)|`` cells are
+    shared. So either what both share with c suffices by itself (first kind; since one of the two lies outside c's
+    component, the other is then shorter than c), or they share a cell that c lacks (second kind, an equality
+    join on such cells). Texts that differ from their leader each in its own way meet in neither.
+    """
+    known = labels.select(F.col("id").alias("x"), "label")
+    lead = met.groupBy("b").agg(F.max("size_b").alias("size"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = lead.select(F.col("b").alias("lead"), F.col("b").alias("x"), F.col("size").alias("k"), "size", F.col("size").alias("lead_size"))
+    rows = met.join(lead.select("b"), "b", "left_semi").select(F.col("b").alias("lead"), F.col("a").alias("x"), F.col("shared").alias("k"), F.col("size_a").alias("size"), F.col("size_b").alias("lead_size"))
+    rows = written(rows.unionByName(own).join(known, "x", "left").select("lead", "x", "k", "size", "lead_size", F.coalesce("label", "x").alias("comp")), "met-rows")
+    comps = rows.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("x") == F.col("lead"), F.col("comp"))).alias("main")).where("lo <> hi")
+    met_rows, rows = rows, written(rows.join(comps.select("lead", "main"), "lead"), "open")
+
+    # either text of a candidate pair is a stray, outside the leader's component
+    stray = rows.where("comp <> main")
+    shorter = stray.groupBy("lead").agg(F.max(F.col("k") * (1 + similarity) / similarity - F.col("size")).alias("room"))
+    short = rows.join(shorter, "lead").where(F.col("size") <= F.col("room") + 1e-6)
+    s = stray.select("lead", F.col("x").alias("a"), F.col("k").alias("k_a"), F.col("size").alias("size_a"), F.col("comp").alias("comp_a"))
+    m = short.select("lead", F.col("x").alias("b"), F.col("k").alias("k_b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"), "main")
+    enough = _reaches(F.least("k_a", "k_b"), "size_a", "size_b", similarity)
+    once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    first = s.join(m, "lead").where((F.col("comp_a") != F.col("comp_b")) & once & enough)
+
+    bags = rows.where("x <> lead").join(cells.withColumnRenamed("node", "x"), "x").join(cells.toDF("lead", "lead_cells"), "lead")
+    other = F.array_except("cells", "lead_cells")
+    apart = bags.select("lead", "x", "k", "size", "comp", "main", F.explode(other).alias("cell"))
+    every = written(apart.select(F.xxhash64("lead", "cell").alias("group"), "lead", "x", "k", "size", "comp", "main"), "apart")
+    # a cell that one component only has brings nobody together; the rest are counted for each text
+    several = every.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("group")
+    common = written(every.join(several, "group", "left_semi"), "common")
+    extra = common.groupBy("lead", "x").agg(F.count(F.lit(1)).alias("extra"))
+    apart = written(common.join(extra, ["lead", "x"]), "counted")
+    s = apart.where("comp <> main").select("group", F.col("x").alias("a"), F.col("k").alias("k_a"), F.col("size").alias("size_a"), F.col("comp").alias("comp_a"), F.col("extra").alias("e_a"))
+    m = apart.select("group", F.col("x").alias("b"), F.col("k").alias("k_b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"), F.col("extra").alias("e_b"), "main")
+    enough = _reaches(F.least("k_a", "k_b") + F.least("e_a", "e_b"), "size_a", "size_b", similarity)
+    second = s.join(m, "group").where((F.col("comp_a") != F.col("comp_b")) & once & enough)
+    pairs = first.select("a", "b").unionByName(second.select("a", "b"))
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    forget(met_rows, rows, every, common, apart)
+    return pairs
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Membership ``doc_id, rep``, and ``id, label``: the connected component of representatives that have links.
-
-    Rows with the same shingles share a representative (the smallest id), so copies of any number are one text. All
-    links are verified on the texts' full shingles. First each text of a bucket meets one leader, and components
-    are formed; within a component no more needs comparing. In each later round the strays of a bucket, those
-    outside its largest component, meet LEADERS times as many leaders of other components. A bucket with no
-    more texts than leaders is then compared in full across its components, so in the end every bucket is, and
-    none ever pairs the texts that are known to belong together.
+    """Membership ``doc_id, th, node`` and ``node, class_id, class_th, rep_id``, one row a node.
+
+    Rows with the same shingles are one node, so copies of any number are one text; all links are verified on
+    the nodes' full shingles. Texts of a bucket first meet one leader, the one with most company over all
+    its buckets, and components are formed. Texts of different components that met the same leader are compared
+    wherever :func:`_candidates` can't rule a link out, so none is lost between texts that share a bucket, and
+    no bucket is ever paired with itself.
     """
     sig = written(sketches(docs, id_col, text_col), "sketches")
-    texts = sig.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    members = sig.select("doc_id", "content").join(texts.select("content", "rep"), "content").select("doc_id", "rep")
-    members = written(members, "members")
-    rows = written(texts.where("rep is not null").select("rep", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "rep"), "bands")
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = written(rows.join(full, "key").select("key", "rep", "n"), "buckets")
-    ids = rows.select(F.col("rep").alias("__fw_rep")).distinct()
-    candidates = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    who = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    texts = written(sig.groupBy("node").agg(F.min(who).alias("who"), F.first("bands").alias("bands")), "texts")
+    rows = texts.select("node", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "node")
+    shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+    rows = written(rows.join(shared, "key").select("key", "node", "n"), "buckets")
+    company = written(rows.groupBy("node").agg(F.sum("n").alias("company")), "company")
+
     # the same plan at every size, a shuffle by id
-    candidates = candidates.join(ids.hint("merge"), F.col("id") == F.col("__fw_rep"), "left_semi")
-    cells = written(_cells(candidates, "id", "text").dropDuplicates(["id"]), "cells")
-
-    most = rows.agg(F.max("n")).first()[0] or 0
-    lead = rows.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("lead"))
-    links = written(_verified(_pairs(rows, lead), cells, similarity), "links")
-    labels, leaders, done = components(links), LEADERS, 1
-    while done < most:
-        known = labels.select(F.col("id").alias("rep"), "label")
-        cur = rows.where(F.col("n") > done).join(known, "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("comp"))
-        sizes = cur.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "main")
-        cur = written(cur.join(main, "key"), "open")
-        strays = cur.where("comp <> main").select("key", "rep", "comp")
-        part = F.pmod(F.xxhash64("rep", F.lit(leaders)), F.lit(leaders))
-        some = cur.where(F.col("n") > leaders).groupBy("key", part.alias("part"))
-        some = some.agg(F.min_by(F.struct(F.col("rep").alias("lead"), F.col("comp").alias("lead_comp")), F.xxhash64("key", "rep")).alias("l")).select("key", "l.*")
-        every = cur.where(F.col("n") <= leaders).select("key", F.col("rep").alias("lead"), F.col("comp").alias("lead_comp"))
-        found = written(_verified(_pairs(strays, every.unionByName(some)), cells, similarity), "links")
-        if found.limit(1).count():
-            links = written(links.unionByName(found), "links")
-            labels = components(links)
-        done, leaders = leaders, leaders * LEADERS
-    return members, labels
+    wanted = texts.join(company.select("node"), "node", "left_semi").select(F.col("who.doc_id").alias("__fw_id"), F.col("who.th").alias("__fw_th"))
+    candidates = _texts(docs, id_col, text_col)
+    same = F.col("doc_id").eqNullSafe(F.col("__fw_id")) & (F.col("th") == F.col("__fw_th"))
+    candidates = candidates.join(wanted.hint("merge"), same, "left_semi")
+    cells = written(_cells(candidates).dropDuplicates(["node"]), "cells")
+
+    ranked = rows.join(company, "node")
+    lead = ranked.groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("b"))
+    pairs = rows.select("key", F.col("node").alias("a")).join(lead, "key").where("a <> b").select("a", "b").distinct()
+    met = written(_met(pairs, cells), "met")
+    links = met.where(_reaches(F.col("shared"), "size_a", "size_b", similarity)).select("a", "b")
+    labels = components(links)
+    more = _met(_candidates(met, labels, cells, similarity), cells)
+    more = written(more.where(_reaches(F.col("shared"), "size_a", "size_b", similarity)).select("a", "b"), "links")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
+    forget(shared, rows, company, cells, met, more)
+
+    known = labels.toDF("node", "label")
+    nodes = texts.select("node", "who").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = nodes.groupBy("label").agg(F.min("who").alias("first"))
+    nodes = nodes.join(first, "label").select("node", F.col("first.doc_id").alias("class_id"), F.col("first.th").alias("class_th"), F.col("who.doc_id").alias("rep_id"))
+    return sig.select("doc_id", "th", "node"), written(nodes, "classes")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    members, nodes = near_classes(docs, id_col, text_col, similarity)
+    kept = F.col("class_id").eqNullSafe(F.col("doc_id")) & (F.col("class_th") == F.col("th"))
+    return members.join(nodes, "node").select("doc_id", "th", "class_id", "rep_id", kept.alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -236,19 +291,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with the same shingles. The smallest id of a class is kept.
 
     Null and empty texts have no words and are one class of copies. A text of fewer than five words is one
-    shingle. Rows that repeat an id are in the class of each of their texts' representatives, each by its own
-    text. A null id is in the class of its text's copies, and a class of null ids only has a null class_id and
-    keeps them. An empty table gives an empty result; other columns are ignored.
+    shingle. Rows are told apart by their texts, not by ids: rows that repeat an id, and rows of null ids, are each
+    in the class of their own text. A null id is never a class's id beside others; a class of null ids only has a
+    null class_id. Of rows in a class that repeat its id one text is kept (the smallest hash), and rows that
+    repeat the text too are all marked as kept. An empty table gives an empty result; other columns are ignored.
     """
-    members, labels = near_classes(docs, id_col, text_col, similarity)
-    known = labels.select(F.col("id").alias("rep"), "label")
-    cls = F.coalesce("label", "rep")
-    rows = members.join(known, "rep", "left")
-    return rows.select("doc_id", cls.alias("class_id"), F.col("rep").alias("rep_id"), cls.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return _classed(docs, id_col, text_col, similarity).drop("th")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The input's rows and columns, of each class the smallest id only."""
-    found = near_duplicates(docs, id_col, text_col, similarity)
-    gone = written(found.where("not kept").select(F.col("doc_id").alias("__fw_gone")).distinct(), "near-gone")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__fw_gone")), "left_anti")
+    """The input's rows and columns, one row of each class: that of the smallest id, as :func:`near_duplicates` has it.
+
+    Of rows that repeat both the kept id and its text any one stays.
+    """
+    found = written(_classed(docs, id_col, text_col, similarity), "near-rows")
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("__fw_gone"), F.col("th").alias("__fw_gone_th")).distinct(), "near-gone")
+    again = found.where("kept").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = written(again.select(F.col("doc_id").alias("__fw_gone"), F.col("th").alias("__fw_gone_th")), "near-again")
+    forget(found)
+    marked = docs.withColumn("__fw_th", F.xxhash64(text_of(text_col)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__fw_gone")) & (F.col("__fw_th") == F.col("__fw_gone_th"))
+    kept = marked.join(gone, same, "left_anti")
+    if again.limit(1).count():
+        once = kept.join(again, same, "left_semi").dropDuplicates([id_col, "__fw_th"])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.drop("__fw_th")
