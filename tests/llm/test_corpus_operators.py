@@ -174,8 +174,9 @@ def test_mix(docs, rows):
         assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == sizes[r["source"]]
         assert 0 <= r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
         taken[r["source"]] += r["taken"]
-    for s in order:
-        assert abs(taken[s] - target[s]) <= max(r["size"] for r in got if r["source"] == s)
+    for s in order:  # one document has 6,000 words; what a source misses is a small one
+        small = sorted(r["size"] for r in got if r["source"] == s and r["size"])
+        assert abs(taken[s] - target[s]) <= max(small[len(small) // 3], 0.01 * target[s]), s
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
 
 
@@ -183,6 +184,19 @@ def test_apply_mix_repeats_rows(docs):
     copies = sum(r["copies"] for r in mixing.mix(docs).collect())
     out = mixing.apply_mix(docs)
     assert out.columns == docs.columns and out.count() == copies
+    want = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    got = collections.Counter((r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in out.collect())
+    assert got == +want
+
+
+def test_apply_mix_takes_each_repeated_row_in_turn(spark):
+    rows = [(7, "a b c", "s", i) for i in range(40)] + [(7, "a b d", "s", 50), (None, "a b c", "s", 51), (8, "x " * 9, "t", 52), (9, "y " * 200, "u", 53)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    got = collections.Counter(r["copies"] for r in mixing.apply_mix(docs).collect())
+    assert sum(got.values()) == sum(r["copies"] for r in mixing.mix(docs).collect())
+    assert max(got[i] for i in range(40)) - min(got[i] for i in range(40)) <= 1
 
 
 def test_packing(docs, rows):
