@@ -31,7 +31,7 @@ def _chosen(df: DataFrame, keys: Sequence[Column | str], seed, least: int, rate:
     n = df.count()
     df = df.withColumn("__u", uniform(*keys, seed=seed))
     order = [F.col("__u"), *[F.col(k) if isinstance(k, str) else k for k in keys]]
-    df = row_numbers(df, [], order, by_uniform(F.col("__u")), name)
+    df = row_numbers(df, [], order, by_uniform(F.col("__u"), n), name)
     return df.withColumn("__most", F.lit(max(least, int(n * rate)))).drop("__u")
 
 

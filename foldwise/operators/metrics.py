@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.formulas import clip
 from foldwise.operators.ranking import by_cuts, percentiles, running
+from foldwise.sources.scratch import written
 
 
 def score_counts(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
-    """``keys, score, pos, neg``: every metric of rank needs no more."""
+    """``keys, score, pos, neg``: every metric of rank needs no more. Written, as it is read several times."""
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    return known.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
+    counts = known.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg")
     )
+    return written(counts, "scores")
 
 
 def auroc(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:

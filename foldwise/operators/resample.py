@@ -15,7 +15,7 @@ def numbered(df: DataFrame, keys: Sequence[str | Column], seed=0, name: str = "r
     """Rows numbered from 0 in the order of a hash of their keys."""
     df = df.withColumn("__u", uniform(*keys, seed=seed))
     order = [F.col("__u"), *[F.col(k) if isinstance(k, str) else k for k in keys]]
-    return row_numbers(df, [], order, by_uniform(F.col("__u")), "__rn").withColumn(name, F.col("__rn") - 1).drop("__rn", "__u")
+    return row_numbers(df, [], order, by_uniform(F.col("__u"), df.count()), "__rn").withColumn(name, F.col("__rn") - 1).drop("__rn", "__u")
 
 
 def draws(spark, n: int, resamples: int, seed=0) -> DataFrame:

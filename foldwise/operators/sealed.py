@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.formulas import clip
-from foldwise.operators.ranking import percentiles, train_percentiles
+from foldwise.operators.ranking import train_percentiles
+from foldwise.sources.scratch import written
 
 FOLDS = 5
 
@@ -25,10 +26,17 @@ def _per_fold(row: DataFrame, folds: int, fold: str) -> DataFrame:
     return _folds(row, folds, fold).join(F.broadcast(row))
 
 
-def fit_percentiles(df: DataFrame, column: str, probs: dict[str, float], scope: str = "fold", fold: str = "fold", folds: int = FOLDS) -> DataFrame:
+def fit_percentiles(df: DataFrame, columns: str | Sequence[str], probs: dict[str, float], scope: str = "fold", fold: str = "fold", folds: int = FOLDS) -> DataFrame:
+    """``fold, <names>`` of one column, or ``fold, <column>__<name>...`` of several, all in one pass; a row for each fold."""
+    several = [columns] if isinstance(columns, str) else list(columns)
     if scope == "fold":
-        return train_percentiles(df, column, probs, fold, folds)
-    return _per_fold(percentiles(df, [], column, probs), folds, fold)
+        fitted = train_percentiles(df, several, probs, fold, folds)
+    else:
+        fitted = train_percentiles(df.withColumn(fold, F.lit(-1)), several, probs, fold, folds)
+    got = {(r[fold], r["feature"]): r for r in fitted.collect()}
+    names = [(c, n, n if isinstance(columns, str) else f"{c}__{n}") for c in several for n in probs]
+    rows = [(f, *[got[f, c][n] for c, n, _ in names]) for f in range(folds)]
+    return df.sparkSession.createDataFrame(rows, ", ".join([f"{fold} int", *[f"`{x}` double" for _, _, x in names]]))
 
 
 def fit_threshold(df: DataFrame, column: str, q: float = 0.25, scope: str = "fold", fold: str = "fold", folds: int = FOLDS) -> DataFrame:
@@ -128,7 +136,8 @@ def apply_ordinal(df: DataFrame, params: DataFrame, column: str, name: str, fold
 class FoldSealedPreprocessor:
     """Impute, encode, winsorize (encoded columns too), then scale; each step fitted on what the last one made.
 
-    ``scope="global"`` fits the same steps on all rows: the leak.
+    ``scope="global"`` fits the same steps on all rows: the leak. All columns of a step are fitted in one pass, and
+    fitted parameters are tables of a row for each fold (and category).
     """
 
     def __init__(self, numeric: Sequence[str], categorical: Sequence[str] = (), scope: str = "fold", fold: str = "fold", folds: int = FOLDS):
@@ -137,34 +146,44 @@ class FoldSealedPreprocessor:
         self.fold = fold
         self.params: dict[tuple[str, str], DataFrame] = {}
 
+    @property
+    def _columns(self) -> list[str]:
+        return self.numeric + [f"{c}_code" for c in self.categorical]
+
+    def _fill(self, df: DataFrame) -> DataFrame:
+        df = df.join(F.broadcast(self.params["median", "*"]), self.fold, "left")
+        return df.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}__median")) for c in self.numeric}).drop(*[f"{c}__median" for c in self.numeric])
+
+    def _encode(self, df: DataFrame, c: str) -> DataFrame:
+        df = apply_fill(df, self.params["mode", c], c, "mode", fold=self.fold)
+        df = apply_ordinal(df, self.params["ordinal", c], c, f"{c}_code", self.fold)
+        return df.withColumn(f"{c}_code", F.col(f"{c}_code").cast("double"))
+
+    def _clip(self, df: DataFrame) -> DataFrame:
+        df = df.join(F.broadcast(self.params["winsor", "*"]), self.fold)
+        return df.withColumns({c: clip(F.col(c), F.col(f"{c}__lo"), F.col(f"{c}__hi")) for c in self._columns}).drop(*[f"{c}__{x}" for c in self._columns for x in ("lo", "hi")])
+
     def fit_transform(self, df: DataFrame) -> DataFrame:
-        for c in self.numeric:
-            self.params["median", c] = fit_median(df, c, **self.at)
-            df = apply_fill(df, self.params["median", c], c, "median", fold=self.fold)
+        if self.numeric:
+            self.params["median", "*"] = fit_percentiles(df, self.numeric, {"median": 0.5}, **self.at)
+            df = self._fill(df)
         for c in self.categorical:
-            self.params["mode", c] = fit_mode(df, c, **self.at)
-            df = apply_fill(df, self.params["mode", c], c, "mode", fold=self.fold)
-            self.params["ordinal", c] = fit_ordinal(df, c, **self.at)
-            df = apply_ordinal(df, self.params["ordinal", c], c, f"{c}_code", self.fold)
-            df = df.withColumn(f"{c}_code", F.col(f"{c}_code").cast("double"))
-        columns = self.numeric + [f"{c}_code" for c in self.categorical]
-        for c in columns:
-            self.params["winsor", c] = fit_winsor(df, c, **self.at)
-            df = apply_winsor(df, self.params["winsor", c], c, fold=self.fold)
-        self.params["scaler", "*"] = fit_scaler(df, columns, **self.at)
-        return apply_scaler(df, self.params["scaler", "*"], columns, fold=self.fold)
+            self.params["mode", c] = written(fit_mode(df, c, **self.at), "mode")
+            filled = apply_fill(df, self.params["mode", c], c, "mode", fold=self.fold)
+            self.params["ordinal", c] = written(fit_ordinal(filled, c, **self.at), "ordinal")
+            df = self._encode(df, c)
+        df = written(df, "encoded")
+        self.params["winsor", "*"] = fit_percentiles(df, self._columns, {"lo": 0.01, "hi": 0.99}, **self.at)
+        df = self._clip(df)
+        self.params["scaler", "*"] = written(fit_scaler(df, self._columns, **self.at), "scaler")
+        return apply_scaler(df, self.params["scaler", "*"], self._columns, fold=self.fold)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Apply what was fitted to other rows that carry a fold."""
         if not self.params:
             raise RuntimeError("fit_transform comes first")
-        for c in self.numeric:
-            df = apply_fill(df, self.params["median", c], c, "median", fold=self.fold)
+        if self.numeric:
+            df = self._fill(df)
         for c in self.categorical:
-            df = apply_fill(df, self.params["mode", c], c, "mode", fold=self.fold)
-            df = apply_ordinal(df, self.params["ordinal", c], c, f"{c}_code", self.fold)
-            df = df.withColumn(f"{c}_code", F.col(f"{c}_code").cast("double"))
-        columns = self.numeric + [f"{c}_code" for c in self.categorical]
-        for c in columns:
-            df = apply_winsor(df, self.params["winsor", c], c, fold=self.fold)
-        return apply_scaler(df, self.params["scaler", "*"], columns, fold=self.fold)
+            df = self._encode(df, c)
+        return apply_scaler(self._clip(df), self.params["scaler", "*"], self._columns, fold=self.fold)

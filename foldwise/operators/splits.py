@@ -8,21 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import uniform
-from foldwise.operators.ranking import by_uniform, row_numbers
+from foldwise.operators.ranking import by_cuts, by_uniform, row_numbers, running
+from foldwise.sources.scratch import written
 
 
 def stratified_folds(df: DataFrame, label: str, keys: Sequence[str | Column], k: int = 5, seed=0, name: str = "fold") -> DataFrame:
     """Balanced folds within each class: row number by hash, modulo k. Keys have to tell rows apart."""
     df = df.withColumn("__u", uniform(*keys, seed=seed))
     order = [F.col("__u"), *[F.col(x) if isinstance(x, str) else x for x in keys]]
-    df = row_numbers(df, [label], order, by_uniform(F.col("__u")), "__rn")
+    df = row_numbers(df, [label], order, by_uniform(F.col("__u"), df.count()), "__rn")
     return df.withColumn(name, ((F.col("__rn") - 1) % k).cast("int")).drop("__u", "__rn")
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5, seed=0, name: str = "fold") -> DataFrame:
     """Folds that keep groups whole: distinct groups dealt in the order of their hash."""
     groups = df.select(group).distinct().withColumn("__u", uniform(group, seed=seed))
-    groups = row_numbers(groups, [], [F.col("__u"), F.col(group)], by_uniform(F.col("__u")), "__rn")
+    groups = written(groups, "groups")
+    groups = row_numbers(groups, [], [F.col("__u"), F.col(group)], by_uniform(F.col("__u"), groups.count()), "__rn")
     groups = groups.select(F.col(group).alias("__g"), ((F.col("__rn") - 1) % k).cast("int").alias(name))
     return df.join(groups, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
@@ -30,10 +32,12 @@ def group_folds(df: DataFrame, group: str, k: int = 5, seed=0, name: str = "fold
 def stratified_group_folds(df: DataFrame, group: str, label: str, k: int = 5, seed=0, name: str = "fold") -> DataFrame:
     """Whole groups, dealt in a snake by how many positive rows they have, so that folds get alike shares."""
     groups = df.groupBy(group).agg(F.sum(F.col(label).cast("long")).alias("__pos"), F.count(F.lit(1)).alias("__n"))
-    groups = groups.withColumn("__u", uniform(group, seed=seed))
-    most = groups.agg(F.max("__pos")).first()[0] or 0
-    groups = groups.withColumn("__bucket", F.floor((F.lit(most) - F.col("__pos")) * 32 / F.lit(most + 1)).cast("int"))
-    groups = row_numbers(groups, [], [F.desc("__pos"), F.desc("__n"), F.col("__u"), F.col(group)], F.col("__bucket"), "__rn")
+    groups = written(groups.withColumn("__u", uniform(group, seed=seed)), "groups")
+    # rows with as many are ordered by hash; the pairs of numbers, few, come before each other
+    pairs = written(groups.groupBy("__pos", "__n").agg(F.count(F.lit(1)).alias("__m")), "pairs")
+    before = running(pairs, [], [F.desc("__pos"), F.desc("__n")], -by_cuts(pairs, "__pos"), {"__before": F.col("__m")}, exclusive=True)
+    groups = row_numbers(groups, ["__pos", "__n"], [F.col("__u"), F.col(group)], by_uniform(F.col("__u"), groups.count()), "__at")
+    groups = groups.join(before.select("__pos", "__n", "__before"), ["__pos", "__n"]).withColumn("__rn", F.col("__at") + F.col("__before"))
     at = (F.col("__rn") - 1) % (2 * k)
     fold = F.when(at < k, at).otherwise(2 * k - 1 - at).cast("int")
     return df.join(groups.select(F.col(group).alias("__g"), fold.alias(name)), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import formulas as fx
 from foldwise.functions.hashing import uniform, uniform_sql
-from foldwise.operators import attribution, checks, contaminate, joins, metrics, resample, rollup, sealed, splits, stats
+from foldwise.operators import attribution, checks, contaminate, joins, metrics, ranking, resample, rollup, sealed, splits, stats
+from foldwise.sources.scratch import written
 from foldwise.sources.tables import parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,11 +58,11 @@ PAIRED = """p AS (
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired rows in folds stratified by the overall quartile label."""
+    """Paired rows in folds stratified by the overall quartile label. Written once, as every fit reads them."""
     p = paired(spark, sf_dir)
-    q = sealed.percentiles(p, [], "y", {"q": 0.25}).first()["q"]
+    q = ranking.percentiles(p, [], "y", {"q": 0.25}).first()["q"]
     p = p.withColumn("y0", (F.col("y") <= F.lit(q)).cast("int"))
-    return splits.stratified_folds(p, "y0", ["rid"], FOLDS, SEED)
+    return written(splits.stratified_folds(p, "y0", ["rid"], FOLDS, SEED), "folded")
 
 
 FOLDED = f"""{PAIRED},
@@ -130,9 +131,9 @@ def paired_outcome(spark, sf_dir):
     p = paired(spark, sf_dir)
     a, b = F.col("a"), F.col("b")
     p = p.select("rid", F.col("y").alias("relative"), r6(fx.outcome("difference", a, b)).alias("difference"), r6(fx.outcome("ratio", a, b)).alias("ratio"))
-    q1 = sealed.percentiles(p, [], "relative", {"q": 0.25}).first()["q"]
-    q2 = sealed.percentiles(p, [], "difference", {"q": 0.75}).first()["q"]
-    q3 = sealed.percentiles(p, [], "ratio", {"q": 0.75}).first()["q"]
+    q1 = ranking.percentiles(p, [], "relative", {"q": 0.25}).first()["q"]
+    q2 = ranking.percentiles(p, [], "difference", {"q": 0.75}).first()["q"]
+    q3 = ranking.percentiles(p, [], "ratio", {"q": 0.75}).first()["q"]
     return p.withColumns({
         "low_relative": fx.binarise(F.col("relative"), F.lit(q1), "low"),
         "high_difference": fx.binarise(F.col("difference"), F.lit(q2), "high"),
@@ -695,7 +696,7 @@ def histogram(spark, sf_dir):
     f"WITH {PAIRED} SELECT flag, round(quantile_cont(a, 0.25), 6) AS q1, round(quantile_cont(a, 0.5), 6) AS median, round(quantile_cont(a, 0.75), 6) AS q3 FROM p GROUP BY flag",
 )
 def boxplot(spark, sf_dir):
-    out = sealed.percentiles(paired(spark, sf_dir), ["flag"], "a", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    out = ranking.percentiles(paired(spark, sf_dir), ["flag"], "a", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     return out.select("flag", *[r6(c).alias(c) for c in ("q1", "median", "q3")])
 
 
