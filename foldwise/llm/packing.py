@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_
     Documents longer than ``seq_len`` are cut into pieces of that length; the first may be shorter.
     """
     path = tokenizer or _default_tokenizer()
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches):
         encode = encoder(path)
@@ -80,18 +80,33 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_
                     out.append((*row, part.astype("i4")) if with_ids else row)
                     lo = hi
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-            yield frame.astype({"doc_id": "Int64", "piece": "int32"})
+            yield frame.astype({"piece": "int32"})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(cut, schema)
+    # ids go through pandas as strings: beside a null, whole numbers would be rounded to floats
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_of(text_col).alias("text"))
+    return rows.mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+#: Parts of exact complements tried, for documents over half a sequence and for the others.
+PASSES = (((1, 2, 3), (1, 2, 3)), ((1, 2, 3), (1, 3)), ((1, 2, 3), (1,)), ((1,), (1, 2, 3)), ((1,), (1, 3)), ((1,), (1,)))
 
 
 def plan(counts: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[int, tuple[int, ...]]]:
     """Patterns ``(how often, lengths)`` that use exactly ``counts`` documents of each length.
 
+    A pair or triple that fills one gap exactly can be missed elsewhere, so the lengths are planned with each of
+    PASSES and the plan with the fewest sequences is taken (of equal ones the earliest).
+    """
+    return min((_plan(counts, seq_len, *p) for p in PASSES), key=lambda found: sum(m for m, _ in found))
+
+
+def _plan(counts: dict[int, int], seq_len: int, long_parts: tuple[int, ...], short_parts: tuple[int, ...]) -> list[tuple[int, tuple[int, ...]]]:
+    """One plan: exact complements of the given numbers of parts, then best fit.
+
     From the longest length down, the gap it leaves is looked up among the single lengths that are still
     available, then again among pair sums, then among triple sums; each hit takes as many sequences at once as
-    the counts allow. Short documents make sequences of their own only while the long ones can't take them in. What has no exact complement is packed best fit, decreasing.
+    the counts allow. Short documents make sequences of their own only while the long ones can't take them in. What
+    has no exact complement is packed best fit, decreasing.
     """
     n = np.zeros(seq_len + 1, np.int64)
     for length, c in counts.items():
@@ -146,11 +161,11 @@ def plan(counts: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[int, tupl
         """Whether the short documents are more than what the long ones, each in a sequence of its own, have room for."""
         return int(n[: half + 1] @ sizes[: half + 1]) > int(n[half + 1 :] @ (seq_len - sizes[half + 1 :]))
 
-    for lengths in (range(seq_len, half, -1), range(half, 0, -1)):
-        for parts in (1, 2, 3):  # triples last: they use up the short documents that fill other gaps
+    for lengths, parts in ((range(seq_len, half, -1), long_parts), (range(half, 0, -1), short_parts)):
+        for k in parts:  # triples last: they use up the short documents that fill other gaps
             for length in lengths:
                 while n[length] > 0 and (length > half or spare()):
-                    rest = complement(length, parts)
+                    rest = complement(length, k)
                     if rest is None or not take((length, *rest)):
                         break
     # best fit, decreasing, in bulk: sequences of one pattern are filled together, by what they have left
@@ -224,8 +239,11 @@ def pack(cut: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
 
     kept = [c for c in cut.columns]
     names = [*kept, "sequence_id", "offset"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return rows.select(*kept, "__fw_rank").mapInPandas(place, schema)
+    # ids go through pandas as strings: beside a null, whole numbers would be rounded to floats
+    types = {f.name: f.dataType.simpleString() for f in cut.schema} | {"doc_id": "string"}
+    schema = ", ".join(f"`{k}` {t}" for k, t in types.items()) + ", sequence_id long, offset long"
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string")).select(*kept, "__fw_rank")
+    return rows.mapInPandas(place, schema).withColumn("doc_id", F.col("doc_id").cast(cut.schema["doc_id"].dataType))
 
 
 def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
