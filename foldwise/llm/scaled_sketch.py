@@ -1,8 +1,9 @@
 """Document fingerprints: threshold-scaled sketches of five-word shingles.
 
 A sketch holds every shingle hash below a fixed share of the hash space, so sketches of texts of any length
-compare and merge: shared hashes over one sketch's hashes estimate how much of that text the other contains.
-Column expressions only.
+compare and merge: shared hashes over one sketch's hashes estimate how much of that text the other contains. Where
+a short text has too few hashes there, its threshold is raised until LEAST of them (or all) are below, and a sketch tells
+its threshold; two sketches are compared below the lower of theirs. Column expressions only.
 """
 
 from __future__ import annotations
@@ -12,21 +13,25 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import text_of
+from foldwise.llm.common import let, text_of
 
 SHINGLE_WORDS = 5
 #: One of so many hashes is retained.
 SCALE = 4
 HASH_BITS = 40
+#: A sketch has at least so many hashes, or all of a text's.
+LEAST = 32
 #: Documents dealt to one bucket of neighbours, about, and most buckets.
 BUCKET_DOCS, MOST_BUCKETS = 500, 10_000
 
 
-def sketch(text: Column, scale: int = SCALE, size: int = SHINGLE_WORDS) -> Column:
-    """Sorted distinct retained hashes of a text's shingles, ``array<bigint>``.
+def sketch(text: Column, scale: int = SCALE, size: int = SHINGLE_WORDS, least: int = LEAST) -> Column:
+    """``struct<limit bigint, hashes array<bigint>>``: a text's distinct shingle hashes below the limit, sorted.
 
-    The words are those between white space, with ``size - 1`` empty ones at either end, so that even a text
-    of one word has ``size`` shingles. A text without words has none.
+    The limit is the fixed share of the hash space; for a text with fewer than ``least`` hashes there it is the
+    lowest that retains so many, and the whole space for one that has no more in all. The words are those between
+    white space, with ``size - 1`` empty ones at either end, so that even a text of one word has ``size``
+    shingles. A text without words has none.
     """
     pad = F.array(*[F.lit("")] * (size - 1))
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -34,34 +39,53 @@ def sketch(text: Column, scale: int = SCALE, size: int = SHINGLE_WORDS) -> Colum
     padded = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.concat(pad, w, pad)).otherwise(F.array().cast("array<string>")))
     shingles = F.transform(padded, lambda w: F.when(F.size(w) > 0, windows(w)))[0]
     hashes = F.transform(shingles, lambda s: F.shiftrightunsigned(F.xxhash64(s), 64 - HASH_BITS))
-    kept = F.filter(hashes, lambda h: h < (1 << HASH_BITS) // scale)
-    return F.array_sort(F.array_distinct(F.coalesce(kept, F.array().cast("array<bigint>"))))
+    share, space = F.lit((1 << HASH_BITS) // scale), F.lit(1 << HASH_BITS)
 
+    def limited(h: Column) -> Column:
+        below = F.size(F.filter(h, lambda x: x < share))
+        limit = F.when(below >= least, share).when(F.size(h) <= least, space).otherwise(F.get(h, F.lit(least - 1)) + 1)
+        return F.struct(limit.alias("limit"), F.filter(h, lambda x: x < limit).alias("hashes"))
 
-def as_string(hashes: Column) -> Column:
-    """Ten hexadecimal digits a hash."""
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), HASH_BITS // 4, "0")), "")
+    # texts of any length: only those with few hashes below the share are sorted in full
+    kept = lambda a: F.when(F.size(F.filter(a, lambda x: x < share)) >= least, F.filter(a, lambda x: x < share)).otherwise(a)
+    return let(let(F.coalesce(hashes, F.array().cast("array<bigint>")), lambda a: F.array_sort(F.array_distinct(kept(a)))), limited)
+
+
+def as_string(s: Column) -> Column:
+    """The limit in eleven hexadecimal digits and each hash in ten; empty for a text without words."""
+    digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
+    joined = F.array_join(F.transform(s["hashes"], lambda h: digits(h, HASH_BITS // 4)), "")
+    return F.when(F.size(s["hashes"]) > 0, F.concat(digits(s["limit"], HASH_BITS // 4 + 1), joined)).otherwise("")
+
+
+def _below(s: Column, limit: Column) -> Column:
+    return F.when(s["limit"] > limit, F.filter(s["hashes"], lambda h: h < limit)).otherwise(s["hashes"])
 
 
 def merged(a: Column, b: Column) -> Column:
     """The sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+    limit = F.least(a["limit"], b["limit"])
+    return F.struct(limit.alias("limit"), F.array_sort(F.array_union(_below(a, limit), _below(b, limit))).alias("hashes"))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; null where a's sketch is empty."""
-    return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(a).cast("double"))
+    """Estimated share of a's shingles that b has; null where a has none below the lower limit."""
+    limit = F.least(a["limit"], b["limit"])
+    return F.try_divide(F.size(F.array_intersect(_below(a, limit), _below(b, limit))).cast("double"), F.size(_below(a, limit)).cast("double"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity; null where both sketches are empty."""
-    shared = F.size(F.array_intersect(a, b)).cast("double")
-    return F.try_divide(shared, F.size(a) + F.size(b) - shared)
+    """Estimated Jaccard similarity; 1 where both texts have no words, and 0 where one has none."""
+    limit = F.least(a["limit"], b["limit"])
+    shared = F.size(F.array_intersect(_below(a, limit), _below(b, limit))).cast("double")
+    some = F.try_divide(shared, F.size(_below(a, limit)) + F.size(_below(b, limit)) - shared)
+    empty = (F.size(a["hashes"]) == 0) & (F.size(b["hashes"]) == 0)
+    return F.when(empty, 1.0).otherwise(F.coalesce(some, F.lit(0.0)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE) -> DataFrame:
-    """``doc_id, hashes``: one sketch per input row. Null text counts as empty and has an empty sketch."""
-    return docs.select(F.col(id_col).alias("doc_id"), sketch(text_of(text_col), scale).alias("hashes"))
+    """``doc_id, limit, hashes``: one sketch per input row. Null text counts as empty and has an empty sketch."""
+    return docs.select(F.col(id_col).alias("doc_id"), sketch(text_of(text_col), scale).alias("s")).select("doc_id", "s.limit", "s.hashes")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,9 +134,9 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, in_edited``. The
     edited text has its last quarter replaced by the start of the next document by id (after the last, the
-    first). Likeness is estimated Jaccard similarity; where neither sketch has a hash it is 1 for equal texts
-    and 0 otherwise. ``in_edited`` is the estimated share of the text that the edited text contains, null
-    without hashes. Null text counts as empty; rows that repeat an id follow each other by a hash of the text;
+    first). Likeness is estimated Jaccard similarity, by the sketches alone: exact between texts of up to LEAST
+    shingles, and 1 between texts without words. ``in_edited`` is the estimated share of the text that the
+    edited text contains, null without words. Null text counts as empty; rows that repeat an id follow each other by a hash of the text;
     null ids come last. A single row is its own next. An empty table gives an empty result.
     """
     rows = with_next(docs, id_col, text_col)
@@ -122,14 +146,13 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("own", sketch(F.col("text"), scale)).withColumn("other", sketch(F.col("edited"), scale))
     here = Window.partitionBy("bucket").orderBy("ghost", "key", "tie")
     rows = rows.withColumn("following", F.lead("own").over(here)).where("not ghost")
-    same = lambda x: (F.col("text") == F.col(x)).cast("double")
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         as_string(F.col("own")).alias("fingerprint"),
         as_string(F.col("other")).alias("edited_fingerprint"),
-        F.coalesce(likeness(F.col("own"), F.col("other")), same("edited")).alias("near_edited"),
-        F.coalesce(likeness(F.col("own"), F.col("following")), same("next_text")).alias("near_next"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"),
+        likeness(F.col("own"), F.col("following")).alias("near_next"),
         containment(F.col("own"), F.col("other")).alias("in_edited"),
     )
