@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import text_of, written
+from foldwise.llm.common import forget, text_of, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_CHARS = 128
@@ -29,8 +29,8 @@ def full_hash(text: str = "text") -> Column:
     return F.sha2(F.encode(normalised(text), "UTF-8"), 256)
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of two or more rows with equal text: ``sha``, ``keep_id``, ``group_size``.
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, len, prefix, sha`` of the rows whose length and prefix hash occur again.
 
     Lengths that occur once go first, then (length, prefix hash) pairs that occur once. Only what is
     left is read in full. Every count is a partial aggregate, so a group of any size stays cheap.
@@ -42,22 +42,32 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "exact-prefixes",
     )
     rows = docs.select(F.col(id_col).alias("id"), _length(text_col).alias("len"), _prefix(text_col).alias("prefix"), F.col(text_col).alias("text"))
+    # the two plans give the same rows
     if keys.count() <= BROADCAST_KEYS:
-        hashed = rows.join(F.broadcast(keys), ["len", "prefix"], "left_semi").select("id", full_hash().alias("sha"))
+        hashed = rows.join(F.broadcast(keys), ["len", "prefix"], "left_semi").select("id", "len", "prefix", full_hash().alias("sha"))
     else:  # hash first, so that the shuffle moves hashes and not texts
-        hashed = rows.select("id", "len", "prefix", full_hash().alias("sha")).join(keys, ["len", "prefix"], "left_semi").select("id", "sha")
-    return hashed.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+        hashed = rows.select("id", "len", "prefix", full_hash().alias("sha")).join(keys, ["len", "prefix"], "left_semi")
+    hashed = written(hashed.select("id", "len", "prefix", "sha"), "exact-survivors")
+    forget(sig, keys)
+    return hashed
+
+
+def duplicate_groups(hashed: DataFrame) -> DataFrame:
+    """Groups of two or more rows with equal text: ``sha``, ``keep_id``, ``group_size``, of :func:`survivors`' rows."""
+    return written(hashed.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "exact-groups")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z. The row with the largest id stays; rows that
-    repeat that id with an equal text are the same document and all stay. Null text counts as empty, and
-    all empty texts are one group. A null id never wins against another; a group of null ids only keeps
+    repeat that id with an equal text are the same document and all are marked as kept. Null text counts as
+    empty, and all empty texts are one group. A null id never wins against another; a group of null ids only keeps
     them. An empty table gives an empty result; other columns are ignored.
     """
-    groups = written(duplicate_groups(docs, id_col, text_col), "exact-groups")
+    hashed = survivors(docs, id_col, text_col)
+    groups = duplicate_groups(hashed)
+    forget(hashed)
     rows = docs.select(F.col(id_col).alias("doc_id"), full_hash(text_col).alias("sha"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.join(groups, "sha", "left").select(
@@ -70,14 +80,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without the copies that :func:`exact_dedup` drops."""
-    groups = duplicate_groups(docs, id_col, text_col).select(F.col("sha").alias("__fw_sha"), F.col("keep_id").alias("__fw_keep"))
-    ids = docs.select(F.col(id_col).alias("__fw_id"), full_hash(text_col).alias("__fw_sha"))
-    gone = ids.join(groups, "__fw_sha").where(~F.col("__fw_keep").eqNullSafe(F.col("__fw_id")))
-    gone = written(gone.select("__fw_id", F.col("__fw_sha").alias("__fw_gone")).distinct(), "exact-gone")
-    marked = docs.withColumn("__fw_sha", full_hash(text_col))
-    same = F.col("__fw_sha") == F.col("__fw_gone")
-    return marked.join(gone, same & F.col(id_col).eqNullSafe(F.col("__fw_id")), "left_anti").drop("__fw_sha")
+    """The input's rows and columns without the copies that :func:`exact_dedup` drops, one row for each text.
+
+    Of rows that repeat both the kept id and its text any one stays. Rows go by id, length and prefix hash; a text is
+    hashed in full only where these don't tell.
+    """
+    hashed = survivors(docs, id_col, text_col)
+    groups = duplicate_groups(hashed)
+    rows = hashed.join(groups, "sha")
+    named = [F.col("id").alias("__fw_id"), F.col("len").alias("__fw_len"), F.col("prefix").alias("__fw_prefix"), F.col("sha").alias("__fw_sha")]
+    gone = written(rows.where(~F.col("keep_id").eqNullSafe(F.col("id"))).select(*named).distinct(), "exact-gone")
+    again = rows.where(F.col("keep_id").eqNullSafe(F.col("id"))).groupBy("id", "len", "prefix", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = written(again.select(*named), "exact-again")
+    forget(hashed, groups)
+    marked = docs.withColumns({"__fw_l": _length(text_col), "__fw_p": _prefix(text_col)})
+    same = F.col(id_col).eqNullSafe(F.col("__fw_id")) & (F.col("__fw_l") == F.col("__fw_len")) & (F.col("__fw_p") == F.col("__fw_prefix"))
+    same = same & (full_hash(text_col) == F.col("__fw_sha"))
+    kept = marked.join(gone, same, "left_anti")
+    if again.limit(1).count():
+        once = kept.join(again, same, "left_semi").withColumn("__fw_h", full_hash(text_col)).dropDuplicates([id_col, "__fw_h"]).drop("__fw_h")
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.drop("__fw_l", "__fw_p")
 
 
 ORACLE = """
