@@ -231,7 +231,7 @@ def _cut_segments(match: int):
                 hashes, packed = np.asarray(hashes)[by], np.asarray(packed)[by]
                 digests = [_digest(int(h), data[p >> 10 : (p >> 10) + (p & 1023) + match - 1]) for h, p in zip(hashes.tolist(), packed.tolist())]
                 out.append((row, tie, doc, len(data), None, data, hashes, digests, packed))
-            yield pd.DataFrame(out, columns=["row", "tie", "doc_id", "n_bytes", "sha", "data", "hashes", "digests", "packed"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["row", "tie", "doc_id", "n_bytes", "sha", "data", "hashes", "digests", "packed"])
 
     return rows
 
@@ -295,7 +295,7 @@ def _finish(match: int):
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 runs = _runs(gone)
                 out.append((doc, n, int(gone.sum()), len(runs) // 2, hashlib.sha256(kept).hexdigest(), runs))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
     return rows
 
@@ -310,18 +310,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     text = text_of(text_col)
     key = ["row", "tie"]  # tells rows apart that repeat an id
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    texts = texts.select(F.coalesce("doc_id", F.xxhash64("text")).alias("row"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("tie"), "doc_id", "text")
+    # ids go through pandas as strings: beside a null, whole numbers would be rounded to floats
+    texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text.alias("text"))
+    texts = texts.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(1))).alias("row"), F.xxhash64("text").alias("tie"), "doc_id", "text")
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     again = texts.select("text").withColumns({k: F.lit(0) for k in key}).mapInPandas(_anchor_counts(match), "hash long, n long")
     again = again.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
-    live = texts.drop("doc_id").mapInPandas(_anchor_rows(match), "row long, tie int, hash long, packed long").join(again, "hash")
+    live = texts.drop("doc_id").mapInPandas(_anchor_rows(match), "row long, tie long, hash long, packed long").join(again, "hash")
     live = live.groupBy(key).agg(F.collect_list(F.struct("hash", "packed")).alias("l"))
     live = live.select(*key, F.col("l.hash").alias("hashes"), F.col("l.packed").alias("packed"))
     joined = texts.repartition(n_tasks, *key).join(live.repartition(n_tasks, *key).hint("merge"), key, "left")
     cut = joined.mapInPandas(
-        _cut_segments(match), "row long, tie int, doc_id long, n_bytes long, sha string, data binary, hashes array<long>, digests array<long>, packed array<long>"
+        _cut_segments(match), "row long, tie long, doc_id string, n_bytes long, sha string, data binary, hashes array<long>, digests array<long>, packed array<long>"
     )
     name = f"foldwise_cut_{uuid.uuid4().hex}"
     cut.write.bucketBy(n_tasks, *key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
@@ -360,7 +361,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = member.join(hits, ["hash", "digest"]).select(*key, "packed", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs"))
     spans = spans.groupBy(key).agg(F.collect_list(F.struct("packed", "runs")).alias("spans"))
     cleaned = cut.where("hashes is not null").select(*key, "doc_id", "data").join(spans, key, "left")
-    cleaned = cleaned.mapInPandas(_finish(match), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<int>")
+    cleaned = cleaned.mapInPandas(_finish(match), "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<int>")
     zero = F.lit(0).cast("long")
     clean = cut.where("hashes is null").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast("array<int>").alias("removed"))
-    return clean.unionByName(cleaned)
+    return clean.unionByName(cleaned).withColumn("doc_id", F.col("doc_id").cast("long"))
