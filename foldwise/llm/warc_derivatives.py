@@ -150,16 +150,17 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def run(batches):
         for b in batches:
             out = []
-            for page, url, body in zip(b["page_id"].astype("Int64"), b["url"], b["html"]):
+            for page, url, body in zip(b["page_id"], b["url"], b["html"]):
                 body = body or ""
                 size = len(body.encode("utf-8", "replace"))
                 http = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {size}", "", ""])
-                page = None if pd.isna(page) else int(page)
                 out.append((page, urn("response", str(page), url, body), url, date, http, body))
-            yield pd.DataFrame(out, columns=["page_id", "record_id", "target_uri", "date", "http", "payload"]).astype({"page_id": "Int64"})
+            yield pd.DataFrame(out, columns=["page_id", "record_id", "target_uri", "date", "http", "payload"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInPandas(run, "page_id long, record_id string, target_uri string, date string, http string, payload string")
+    # ids go through pandas as strings: beside a null, whole numbers would be rounded to floats
+    rows = pages.select(F.col(id_col).cast("long").cast("string").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    out = rows.mapInPandas(run, "page_id string, record_id string, target_uri string, date string, http string, payload string")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def _http_fields(http: str) -> tuple[str, dict]:
@@ -167,18 +168,25 @@ def _http_fields(http: str) -> tuple[str, dict]:
     return status, {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines if ":" in x)}
 
 
-def _derive(record_id: str, target_uri: str | None, date: str, http: str, payload: str) -> list[tuple]:
-    body = payload.encode("utf-8", "replace")
-    block = http.encode("utf-8", "replace") + body
-    block_digest, payload_digest = sha1(block), sha1(body)
-    source = {"WARC-Type": "response", "WARC-Record-ID": record_id, "WARC-Target-URI": target_uri, "WARC-Date": date}
-    source |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block)), "WARC-Block-Digest": block_digest, "WARC-Payload-Digest": payload_digest}
-    status, fields = _http_fields(http)
+def _derive(record_id: str, target_uri: str | None, date: str, http: str, payload: str, fields: dict | None = None) -> list[tuple]:
+    """The two records of a response. Header fields and digests are the source record's own where it has them."""
+    source = dict(fields or {})
+    if "WARC-Block-Digest" in source and "WARC-Payload-Digest" in source:
+        block_digest, payload_digest = source["WARC-Block-Digest"], source["WARC-Payload-Digest"]
+    else:
+        body = payload.encode("utf-8", "replace")
+        block = http.encode("utf-8", "replace") + body
+        block_digest, payload_digest = source.get("WARC-Block-Digest") or sha1(block), source.get("WARC-Payload-Digest") or sha1(body)
+        source |= {"WARC-Block-Digest": block_digest, "WARC-Payload-Digest": payload_digest}
+        source.setdefault("Content-Length", str(len(block)))
+    own = {"WARC-Type": "response", "WARC-Record-ID": record_id, "WARC-Target-URI": target_uri, "WARC-Date": date, "Content-Type": "application/http; msgtype=response"}
+    source = own | source
+    status, headers = _http_fields(http)
     meta = {
         "Envelope": {
             "WARC-Header-Metadata": {k: v for k, v in source.items() if v is not None},
             "Payload-Metadata": {
-                "HTTP-Response-Metadata": {"Response-Message": status, "Headers": fields, "HTML-Metadata": {"Title": title(payload), "Links": links(payload, target_uri)}},
+                "HTTP-Response-Metadata": {"Response-Message": status, "Headers": headers, "HTML-Metadata": {"Title": title(payload), "Links": links(payload, target_uri)}},
             },
         }
     }
@@ -203,21 +211,23 @@ def derivatives(records: DataFrame) -> DataFrame:
 
     Null payloads count as empty, a null URI gives no WARC-Target-URI field, null dates and HTTP blocks take the
     default and the empty block. Rows that repeat give equal records. An empty table gives an empty result; a
-    ``page_id`` is carried along, other columns are ignored.
+    ``page_id`` is carried along, other columns are ignored. With a map ``fields`` of the source record's header, as
+    :func:`from_warc` gives, all its fields go into the metadata and its digests are told as they are.
     """
     names = [c.split()[0] for c in COLUMNS.split(", ")]
 
     def run(batches):
         for b in batches:
             out = []
-            for page, record_id, uri, date, http, payload in zip(b["page_id"].astype("Int64"), b["record_id"], b["target_uri"], b["date"], b["http"], b["payload"]):
-                page = None if pd.isna(page) else int(page)
-                out += [(page, *x) for x in _derive(record_id or urn("response", uri, payload), uri, date or DATE, http or "", payload or "")]
-            yield pd.DataFrame(out, columns=["page_id", *names]).astype({"page_id": "Int64"})
+            for page, record_id, uri, date, http, payload, fields in zip(b["page_id"], b["record_id"], b["target_uri"], b["date"], b["http"], b["payload"], b["fields"]):
+                fields = None if fields is None else dict(fields)
+                out += [(page, *x) for x in _derive(record_id or urn("response", uri, payload), uri, date or DATE, http or "", payload or "", fields)]
+            yield pd.DataFrame(out, columns=["page_id", *names])
 
-    page = F.col("page_id").cast("long") if "page_id" in records.columns else F.lit(None).cast("long")
-    rows = records.select(page.alias("page_id"), "record_id", "target_uri", "date", "http", "payload")
-    return rows.mapInPandas(run, f"page_id long, {COLUMNS}")
+    page = F.col("page_id").cast("long").cast("string") if "page_id" in records.columns else F.lit(None).cast("string")
+    fields = F.col("fields") if "fields" in records.columns else F.lit(None)
+    rows = records.select(page.alias("page_id"), "record_id", "target_uri", "date", "http", "payload", fields.cast("map<string,string>").alias("fields"))
+    return rows.mapInPandas(run, f"page_id string, {COLUMNS}").withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def response_records(records: DataFrame) -> DataFrame:
@@ -244,31 +254,72 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """WARC files of text as ``warc_type, record_id, fields, block``, streamed record by record.
+    """WARC files (1.0 or 1.1) as ``warc_type, record_id, fields, block``, streamed record by record; ``block`` is binary.
 
-    Records are cut where a version line starts; a block is as long as its Content-Length says. Blocks that are
-    not UTF-8 are read with replacement characters.
+    Files are cut where a version line starts, and a piece that ends before its record's Content-Length goes on in
+    the next, so payloads may hold version lines (compressed files are read by one task each; in an uncompressed one
+    such a record has to lie within an input split). Bytes are kept as they are.
     """
-    raw = spark.read.option("lineSep", VERSION + CRLF).text(path).where("value <> ''")
+    raw = spark.read.option("lineSep", "WARC/1.").text(path)
+    raw = raw.select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("value"))
 
-    @F.pandas_udf("fields map<string,string>, block string")
-    def parsed(values: pd.Series) -> pd.DataFrame:
-        out = []
-        for v in values:
-            head, _, rest = v.partition(CRLF + CRLF)
-            fields = {k.strip(): x.strip() for k, _, x in (line.partition(":") for line in head.split(CRLF))}
-            data = rest.encode("utf-8", "replace")[: int(fields.get("Content-Length", 0))]
-            out.append((fields, data.decode("utf-8", "replace")))
-        return pd.DataFrame(out, columns=["fields", "block"])
+    def parsed(batches):
+        file, record = None, None  # record: fields, parts of the block, bytes still to come
 
-    rows = raw.select(parsed("value").alias("r")).select("r.*")
-    return rows.select(F.col("fields")["WARC-Type"].alias("warc_type"), F.col("fields")["WARC-Record-ID"].alias("record_id"), "fields", "block")
+        def finished():
+            fields, parts, left = record
+            data = b"".join(parts)
+            return fields.get("WARC-Type"), fields.get("WARC-Record-ID"), fields, data[:left] if left < 0 else data
+
+        for b in batches:
+            out = []
+            for name, value in zip(b["file"], b["value"]):
+                value = bytes(value)
+                if record and name == file and record[2] > 0:
+                    record[1].append(b"WARC/1." + value)
+                    record[2] -= len(value) + 7
+                    continue
+                if record:
+                    out.append(finished())
+                    record = None
+                file = name
+                head, cut, rest = value.partition(b"\r\n\r\n")
+                if not cut:  # nothing before the first version line
+                    continue
+                lines = head.decode("utf-8", "replace").split(CRLF)[1:]
+                fields = {k.strip(): x.strip() for k, _, x in (line.partition(":") for line in lines) if k.strip()}
+                record = [fields, [rest], int(fields.get("Content-Length") or 0) - len(rest)]
+            yield pd.DataFrame(out, columns=["warc_type", "record_id", "fields", "block"])
+        if record:
+            yield pd.DataFrame([finished()], columns=["warc_type", "record_id", "fields", "block"])
+
+    return raw.mapInPandas(parsed, "warc_type string, record_id string, fields map<string,string>, block binary")
+
+
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
 
 def from_warc(read: DataFrame) -> DataFrame:
-    """Response rows for :func:`derivatives` from :func:`read_warc`'s rows."""
-    cut = F.instr("block", CRLF + CRLF)
-    http = F.when(cut > 0, F.substring(F.col("block"), F.lit(1), cut + 3)).otherwise("")
-    payload = F.when(cut > 0, F.substring(F.col("block"), cut + 4, F.char_length("block"))).otherwise(F.col("block"))
+    """Response rows with ``fields`` for :func:`derivatives` from :func:`read_warc`'s rows.
+
+    Payloads are decoded by the charset of the HTTP header, else UTF-8; bytes that don't fit are replaced. The
+    digests in ``fields`` remain those of the source's bytes.
+    """
+
+    @F.pandas_udf("http string, payload string")
+    def split(blocks: pd.Series) -> pd.DataFrame:
+        out = []
+        for block in blocks:
+            head, cut, body = bytes(block or b"").partition(b"\r\n\r\n")
+            http = (head + cut).decode("utf-8", "replace") if cut else ""
+            body = body if cut else head
+            named = _CHARSET.search(_http_fields(http)[1].get("Content-Type", ""))
+            try:
+                out.append((http, body.decode(named[1] if named else "utf-8", "replace")))
+            except LookupError:
+                out.append((http, body.decode("utf-8", "replace")))
+        return pd.DataFrame(out, columns=["http", "payload"])
+
     field = lambda k: F.col("fields")[k]
-    return read.where("warc_type = 'response'").select("record_id", field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("date"), http.alias("http"), payload.alias("payload"))
+    rows = read.where("warc_type = 'response'").select("record_id", field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("date"), split("block").alias("r"), "fields")
+    return rows.select("record_id", "target_uri", "date", "r.http", "r.payload", "fields")
