@@ -351,13 +351,14 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             done = [p.replace(t) if z is None else p.restore(t, z) for t, z in zip(b["text"], b["known"])]
             texts, found = zip(*done) if done else ((), ())
-            out = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": texts})
+            out = pd.DataFrame({"doc_id": b["doc_id"], "text": texts})
             for kind in KINDS:
                 out[f"n_{kind}"] = [sum(s[0] == kind for s in spans) for spans in found]
             out["spans"] = [",".join(f"{k}:{a}:{z}" for k, a, z in spans) for spans in found]
             yield out
 
-    schema = "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string"
+    schema = "doc_id string, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string"
     known = F.col("spans") if reverse and "spans" in docs.columns else F.lit(None)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), known.cast("string").alias("known"))
-    return rows.mapInPandas(run, schema)
+    # ids go through pandas as strings: beside a null, whole numbers would be rounded to floats
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_of(text_col).alias("text"), known.cast("string").alias("known"))
+    return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
