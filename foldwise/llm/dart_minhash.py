@@ -20,8 +20,8 @@ from foldwise.llm.common import forget, text_of, written
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: 24 bands of 5: a pair at 0.8 shares a band with probability 0.9999, one at 0.3 with 0.06.
 BANDS, BAND_ROWS = 24, 5
-#: Documents whose darts are thrown together.
-DOCS_AT_ONCE = 64
+#: Words whose darts are thrown together, and documents; a longer document goes by itself.
+WORDS_AT_ONCE, DOCS_AT_ONCE = 1 << 16, 64
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,9 +111,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
 
     def sketch(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, DOCS_AT_ONCE):
-                part = b.slice(lo, DOCS_AT_ONCE)
-                bags = [shingles(text, size) for text in part.column("text").to_pylist()]
+            for part, bags in _together(b, size):
                 counted = [np.unique(s, return_counts=True) for s in bags]
                 doc = np.repeat(np.arange(len(bags)), [len(e) for e, _ in counted])
                 elements, weights = (np.concatenate(x) for x in zip(*counted))
@@ -128,6 +126,20 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
     return _texts(docs, id_col, text_col).mapInArrow(sketch, "doc_id long, th long, node binary, bands array<long>")
 
 
+def _together(b, size: int):
+    """Slices of a batch with their documents' shingles."""
+    texts, lo, bags, words = b.column("text"), 0, [], 0
+    for i in range(b.num_rows):
+        s = shingles(texts[i].as_py(), size)
+        if bags and (words + len(s) > WORDS_AT_ONCE or len(bags) == DOCS_AT_ONCE):
+            yield b.slice(lo, len(bags)), bags
+            lo, bags, words = i, [], 0
+        bags.append(s)
+        words += len(s)
+    if bags:
+        yield b.slice(lo, len(bags)), bags
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
 
@@ -147,12 +159,9 @@ def _cells(texts: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """``node, cells`` of rows with a ``text``: a hash for each (shingle, how many before it), so that bags meet as sets."""
 
     def build(batches):
-        for b in batches:
-            nodes, out = [], []
-            for text in b.column("text").to_pylist():
-                s = shingles(text, size)
-                nodes.append(_digest(s))
-                s = np.sort(s)
+        for _, bags in (x for b in batches for x in _together(b, size)):
+            nodes, out = [_digest(s) for s in bags], []
+            for s in map(np.sort, bags):
                 first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]][: len(s)])
                 nth = np.arange(len(s)) - np.repeat(first, np.diff(np.r_[first, len(s)]))
                 out.append(_mix(s ^ _mix(nth.astype(np.uint64))).view(np.int64))
