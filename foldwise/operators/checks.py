@@ -87,6 +87,24 @@ def confirmed(scenario: str, pipeline: str, value: Column) -> Column:
     return (value >= lo) & (value <= hi)
 
 
+#: The rank that viscosity has to have at least without a signal, and at most with one.
+RANK_RULES = {"null": (4, None), "wbv_positive": (None, 3)}
+
+
+def rank_at_least(rank: Column, least: int) -> Column:
+    return rank >= least
+
+
+def rank_at_most(rank: Column, most: int) -> Column:
+    return rank <= most
+
+
+def rank_confirmed(scenario: str, rank: Column) -> Column:
+    """Whether a scenario's rank rule holds."""
+    least, most = RANK_RULES[scenario]
+    return rank_at_least(rank, least) if least is not None else rank_at_most(rank, most)
+
+
 def checklist_score(df: DataFrame, answer: str = "answer", least: float = 83.3) -> DataFrame:
     """Yes answers over applicable ones, in percent, and whether they suffice."""
     a = F.lower(F.trim(answer))

@@ -26,56 +26,65 @@ PLAUSIBLE = {
 }
 
 
-def _chosen(df: DataFrame, keys: Sequence[Column | str], seed, least: int, rate: float, name: str) -> DataFrame:
-    """Rank by hash, and the number of rows to choose."""
-    n = df.count()
+def _chosen(df: DataFrame, keys: Sequence[Column | str], seed, least: int, rate: float, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rank by hash within ``by``, and the number of rows to choose there."""
     df = df.withColumn("__u", uniform(*keys, seed=seed))
     order = [F.col("__u"), *[F.col(k) if isinstance(k, str) else k for k in keys]]
-    df = row_numbers(df, [], order, by_uniform(F.col("__u"), n), name)
-    return df.withColumn("__most", F.lit(max(least, int(n * rate)))).drop("__u")
-
-
-def missing_at_random(df: DataFrame, column: str, rate: float, keys: Sequence[Column | str], seed=0) -> DataFrame:
-    """MCAR: exactly the rate's share of rows, rounded down, lose the value."""
-    out = _chosen(df, keys, f"{seed}:{column}", 0, rate, "__rn")
+    if not by:
+        n = df.count()
+        df = row_numbers(df, [], order, by_uniform(F.col("__u"), n), name)
+        return df.withColumn("__most", F.lit(max(least, int(n * rate)))).drop("__u")
+    sizes = df.groupBy(*by).agg(F.greatest(F.lit(least), F.floor(F.count(F.lit(1)) * rate + 1e-9)).alias("__most"))
+    df = row_numbers(df, list(by), order, by_uniform(F.col("__u")), name)
+    return df.join(F.broadcast(sizes), list(by)).drop("__u")
+
+
+def missing_at_random(df: DataFrame, column: str, rate: float, keys: Sequence[Column | str], seed=0, by: Sequence[str] = ()) -> DataFrame:
+    """MCAR: exactly the rate's share of rows (of each of ``by``), rounded down, lose the value."""
+    out = _chosen(df, keys, f"{seed}:{column}", 0, rate, "__rn", by)
     return out.withColumn(column, F.when(F.col("__rn") > F.col("__most"), F.col(column))).drop("__rn", "__most")
 
 
-def missing_by(df: DataFrame, column: str, driver: str, rate: float, keys: Sequence[Column | str], seed=0) -> DataFrame:
-    """MAR: the chance grows with the driver column, and is rescaled to the rate on average."""
-    lo, hi = df.agg(F.min(driver), F.max(driver)).first()
-    scaled = (F.col(driver) - F.lit(lo)) / F.lit((hi or 0) - (lo or 0) + 1e-9) if lo is not None else F.lit(0.0)
-    p = clip(scaled * 2 * rate, 0.02, min(0.5, 2 * rate))
-    mean = df.agg(F.avg(p)).first()[0] or 1.0
-    p = clip(p * F.lit(rate) / F.lit(mean), 0.0, 0.9)
-    gone = uniform(*keys, seed=f"{seed}:{column}") < p
-    return df.withColumn(column, F.when(~F.coalesce(gone, F.lit(False)), F.col(column)))
+def missing_by(df: DataFrame, column: str, driver: str, rate: float, keys: Sequence[Column | str], seed=0, by: Sequence[str] = ()) -> DataFrame:
+    """MAR: the chance grows with the driver column, and is rescaled to the rate on average (of each of ``by``, few)."""
+    lows = df.groupBy(*by).agg(F.min(driver).alias("__lo"), F.max(driver).alias("__hi"))
+    near = lambda t, x: t.join(F.broadcast(x), list(by)) if by else t.join(F.broadcast(x))
+    scaled = F.coalesce((F.col(driver) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-9), F.lit(0.0))
+    chance = near(df, lows).withColumn("__p", clip(scaled * 2 * rate, 0.02, min(0.5, 2 * rate)))
+    means = chance.groupBy(*by).agg(F.avg("__p").alias("__mean"))
+    chance = near(chance, means).withColumn("__p", clip(F.col("__p") * F.lit(rate) / F.col("__mean"), 0.0, 0.9))
+    gone = uniform(*keys, seed=f"{seed}:{column}") < F.col("__p")
+    return chance.withColumn(column, F.when(~F.coalesce(gone, F.lit(False)), F.col(column))).select(*df.columns)
 
 
 def _between(u: Column, low: float, high: float) -> Column:
     return F.lit(low) + u * F.lit(high - low)
 
 
-def inject_outliers(df: DataFrame, kinds: Sequence[str], rate: float, keys: Sequence[Column | str], seed=0) -> DataFrame:
-    """Implausible values in max(1, n * rate) rows of each kind; viscosity is recomputed where its parts change."""
+#: Intervals of implausible values, by kind: the column and one or two intervals (half of the rows each).
+INJECTED = {
+    "neg_tg4h": ("tg4h", (-200.0, -1.0)),
+    "extreme_tg4h": ("tg4h", (1500.0, 3000.0)),
+    "extreme_hct": ("hct", (8.0, 19.9), (65.1, 80.0)),
+    "extreme_tp": ("tp", (1.0, 3.9), (10.1, 14.0)),
+}
+
+
+def inject_outliers(df: DataFrame, kinds: Sequence[str], rate: float, keys: Sequence[Column | str], seed=0, by: Sequence[str] = ()) -> DataFrame:
+    """Implausible values in max(1, n * rate) rows (of each of ``by``) of each kind; viscosity is recomputed where its parts change."""
     if not rate:
         return df
     for kind in kinds:
-        df = _chosen(df, keys, f"{seed}:{kind}", 1, rate, "__rn")
+        if kind not in INJECTED:
+            raise ValueError(kind)
+        column, low, *high = INJECTED[kind]
+        df = _chosen(df, keys, f"{seed}:{kind}", 1, rate, "__rn", by)
         u = uniform(*keys, seed=f"{seed}:{kind}:value")
         hit, half = F.col("__rn") <= F.col("__most"), F.col("__rn") <= F.floor(F.col("__most") / 2)
-        if kind == "neg_tg4h":
-            df = df.withColumn("tg4h", F.when(hit, _between(u, -200.0, -1.0)).otherwise(F.col("tg4h")))
-        elif kind == "extreme_tg4h":
-            df = df.withColumn("tg4h", F.when(hit, _between(u, 1500.0, 3000.0)).otherwise(F.col("tg4h")))
-        elif kind in ("extreme_hct", "extreme_tp"):
-            column = kind.removeprefix("extreme_")
-            low, high = ((8.0, 19.9), (65.1, 80.0)) if column == "hct" else ((1.0, 3.9), (10.1, 14.0))
-            value = F.when(half, _between(u, *low)).otherwise(_between(u, *high))
-            df = df.withColumn(column, F.when(hit, value).otherwise(F.col(column)))
+        value = F.when(half, _between(u, *low)).otherwise(_between(u, *high[0])) if high else _between(u, *low)
+        df = df.withColumn(column, F.when(hit, value).otherwise(F.col(column)))
+        if column in ("hct", "tp"):
             df = df.withColumn("wbv", F.when(hit, F.bround(wbv(F.col("hct"), F.col("tp")), 3)).otherwise(F.col("wbv")))
-        else:
-            raise ValueError(kind)
         df = df.drop("__rn", "__most")
     return df
 

@@ -8,48 +8,89 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def seconds(interval: str) -> int:
+    """Whole seconds of an interval such as ``48 hours``."""
+    n, unit = interval.split()
+    return int(n) * _UNITS[unit.rstrip("s")]
+
+
+def _slot(df: DataFrame, time: Column, like: str, width: int) -> Column:
+    """The number of the time slot of ``width`` seconds; ``like`` names a column of the time's type."""
+    if dict(df.dtypes)[like] == "timestamp":
+        micros = F.unix_micros(time)
+    else:  # without a zone: days and time of day, as a zone's clock may repeat hours
+        day = F.unix_date(time.cast("date")).cast("long") * F.lit(86_400_000_000)
+        micros = day + (F.hour(time) * 3600 + F.minute(time) * 60).cast("long") * F.lit(1_000_000) + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("long")
+    return F.floor(micros / F.lit(width * 1_000_000)).cast("long")
+
+
 def asof_forward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, tolerance: str, gap: str = "1 second", tie: str | None = None, prefix: str = "next_") -> DataFrame:
     """Each left row with the first right row of its group from ``on + gap`` to ``on + gap + tolerance``, inclusive.
 
-    Unmatched left rows are dropped; of equal right times the smallest ``tie`` (else all columns) wins. Both sides
-    are stacked and each left row looks down a window over its group, so a group's rows meet once and never cross.
+    Unmatched left rows are dropped; of equal right times the smallest ``tie`` (else all columns) wins. Time is cut
+    into slots as wide as the tolerance, so a match lies in the left row's slot or the next one. Both sides are stacked
+    and each left row looks down a window over its group's slot; where that has none, it takes the next slot's first
+    right row, of which there is one a slot. So a group of any size is spread over its slots.
     """
     payload = [c for c in right.columns if c not in by]
     order = [tie or on] + [c for c in payload if c not in (tie, on)]
-    r = right.select(*by, F.col(on).alias("__t"), F.lit(1).alias("__side"), F.struct(F.col(on).alias("__at"), *[F.col(c) for c in order if c != on]).alias("__r"), F.lit(None).alias("__l"))
+    width = max(1, seconds(tolerance))
+    picked = F.struct(F.col(on).alias("__at"), *[F.col(c) for c in order if c != on])
+    r = right.select(*by, F.col(on).alias("__t"), F.lit(1).alias("__side"), picked.alias("__r"), F.lit(None).alias("__l"), _slot(right, F.col(on), on, width).alias("__slot"))
     first = F.col(on) + F.expr(f"interval {gap}")
-    l = left.select(*by, first.alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__r"), F.struct(*left.columns).alias("__l"))
+    l = left.select(*by, first.alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__r"), F.struct(*left.columns).alias("__l"), _slot(left, first, on, width).alias("__slot"))
     both = l.unionByName(r)
     ties = [F.col(f"__r.{c}") for c in order if c != on]
-    ahead = Window.partitionBy(*by).orderBy("__t", "__side", *ties).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*by, "__slot").orderBy("__t", "__side", *ties).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     found = both.withColumn("__n", F.first("__r", ignorenulls=True).over(ahead)).where(F.col("__side") == 0)
+    heads = r.groupBy(*[F.col(k).alias(f"__h_{k}") for k in by], (F.col("__slot") - 1).alias("__h_slot")).agg(F.min("__r").alias("__h"))
+    same = F.col("__slot") == F.col("__h_slot")
+    for k in by:
+        same = same & (F.col(k) == F.col(f"__h_{k}"))
+    found = found.join(heads, same, "left").withColumn("__n", F.coalesce("__n", "__h"))
     found = found.where(F.col("__n.__at") <= F.col("__t") + F.expr(f"interval {tolerance}"))
-    picked = [F.col("__n.__at").alias(f"{prefix}{on}")] + [F.col(f"__n.{c}").alias(f"{prefix}{c}") for c in payload if c != on]
-    return found.select("__l.*", *picked)
+    named = [F.col("__n.__at").alias(f"{prefix}{on}")] + [F.col(f"__n.{c}").alias(f"{prefix}{c}") for c in payload if c != on]
+    return found.select("__l.*", *named)
 
 
 def interval_join(index: DataFrame, readings: DataFrame, by: Sequence[str], on: str, after: str, until: str, aggregates: Sequence[Column], least: int = 1) -> DataFrame:
     """Index rows with aggregates over readings of their group in ``(on + after, on + until]``.
 
     Readings' columns are named ``r_<name>`` in the aggregates; rows with fewer than ``least`` readings are dropped.
+    Rows meet by group and time slot of the window's width, of which a window touches two.
     """
     keys = list(index.columns)
-    r = readings.toDF(*[f"r_{c}" for c in readings.columns])
-    same = F.lit(True)
+    width = max(1, seconds(until) - seconds(after))
+    r = readings.toDF(*[f"r_{c}" for c in readings.columns]).withColumn("__r_slot", _slot(readings, F.col(f"r_{on}"), on, width))
+    low, high = F.col(on) + F.expr(f"interval {after}"), F.col(on) + F.expr(f"interval {until}")
+    i = index.withColumn("__slot", F.explode(F.sequence(_slot(index, low, on, width), _slot(index, high, on, width))))
+    same = F.col("__slot") == F.col("__r_slot")
     for k in by:
         same = same & (F.col(k) == F.col(f"r_{k}"))
-    inside = (F.col(f"r_{on}") > F.col(on) + F.expr(f"interval {after}")) & (F.col(f"r_{on}") <= F.col(on) + F.expr(f"interval {until}"))
-    out = index.join(r, same & inside).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_readings"), *aggregates)
+    inside = (F.col(f"r_{on}") > low) & (F.col(f"r_{on}") <= high)
+    out = i.join(r, same & inside).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_readings"), *aggregates)
     return out.where(F.col("n_readings") >= least)
 
 
-def no_event_between(pairs: DataFrame, events: DataFrame, by: Sequence[str], start: str, end: str, on: str) -> DataFrame:
-    """Pairs without another event of their group strictly between start and end."""
-    e = events.select(*[F.col(k).alias(f"__{k}") for k in by], F.col(on).alias("__t"))
-    same = F.lit(True)
+def no_event_between(pairs: DataFrame, events: DataFrame, by: Sequence[str], start: str, end: str, on: str, slot: str = "1 day") -> DataFrame:
+    """Pairs without another event of their group strictly between start and end.
+
+    Pairs and events meet by group and time slot; a pair is looked up in each slot that it touches.
+    """
+    width, columns = seconds(slot), pairs.columns
+    e = events.select(*[F.col(k).alias(f"__{k}") for k in by], F.col(on).alias("__t"), _slot(events, F.col(on), on, width).alias("__e_slot"))
+    p = pairs.withColumn("__slot", F.explode(F.sequence(_slot(pairs, F.col(start), start, width), F.greatest(_slot(pairs, F.col(start), start, width), _slot(pairs, F.col(end), end, width)))))
+    same = F.col("__slot") == F.col("__e_slot")
     for k in by:
         same = same & (F.col(k) == F.col(f"__{k}"))
-    return pairs.join(e, same & (F.col("__t") > F.col(start)) & (F.col("__t") < F.col(end)), "left_anti")
+    hit = p.join(e, same & (F.col("__t") > F.col(start)) & (F.col("__t") < F.col(end)), "left_semi").select(*columns).distinct().toDF(*[f"__x_{c}" for c in columns])
+    equal = F.lit(True)
+    for c in columns:
+        equal = equal & F.col(c).eqNullSafe(F.col(f"__x_{c}"))
+    return pairs.join(hit, equal, "left_anti")
 
 
 def first_in_group(df: DataFrame, by: Sequence[str], on: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ def by_uniform(u: Column, n: int | None = None) -> Column:
     return F.floor(u * buckets_for(n or 0)).cast("int")
 
 
-def _bucket(value: Column, cuts: Sequence[float]) -> Column:
+def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
     """How many cuts are below the value: two looks, over groups of cuts and within one."""
     if not cuts:
         return F.lit(0)
@@ -48,7 +48,7 @@ def by_cuts(df: DataFrame, value: str) -> Column:
     buckets = buckets_for(df.count())
     x = F.col(value).cast("double")
     got = df.select(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], ACCURACY * buckets)).first()[0] or []
-    return F.coalesce(_bucket(x, sorted(set(got))), F.lit(0))
+    return F.coalesce(bucket_of(x, sorted(set(got))), F.lit(0))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, sums: dict[str, Column], exclusive: bool = False) -> DataFrame:
@@ -141,7 +141,7 @@ def train_percentiles(df: DataFrame, values: Sequence[str], probs: dict[str, flo
     cut = F.percentile_approx("value", [i / buckets for i in range(1, buckets)], ACCURACY * buckets)
     bucket = F.lit(0)
     for r in counts.groupBy("feature").agg(cut.alias("cuts")).collect():
-        bucket = F.when(F.col("feature") == r["feature"], _bucket(F.col("value"), sorted(set(r["cuts"])))).otherwise(bucket)
+        bucket = F.when(F.col("feature") == r["feature"], bucket_of(F.col("value"), sorted(set(r["cuts"])))).otherwise(bucket)
     ranked = running(counts, ["feature"], [F.col("value")], bucket, {f"__u{f}": F.col(f"__n{f}") for f in range(folds)})
     for f in range(folds):
         of = F.create_map(*[F.lit(x) for v, r in sizes.items() for x in (v, r[f"s{f}"] or 0)]) if sizes else F.create_map()

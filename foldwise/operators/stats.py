@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.special import normal_cdf, t_sf
@@ -111,6 +111,12 @@ def bonferroni(df: DataFrame, p: str = "p", keys: Sequence[str] = (), name: str
     return df.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * tests)))
 
 
+def equivalence_statistics(n: str, mean: str, sd: str, target: float, target_sd: float, share: float = 0.1) -> tuple[Column, Column]:
+    """Both one-sided t statistics of a mean against a target less and plus the margin, from moments."""
+    se, margin = F.col(sd) / F.sqrt(F.col(n)), share * target_sd
+    return F.try_divide(F.col(mean) - target + margin, se), F.try_divide(F.col(mean) - target - margin, se)
+
+
 def tost(df: DataFrame, column: str, target: float, target_sd: float, share: float = 0.1) -> dict:
     """Equivalence of a column's mean to a target within ``share`` of its sd, by two one-sided t-tests."""
     n, mean, sd = df.agg(F.count(column), F.avg(column), F.stddev_samp(column)).first()

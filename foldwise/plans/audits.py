@@ -19,6 +19,7 @@ from foldwise.functions.hashing import uniform
 from foldwise.operators import attribution, checks, contaminate, joins, metrics, ranking, rollup, sealed, splits, stats
 from foldwise.plans import models, queries
 from foldwise.plans.simulate import POPULATION, SCENARIOS, simulate
+from foldwise.sources.scratch import written
 from foldwise.sources.tables import parquet
 
 QUERIES: dict = {}
@@ -41,6 +42,7 @@ def in_folds(rows: DataFrame, run: Sequence[str], outcome: str = fx.TARGET, q: f
     Folds are stratified by the run's overall label. The label's threshold is a quantile of the fold's training
     rows, or with ``scope="global"`` of all the run's rows, which leaks.
     """
+    rows = written(rows, "runs")
     whole = rows.groupBy(*run).agg(F.percentile(outcome, F.lit(q)).alias("__q"))
     rows = rows.join(F.broadcast(whole), list(run)).withColumn("__y0", fx.binarise(F.col(outcome), F.col("__q"), side))
     rows = rows.withColumn("__u", uniform(*run, "record_id", seed=seed))
@@ -52,19 +54,21 @@ def in_folds(rows: DataFrame, run: Sequence[str], outcome: str = fx.TARGET, q: f
     else:
         fitted = each.where("not is_test").groupBy(*run, "k").agg(F.percentile(outcome, F.lit(q)).alias("threshold"))
         each = each.join(fitted, [*run, "k"])
-    return each.withColumn("label", fx.binarise(F.col(outcome), F.col("threshold"), side)).drop("__q")
+    return written(each.withColumn("label", fx.binarise(F.col(outcome), F.col("threshold"), side)).drop("__q"), "in-folds")
 
 
-def fold_metrics(scores: DataFrame, run: Sequence[str]) -> DataFrame:
-    """``run, auroc, pr_auc, brier, n_folds``: means over folds that have both classes."""
-    keys = [*run, "k"]
-    per = metrics.auroc(scores, keys, "score", "label").join(metrics.average_precision(scores, keys, "score", "label"), keys)
-    per = per.join(scores.groupBy(*keys).agg(metrics.brier("score", "label").alias("brier")), keys).where("auroc is not null")
-    return per.groupBy(*run).agg(F.avg("auroc").alias("auroc"), F.avg("average_precision").alias("pr_auc"), F.avg("brier").alias("brier"), F.count(F.lit(1)).alias("n_folds"))
+def over_folds(each: DataFrame, run: Sequence[str], features: Sequence[str], **how) -> DataFrame:
+    """``run, auroc, pr_auc, brier, n_folds``: means over folds that have both classes, of one small fit a fold."""
+    per = models.fit_and_measure(each, [*run, "k"], features, **how)
+    return per.groupBy(*run).agg(*[F.avg(c).alias(c) for c in ("auroc", "pr_auc", "brier")], F.count(F.lit(1)).alias("n_folds"))
 
 
-def cross_validated(rows: DataFrame, run: Sequence[str], features: Sequence[str] = FEATURES, balance: bool = False, **label) -> DataFrame:
-    return fold_metrics(models.fit_and_score(in_folds(rows, run, **label), [*run, "k"], features, balance=balance), run)
+#: The sealed pipeline: each fold is clipped and scaled by its training rows, which are then balanced.
+SEALED = {"winsor": True, "balance": True}
+
+
+def cross_validated(rows: DataFrame, run: Sequence[str], features: Sequence[str] = FEATURES, how: dict = SEALED, **label) -> DataFrame:
+    return over_folds(in_folds(rows, run, **label), run, features, **how)
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -79,92 +83,112 @@ def many(spark: SparkSession, configs: dict[str, dict], name: str, seeds: Sequen
     return _union([simulate(spark, c, seeds, n).withColumn(name, F.lit(k)) for k, c in configs.items()])
 
 
-def scenario_sweep_rows(spark, seeds=(1, 2, 3), n=N) -> DataFrame:
+def scenario_sweep_rows(spark, seeds, n=N) -> DataFrame:
     return many(spark, {s: {"scenario": s} for s in SCENARIOS}, "scenario", seeds, n)
 
 
+def seeds_to(n: int) -> tuple[int, ...]:
+    return tuple(range(1, n + 1))
+
+
 @query
-def m_scenario_sweep(spark, sf_dir=None, seeds=(1, 2, 3)):
+def m_scenario_sweep(spark, sf_dir=None, seeds=seeds_to(100)):
     """Each scenario's clean, follow-up-leaking and target-leaking discrimination over seeds."""
-    rows = scenario_sweep_rows(spark, seeds)
     pipelines = {"clean": FEATURES, "follow_up": [*FEATURES, fx.FOLLOW_UP], "target": [*FEATURES, fx.TARGET]}
-    each = in_folds(rows, ["scenario", "seed"])
-    parts = [fold_metrics(models.fit_and_score(each, ["scenario", "seed", "k"], f), ["scenario", "seed"]).withColumn("pipeline", F.lit(p)) for p, f in pipelines.items()]
-    return rollup.summary(_union(parts), ["scenario", "pipeline"], "auroc")
+    run = ["scenario", "seed"]
+    each = in_folds(scenario_sweep_rows(spark, seeds), run)
+    out = written(_union([over_folds(each, run, f, **SEALED).withColumn("pipeline", F.lit(p)) for p, f in pipelines.items()]), "sweep")
+    return rollup.summary(out, ["scenario", "pipeline"], "auroc")
 
 
 @query
-def m_sample_size_sweep(spark, sf_dir=None, sizes=(300, 1000, 3000), seeds=(1, 2)):
-    """Discrimination by sample size, with the percentile equivalence rule."""
+def m_sample_size_sweep(spark, sf_dir=None, sizes=(300, 500, 750, 1500, 3000, 6000, 10000, 50000, 100000), seeds=seeds_to(3)):
+    """Discrimination by sample size, with the percentile equivalence rule. The training rows are not balanced."""
     parts = [scenario_sweep_rows(spark, seeds, n).withColumn("n_rows", F.lit(n)) for n in sizes]
-    out = cross_validated(_union(parts), ["scenario", "n_rows", "seed"])
-    return rollup.summary(out, ["scenario", "n_rows"], "auroc").withColumn("equivalent", rollup.equivalence())
+    out = cross_validated(_union(parts), ["scenario", "n_rows", "seed"], how={"winsor": True})
+    return rollup.summary(written(out, "sweep"), ["scenario", "n_rows"], "auroc").withColumn("equivalent", rollup.equivalence())
 
 
 @query
-def m_noise_sweep(spark, sf_dir=None, seeds=(1, 2)):
+def m_noise_sweep(spark, sf_dir=None, seeds=seeds_to(20)):
     """Outcome noise at several levels, clean and leaking; rows in the order of the levels."""
     levels = [f"noise_x{x}" for x in contaminate.NOISE_LEVELS]
     rows = many(spark, {k: contaminate.shifted(POPULATION, k) for k in levels}, "noise", seeds)
-    each = in_folds(rows, ["noise", "seed"])
-    parts = [fold_metrics(models.fit_and_score(each, ["noise", "seed", "k"], f), ["noise", "seed"]).withColumn("pipeline", F.lit(p)) for p, f in (("clean", FEATURES), ("follow_up", [*FEATURES, fx.FOLLOW_UP]))]
-    out = rollup.summary(_union(parts), ["noise", "pipeline"], "auroc")
+    run = ["noise", "seed"]
+    each = in_folds(rows, run)
+    parts = [over_folds(each, run, f, **SEALED).withColumn("pipeline", F.lit(p)) for p, f in (("clean", FEATURES), ("follow_up", [*FEATURES, fx.FOLLOW_UP]))]
+    out = rollup.summary(written(_union(parts), "sweep"), ["noise", "pipeline"], "auroc")
     return out.withColumn("flag", F.when(F.col("pipeline") == "clean", rollup.clean_flag(F.col("mean"))).otherwise(rollup.leaky_flag(F.col("mean")))).orderBy(rollup.category_order("noise", levels), "pipeline")
 
 
 @query
-def m_measurement_noise(spark, sf_dir=None, seeds=(1, 2), multiples=(0.5, 1.0, 2.0, 3.0)):
-    """Measurement noise on the follow-up, and what the analytic curve expects; ``mean_inverse_square`` is the mean of 1/b^2."""
-    rows = simulate(spark, {}, seeds, N)
+def m_measurement_noise(spark, sf_dir=None, seeds=seeds_to(20), multiples=(0.5, 1.0, 1.5, 2.0, 3.0)):
+    """Measurement noise on the follow-up, and what the analytic curve expects; ``mean_inverse_square`` is the mean of 1/a^2."""
+    rows = written(simulate(spark, {}, seeds, N), "simulated")
     parts = [contaminate.with_noise(rows, fx.FOLLOW_UP, m * POPULATION["tcr_sd"], 17).withColumn("multiple", F.lit(m)) for m in multiples]
-    noisy = _union(parts)
-    out = rollup.summary(cross_validated(noisy, ["multiple", "seed"], [*FEATURES, fx.FOLLOW_UP]), ["multiple"], "auroc")
-    moments = rows.agg(F.avg(1.0 / (F.col(fx.FOLLOW_UP) * F.col(fx.FOLLOW_UP))).alias("mean_inverse_square"))
-    expected = F.create_map(*[F.lit(x) for m in multiples for x in (m, stats.expected_auroc_under_noise(m))])
-    return out.withColumn("expected", expected[F.col("multiple")]).join(F.broadcast(moments))
+    out = cross_validated(_union(parts), ["multiple", "seed"], [*FEATURES, fx.FOLLOW_UP], how={"winsor": True})
+    out = rollup.summary(written(out, "sweep"), ["multiple"], "auroc")
+    moments = rows.agg(F.avg(1.0 / (F.col("tg0h") * F.col("tg0h"))).alias("mean_inverse_square")).first()["mean_inverse_square"]
+    ratio = {m: 100 * moments**0.5 * m for m in multiples}
+    expected = F.create_map(*[F.lit(x) for m in multiples for x in (m, stats.expected_auroc_under_noise(ratio[m]))])
+    return out.withColumns({"expected": expected[F.col("multiple")], "mean_inverse_square": F.lit(moments)})
+
+
+#: Settings of the missingness sweep, by mechanism, rate and the column that missingness depends on.
+MISSING = {
+    "complete": None,
+    "MCAR_5pct": ("MCAR", 0.05, None),
+    "MCAR_10pct": ("MCAR", 0.10, None),
+    "MCAR_20pct": ("MCAR", 0.20, None),
+    "MAR_bmi": ("MAR", 0.10, "bmi"),
+    "MAR_tg0h": ("MAR", 0.10, "tg0h"),
+}
+HOLES = ("hct", "tp", "hdl", "ldl")
 
 
 @query
-def m_missingness_sweep(spark, sf_dir=None, seeds=(1, 2)):
+def m_missingness_sweep(spark, sf_dir=None, seeds=seeds_to(20)):
     """Missingness mechanisms and rates, imputed by training or by overall medians."""
-    holes = ("bmi", "hct", "hdl", "ldl")
-    rows = simulate(spark, {"scenario": "weak_signal"}, seeds, N)
-    key = ["seed", "record_id"]
-    settings = {"none": None, "mcar_10": ("MCAR", 0.10), "mcar_30": ("MCAR", 0.30), "mar_10": ("MAR", 0.10), "mar_30": ("MAR", 0.30)}
+    rows, key = written(simulate(spark, {"scenario": "weak_signal"}, seeds, N), "simulated"), ["seed", "record_id"]
     parts = []
-    for name, setting in settings.items():
+    for name, setting in MISSING.items():
         t = rows
-        for c in holes if setting else ():
-            how = contaminate.missing_at_random if setting[0] == "MCAR" else None
-            t = how(t, c, setting[1], key, 5) if how else contaminate.missing_by(t, c, "age", setting[1], key, 5)
+        for c in HOLES if setting else ():
+            how, rate, driver = setting
+            t = contaminate.missing_at_random(t, c, rate, key, 5, by=["seed"]) if how == "MCAR" else contaminate.missing_by(t, c, driver, rate, key, 5, by=["seed"])
         parts.append(t.withColumn("setting", F.lit(name)))
     run = ["setting", "seed"]
     each = in_folds(_union(parts), run)
+    rates = written(each.where("is_test").groupBy(*run).agg(contaminate.missing_rate(HOLES).alias("actual_rate")), "rates")
     out = []
     for strategy in ("fold", "global"):
         fitted = each.where("not is_test") if strategy == "fold" else each
-        medians = fitted.groupBy(*run, "k").agg(*[F.median(c).alias(f"__{c}") for c in holes])
-        filled = each.join(medians, [*run, "k"]).withColumns({c: F.coalesce(c, f"__{c}") for c in holes})
-        rates = each.where("is_test").groupBy(*run).agg(contaminate.missing_rate(holes).alias("actual_rate"))
-        out.append(fold_metrics(models.fit_and_score(filled, [*run, "k"], FEATURES), run).join(rates, run).withColumn("strategy", F.lit(strategy)))
-    return _union(out).groupBy("setting", "strategy").agg(F.avg("auroc").alias("auroc_mean"), F.coalesce(F.stddev_samp("auroc"), F.lit(0.0)).alias("auroc_sd"), F.avg("brier").alias("brier_mean"), F.avg("actual_rate").alias("actual_rate"))
+        medians = fitted.groupBy(*run, "k").agg(*[F.median(c).alias(f"__{c}") for c in HOLES])
+        filled = each.join(medians, [*run, "k"]).withColumns({c: F.coalesce(c, f"__{c}") for c in HOLES})
+        out.append(over_folds(filled, run, FEATURES, **SEALED).join(rates, run).withColumn("strategy", F.lit(strategy)))
+    out = _union(out).groupBy("setting", "strategy")
+    return out.agg(F.avg("auroc").alias("auroc_mean"), F.coalesce(F.stddev_samp("auroc"), F.lit(0.0)).alias("auroc_sd"), F.avg("brier").alias("brier_mean"), F.avg("actual_rate").alias("actual_rate"))
 
 
-#: Settings of the outlier stress: share of rows, and which values are made implausible.
+#: Settings of the outlier stress: share of rows, and which values are made implausible.
 OUTLIERS = {
-    "clean": (0.0, []),
-    "neg_tg4h_5": (0.05, ["neg_tg4h"]),
-    "ext_hct_5": (0.05, ["extreme_hct"]),
-    "ext_tp_1": (0.01, ["extreme_tp"]),
-    "mixed_5": (0.05, ["neg_tg4h", "extreme_hct", "extreme_tp"]),
+    "clean_0pct": (0.0, []),
+    "neg_tg4h_1pct": (0.01, ["neg_tg4h"]),
+    "neg_tg4h_5pct": (0.05, ["neg_tg4h"]),
+    "ext_hct_1pct": (0.01, ["extreme_hct"]),
+    "ext_hct_5pct": (0.05, ["extreme_hct"]),
+    "ext_tp_1pct": (0.01, ["extreme_tp"]),
+    "mixed_1pct": (0.01, ["neg_tg4h", "extreme_hct", "extreme_tp"]),
+    "mixed_5pct": (0.05, ["neg_tg4h", "extreme_hct", "extreme_tp"]),
 }
 
 
 @query
-def m_outlier_sweep(spark, sf_dir=None, seeds=(1, 2)):
+def m_outlier_sweep(spark, sf_dir=None, seeds=seeds_to(15)):
     """Implausible values against four ways of cleaning, with counts of what is out of range."""
-    rows, run = simulate(spark, {"scenario": "wbv_positive"}, seeds, N), ["setting", "seed"]
-    t = _union([contaminate.inject_outliers(rows, kinds, rate, ["seed", "record_id"], 9).withColumn("setting", F.lit(s)) for s, (rate, kinds) in OUTLIERS.items()])
+    rows, run = written(simulate(spark, {"scenario": "wbv_positive"}, seeds, N), "simulated"), ["setting", "seed"]
+    t = _union([contaminate.inject_outliers(rows, kinds, rate, ["seed", "record_id"], 9, by=["seed"]).withColumn("setting", F.lit(s)) for s, (rate, kinds) in OUTLIERS.items()])
+    t = written(t, "outliers")
     bounds = {c: b for c, b in contaminate.PLAUSIBLE.items() if c in FEATURES}
     bad = t.groupBy(*run).agg(*contaminate.out_of_range(contaminate.PLAUSIBLE))
     n_bad = sum((F.col(f"{c}_out") for c in contaminate.PLAUSIBLE), F.lit(0))
@@ -181,37 +205,42 @@ def m_outlier_sweep(spark, sf_dir=None, seeds=(1, 2)):
         "fold_cleaning": clipped(quantiles(each.where("not is_test"), [*run, "k"]), [*run, "k"]),
         "prespecified_clean": contaminate.cleaned(each, bounds),
     }
-    parts = [fold_metrics(models.fit_and_score(d, [*run, "k"], FEATURES), run).withColumn("strategy", F.lit(s)) for s, d in tables.items()]
+    parts = [over_folds(d, run, FEATURES, balance=True).withColumn("strategy", F.lit(s)) for s, d in tables.items()]
     out = _union(parts).join(bad.select(*run, n_bad.alias("n_implausible")), run)
     return out.groupBy("setting", "strategy").agg(F.avg("auroc").alias("auroc_mean"), F.coalesce(F.stddev_samp("auroc"), F.lit(0.0)).alias("auroc_sd"), F.avg("n_implausible").alias("n_implausible"))
 
 
 @query
-def m_leak_benchmark(spark, sf_dir=None, seeds=(1, 2), scenario="null"):
-    """The clean pipeline against eight leaks: discrimination, and inflation over clean."""
-    rows, run = simulate(spark, {"scenario": scenario}, seeds, N), ["seed"]
+def m_leak_benchmark(spark, sf_dir=None, seeds=seeds_to(10), scenario="null"):
+    """The clean pipeline against eight leaks: discrimination, and inflation over clean. Features are selected for each seed by itself."""
+    rows, run = written(simulate(spark, {"scenario": scenario}, seeds, N), "simulated"), ["seed"]
     leaky = [*FEATURES, fx.FOLLOW_UP]
     sealed_, open_ = in_folds(rows, run), in_folds(rows, run, scope="global")
     tails = rows.groupBy("seed").agg(*[F.percentile(c, F.lit([0.01, 0.99])).alias(f"__{c}") for c in leaky])
-    winsor = open_.join(tails, "seed").withColumns({c: fx.clip(F.col(c), F.col(f"__{c}")[0], F.col(f"__{c}")[1]) for c in leaky})
-    moments = rows.groupBy("seed").agg(*[f(c).alias(f"__{k}{c}") for c in FEATURES for k, f in (("m", F.avg), ("s", F.stddev_pop))])
-    scaled = open_.join(moments, "seed").withColumns({c: (F.col(c) - F.col(f"__m{c}")) / F.col(f"__s{c}") for c in FEATURES})
-    best = stats.top_k(stats.anova_f(open_.where("k = 0"), FEATURES, "label"), "f", 5)
-    chosen = [r["feature"] for r in best.collect()]
-    balanced = _balanced_before(open_, FEATURES)
+    winsor = written(open_.join(tails, "seed").withColumns({c: fx.clip(F.col(c), F.col(f"__{c}")[0], F.col(f"__{c}")[1]) for c in leaky}), "winsor")
+
+    def scaled(t: DataFrame, columns: Sequence[str]) -> DataFrame:
+        moments = t.where("k = 0").groupBy("seed").agg(*[f(c).alias(f"__{k}{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+        return t.join(moments, "seed").withColumns({c: (F.col(c) - F.col(f"__m{c}")) / F.col(f"__s{c}") for c in columns})
+
+    selected = []
+    for seed in seeds:  # the leak is in each run: its own five best features over all its rows
+        one = open_.where(F.col("seed") == seed)
+        best = stats.top_k(stats.anova_f(one.where("k = 0"), FEATURES, "label"), "f", 5)
+        selected.append(over_folds(one, run, [r["feature"] for r in best.collect()]))
     fits = {
-        "clean": (sealed_, FEATURES, True),
-        "follow_up": (sealed_, leaky, True),
-        "target": (sealed_, [*FEATURES, fx.TARGET], True),
-        "global_scaling": (scaled, FEATURES, False),
-        "global_winsor": (winsor, FEATURES, False),
-        "global_threshold": (open_, FEATURES, False),
-        "smote_before_cv": (balanced, FEATURES, False),
-        "selection_before_cv": (open_, chosen, False),
-        "combined": (_balanced_before(winsor, leaky), leaky, False),
+        "clean": (sealed_, FEATURES, SEALED),
+        "follow_up": (sealed_, leaky, SEALED),
+        "target": (sealed_, [*FEATURES, fx.TARGET], SEALED),
+        "global_scaling": (scaled(open_, FEATURES), FEATURES, {}),
+        "global_winsor": (winsor, FEATURES, {}),
+        "global_threshold": (open_, FEATURES, {}),
+        "smote_before_cv": (_balanced_before(open_, FEATURES), FEATURES, {}),
+        "combined": (_balanced_before(scaled(winsor, leaky), leaky), leaky, {}),
     }
-    parts = [fold_metrics(models.fit_and_score(d, ["seed", "k"], f, balance=b), run).withColumn("pipeline", F.lit(p)) for p, (d, f, b) in fits.items()]
-    out = joins.against_baseline(_union(parts), "auroc", ["seed"])
+    parts = [over_folds(d, run, f, **how).withColumn("pipeline", F.lit(p)) for p, (d, f, how) in fits.items()]
+    parts.append(_union(selected).withColumn("pipeline", F.lit("selection_before_cv")))
+    out = joins.against_baseline(written(_union(parts), "sweep"), "auroc", ["seed"])
     return out.groupBy("pipeline").agg(F.avg("auroc").alias("auroc_mean"), F.coalesce(F.stddev_samp("auroc"), F.lit(0.0)).alias("auroc_sd"), F.avg("pr_auc").alias("pr_auc_mean"), F.avg("brier").alias("brier_mean"), F.avg("delta").alias("auc_inflation"))
 
 
@@ -233,7 +262,7 @@ def _balanced_before(each: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 @query
-def m_formula_benchmarks(spark, sf_dir=None, seeds=(1, 2)):
+def m_formula_benchmarks(spark, sf_dir=None, seeds=seeds_to(10)):
     """Outcomes by difference and by ratio, labelled by their overall upper quartile; clean against follow-up."""
     rows = simulate(spark, {}, seeds, N)
     a, b = F.col("tg0h"), F.col("tg4h")
@@ -243,12 +272,12 @@ def m_formula_benchmarks(spark, sf_dir=None, seeds=(1, 2)):
         t = rows.withColumn("outcome", fx.outcome(name, a, b))
         each = in_folds(t, ["seed"], "outcome", q, side, "global")
         for p, f in (("clean", FEATURES), ("follow_up", [*FEATURES, fx.FOLLOW_UP])):
-            parts.append(fold_metrics(models.fit_and_score(each, ["seed", "k"], f), ["seed"]).withColumns({"formula": F.lit(name), "pipeline": F.lit(p)}))
+            parts.append(over_folds(each, ["seed"], f).withColumns({"formula": F.lit(name), "pipeline": F.lit(p)}))
     return joins.against_baseline(_union(parts), "auroc", ["formula", "seed"]).groupBy("formula", "pipeline").agg(F.avg("auroc").alias("auroc_mean"), F.avg("delta").alias("delta_mean"), F.count(F.lit(1)).alias("n"))
 
 
 @query
-def m_domain_shift(spark, sf_dir=None, seeds=(1, 2)):
+def m_domain_shift(spark, sf_dir=None, seeds=seeds_to(10)):
     """Train on the original population, test on shifted ones, before and after recalibration on a small sample."""
     base = simulate(spark, {"scenario": "weak_signal"}, seeds, N).withColumn("part", F.lit("train"))
     kinds = ["none", "tg0h_shift", "bmi_shift", "noise_shift", "prevalence_shift"]
@@ -259,12 +288,12 @@ def m_domain_shift(spark, sf_dir=None, seeds=(1, 2)):
     q = base.groupBy("seed").agg(F.percentile(fx.TARGET, F.lit(0.25)).alias("q25"), F.percentile(fx.TARGET, F.lit(0.35)).alias("q35"))
     both = train.unionByName(tests).join(F.broadcast(q), "seed")
     cut = F.when((F.col("shift") == "prevalence_shift") & (F.col("part") == "test"), F.col("q35")).otherwise(F.col("q25"))
-    both = both.withColumns({"label": (F.col(fx.TARGET) <= cut).cast("int"), "is_test": F.col("part") == "test"})
+    both = written(both.withColumns({"label": (F.col(fx.TARGET) <= cut).cast("int"), "is_test": F.col("part") == "test"}), "shifts")
     parts = []
     for p, f in (("clean", FEATURES), ("follow_up", [*FEATURES, fx.FOLLOW_UP])):
         scores = models.fit_and_score(both, ["shift", "seed"], f, carry=["record_id"]).withColumn("pipeline", F.lit(p))
         parts.append(scores)
-    scores = _union(parts)
+    scores = written(_union(parts), "scores")
     keys = ["shift", "pipeline", "seed"]
     first = F.substring("record_id", 4, 5).cast("int") <= 200
     # recalibration: one logistic of the label on the score's logit, fitted on the first 200 test rows
@@ -290,9 +319,9 @@ def m_simulated_validation(spark, sf_dir=None):
 
 
 @query
-def m_confirmatory(spark, sf_dir=None, seeds=(1, 2)):
+def m_confirmatory(spark, sf_dir=None, seeds=seeds_to(100)):
     """Whether each pre-specified band holds."""
-    out = m_scenario_sweep(spark, sf_dir, seeds)
+    out = written(m_scenario_sweep(spark, sf_dir, seeds), "bands")
     rows = []
     for (scenario, pipeline), (lo, hi) in checks.CONFIRM.items():
         hit = out.where((F.col("scenario") == scenario) & (F.col("pipeline") == pipeline))
@@ -328,7 +357,7 @@ def _rounds(spark, sf_dir):
     """The paired table by round: for fold k, all rows labelled by the threshold of k's training rows."""
     f = queries.folded(spark, sf_dir)
     cuts = {r["fold"]: r["threshold"] for r in sealed.fit_threshold(f, "y", 0.25, folds=FOLDS).collect()}
-    d = f.select("rid", "fold", "y", "a", "qty", "tax", "b").cache()
+    d = f.select("rid", "fold", "y", "a", "qty", "tax", "b")
     return lambda k: d.withColumn("label", (F.col("y") <= F.lit(cuts[k])).cast("int"))
 
 
@@ -346,7 +375,7 @@ def _scored_by(spark, sf_dir, name: str, **options) -> DataFrame:
             parts.append(models.predict(m, d.where(F.col("fold") == k)).select("rid", "fold", "label", "score", F.lit(p).alias("pipeline")))
         return _union(parts)
 
-    return _union(_each_fold(spark, work)).cache()
+    return written(_union(_each_fold(spark, work)), "scored")
 
 
 def _over_folds(per: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -388,7 +417,7 @@ def m_kernel_svm(spark, sf_dir):
         cal = models.platt(_union([margin(fitted([i for i in inner if i != j]), j) for j in inner]), "score", "label")
         return models.calibrated(cal, margin(fitted(inner), k), "score")
 
-    s = _union(_each_fold(spark, work)).cache()
+    s = written(_union(_each_fold(spark, work)), "scored")
     per = metrics.auroc(s, ["fold"], "calibrated", "label").join(s.groupBy("fold").agg(metrics.brier("calibrated", "label").alias("brier")), "fold")
     return _over_folds(per, [], ["auroc", "brier"])
 
@@ -396,7 +425,7 @@ def m_kernel_svm(spark, sf_dir):
 @query
 def m_calibration(spark, sf_dir):
     """Platt and isotonic calibration of document length as a quality score: Brier and calibration error of each."""
-    j = queries.judged(spark, sf_dir).where("task = 'quality'").withColumn("fit", uniform("doc_id", seed=3) < 0.5).cache()
+    j = queries.judged(spark, sf_dir).where("task = 'quality'").withColumn("fit", uniform("doc_id", seed=3) < 0.5)
     train, test = j.where("fit"), j.where("not fit")
     versions = {"raw": test.withColumn("p", F.col("score"))}
     for name, fitter in (("platt", models.platt), ("isotonic", models.isotonic)):
@@ -435,7 +464,7 @@ def _status_audit(keys: Sequence[str]):
 
         for c in ("o_orderpriority", "c_mktsegment", "o_orderstatus"):
             o = apply_ordinal(o, fit_ordinal(o, c), c, f"{c}_code").withColumn(f"{c}_code", F.col(f"{c}_code").cast("double"))
-        o = o.cache()
+        o = written(o, "orders")
         clean = ["c_acctbal", "o_orderpriority_code", "c_mktsegment_code"]
 
         def work(k: int) -> DataFrame:
@@ -446,7 +475,7 @@ def _status_audit(keys: Sequence[str]):
             return _union(parts)
 
         rule = o.select("fold", "label", F.col("label").cast("double").alias("score"), F.lit("oracle").alias("pipeline"))
-        per = metrics.auroc(_union([*_each_fold(spark, work), rule]).cache(), ["pipeline", "fold"], "score", "label")
+        per = metrics.auroc(written(_union([*_each_fold(spark, work), rule]), "scored"), ["pipeline", "fold"], "score", "label")
         out = _over_folds(per, ["pipeline"], ["auroc"]).withColumn("unit", F.lit("all"))
         return joins.headroom(joins.against_baseline(out, "auroc", ["unit"])).drop("unit")
 

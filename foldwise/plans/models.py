@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import uniform
+from foldwise.operators.ranking import bucket_of
+from foldwise.sources.scratch import written
 
 SEED = 2026
 
@@ -162,12 +164,105 @@ def fit_and_score(df: DataFrame, keys: Sequence[str], features: Sequence[str], l
     return df.select(*dict.fromkeys([*kept, is_test, *names])).groupBy(*keys).applyInPandas(work, schema).where("score is not null and not isnan(score)")
 
 
-def smote(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], k: int = 5, seed=0, cells: int = 4) -> DataFrame:
+def fit_and_measure(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "label", is_test: str = "is_test", c: float = 1.0, balance: bool = False, winsor: bool = False) -> DataFrame:
+    """Like :func:`fit_and_score`, but one row for each group with its test rows' ``auroc, pr_auc, brier``.
+
+    ``winsor`` clips features at the training rows' 1st and 99th percentiles before scaling. Groups that train or
+    test one class only have no row.
+    """
+    names = list(features)
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf[names + [label]].notna().all(axis=1)]
+        test = pdf[is_test].to_numpy(bool)
+        x, y = pdf[names].to_numpy(float), pdf[label].to_numpy(float)
+        if len(np.unique(y[~test])) < 2 or len(np.unique(y[test])) < 2:
+            return pd.DataFrame(columns=[*keys, "auroc", "pr_auc", "brier"])
+        if winsor:
+            x = np.clip(x, *np.quantile(x[~test], [0.01, 0.99], axis=0))
+        mean, sd = x[~test].mean(0), x[~test].std(0)
+        sd[sd == 0] = 1.0
+        xt, yt = (x[~test] - mean) / sd, y[~test]
+        if balance:
+            xt, yt = oversample(xt, yt, SEED)
+        w = newton_logistic(xt, yt, c)
+        p = 1 / (1 + np.exp(-np.clip(w[0] + ((x[test] - mean) / sd) @ w[1:], -30, 30)))
+        return pd.DataFrame([(*key, *measured(p, y[test]))], columns=[*keys, "auroc", "pr_auc", "brier"])
+
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", auroc double, pr_auc double, brier double"
+    return df.select(*dict.fromkeys([*keys, label, is_test, *names])).groupBy(*keys).applyInPandas(work, schema)
+
+
+def measured(p: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """AUROC (ties half), average precision over distinct scores, and Brier score of one small test set."""
+    score, at = np.unique(p, return_inverse=True)
+    pos, n = np.bincount(at, y, len(score)), np.bincount(at, minlength=len(score))
+    neg = n - pos
+    auroc = (pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum())
+    tp, m = np.cumsum(pos[::-1]), np.cumsum(n[::-1])
+    return float(auroc), float((pos[::-1] * tp / m).sum() / pos.sum()), float(((p - y) ** 2).mean())
+
+
+#: Distinct minority rows in one block of a neighbour search.
+BLOCK_ROWS = 256
+
+
+def neighbours(rows: DataFrame, features: Sequence[str], k: int) -> DataFrame:
+    """``__id, near``: the k nearest other rows of each row (ties by id), as ``array<struct<d, id, x>>``; exact at every size.
+
+    ``rows`` has ``__id`` and the features. Rows are cut into blocks along the first feature. A row meets its own block,
+    then in each round the next ones on either side, until its k-th distance is no more than the gap to what it
+    hasn't met. Rows with equal features are one point with a list of at most ``k + 1`` ids, so ties don't crowd a block.
+    """
+    names = list(features)
+    first_ids = Window.partitionBy(*names).orderBy("__id")
+    ids = rows.select("__id", *names).distinct().withColumn("__r", F.row_number().over(first_ids)).where(F.col("__r") <= k + 1)
+    points = written(ids.groupBy(*names).agg(F.sort_array(F.collect_list("__id")).alias("ids"), F.min("__id").alias("pid")), "points")
+    n = points.count()
+    first = names[0]
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    cuts = points.select(F.percentile_approx(F.col(first).cast("double"), [i / blocks for i in range(1, blocks)] or [0.5], 10 * blocks)).first()[0] or []
+    cuts = sorted(set(cuts)) if blocks > 1 else []
+    points = written(points.withColumn("block", bucket_of(F.col(first).cast("double"), cuts)), "points")
+    edges = points.groupBy("block").agg(F.min(first).alias("lo"), F.max(first).alias("hi"))
+    edges = written(edges, "edges")
+    last = edges.agg(F.max("block")).first()[0] or 0
+    other = points.select(F.col("block").alias("b2"), F.col("ids").alias("ids2"), F.struct(*names).alias("x2"))
+    state = points.select("pid", "ids", *names, "block", F.array().cast(f"array<struct<d:double,id:bigint,x:struct<{','.join(f'{c}:double' for c in names)}>>>").alias("near"))
+    done, radius = None, 0
+    while True:
+        reach = F.array(F.col("block")) if radius == 0 else F.array(F.col("block") - radius, F.col("block") + radius)
+        asked = state.withColumn("b", F.explode(reach)).where((F.col("b") >= 0) & (F.col("b") <= last))
+        gap = F.lit(0.0)
+        for c in names:
+            gap = gap + F.pow(F.col(c) - F.col(f"x2.{c}"), F.lit(2.0))
+        x2 = F.struct(*[F.col(f"x2.{c}").cast("double").alias(c) for c in names])
+        met = asked.join(other, F.col("b") == F.col("b2")).select("pid", F.explode(F.transform("ids2", lambda i: F.struct(gap.alias("d"), i.alias("id"), x2.alias("x")))).alias("m"))
+        best = Window.partitionBy("pid").orderBy("m.d", "m.id")
+        met = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).groupBy("pid").agg(F.collect_list("m").alias("more"))
+        state = state.join(met, "pid", "left").withColumn("near", F.slice(F.array_sort(F.concat("near", F.coalesce("more", F.array().cast(dict(state.dtypes)["near"])))), 1, k + 1)).drop("more")
+        before = edges.select((F.col("block") + radius + 1).alias("block"), F.col("hi").alias("below"))
+        after = edges.select((F.col("block") - radius - 1).alias("block"), F.col("lo").alias("above"))
+        state = state.join(before, "block", "left").join(after, "block", "left")
+        least = F.least(F.col(first) - F.col("below"), F.col("above") - F.col(first))  # to the nearest block not met; null: none is left
+        enough = F.size("near") > k
+        state = written(state.withColumn("open", least.isNotNull() & (~enough | (F.element_at("near", -1)["d"] > F.pow(least, F.lit(2.0))))).drop("below", "above"), "near")
+        part = state.where("not open").select("ids", "near")
+        done = part if done is None else done.unionByName(part)
+        state = state.where("open").drop("open")
+        radius += 1
+        if radius > last or not state.limit(1).count():
+            break
+    out = rows.select("__id", *names).join(done.withColumn("pid", F.col("ids")[0]).select("pid", "near").join(points.select("pid", *[F.col(c).alias(f"__p_{c}") for c in names]), "pid"), [F.col(c).eqNullSafe(F.col(f"__p_{c}")) for c in names])
+    return out.select("__id", F.slice(F.filter("near", lambda m: m["id"] != F.col("__id")), 1, k).alias("near"))
+
+
+def smote(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], k: int = 5, seed=0) -> DataFrame:
     """The rows, and synthetic minority rows ``x + d (neighbour - x)`` until the classes are balanced.
 
-    Neighbours are searched among minority rows that share a cell of a coarse grid of the first two features, so
-    the search never crosses all rows; a row without neighbours repeats itself. Fewer than two minority rows give
-    the table back. Made rows have null keys.
+    A neighbour is one of the k nearest minority rows, exactly (:func:`neighbours`). Fewer than two minority rows give
+    the table back. Rows with null features make none. Made rows have null keys.
     """
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2 or min(counts.values()) < 2:
@@ -175,25 +270,14 @@ def smote(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str
     minor = min(counts, key=counts.get)
     need = max(counts.values()) - counts[minor]
     names = list(features)
-    rows = df.where(F.col(label) == minor).select(*keys, *names)
-    grid = names[:2]
-    lows = rows.agg(*[f(c) for c in grid for f in (F.min, F.max)]).first()
-    side = max(1, int((counts[minor] / 200) ** 0.5)) if counts[minor] > 200 * cells else 1
-    cell = F.concat_ws(":", *[F.floor((F.col(c) - F.lit(lows[2 * i])) * side / F.lit((lows[2 * i + 1] - lows[2 * i]) or 1.0)).cast("string") for i, c in enumerate(grid)])
-    rows = rows.withColumn("__cell", cell).withColumn("__id", F.xxhash64(*keys))
-    other = rows.select(F.col("__cell").alias("__c2"), F.col("__id").alias("__id2"), F.struct(*names).alias("__x2"))
-    gap = F.lit(0.0)
-    for c in names:
-        gap = gap + F.pow(F.col(c) - F.col(f"__x2.{c}"), F.lit(2.0))
-    near = rows.join(other, (F.col("__cell") == F.col("__c2")) & (F.col("__id") != F.col("__id2")), "left").withColumn("__d", gap)
-    order = Window.partitionBy("__id").orderBy("__d", "__id2")
-    near = near.withColumn("__nn", F.row_number().over(order)).where(F.col("__nn") <= k)
-    packed = near.groupBy("__id", *keys, *names).agg(F.array_sort(F.collect_list(F.struct("__nn", "__x2"))).alias("__near"))
-    per = -(-need // counts[minor])
-    made = packed.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(per))))
+    rows = df.where(F.col(label) == minor).dropna(subset=names).select(*keys, *[F.col(c).cast("double").alias(c) for c in names])
+    rows = written(rows.withColumn("__id", F.xxhash64(*keys)), "minority")
+    near = rows.join(neighbours(rows.select("__id", *names), names, k), "__id")
+    per = -(-need // max(rows.count(), 1))
+    made = near.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(per))))
     made = made.orderBy("__draw", uniform(*keys, "__draw", seed=f"{seed}:pick"), "__id").limit(need)
-    pick = F.floor(uniform(*keys, "__draw", seed=f"{seed}:nn") * F.size("__near")).cast("int")
-    x2, d = F.get("__near", pick)["__x2"], uniform(*keys, "__draw", seed=f"{seed}:gap")
+    pick = F.floor(uniform(*keys, "__draw", seed=f"{seed}:nn") * F.size("near")).cast("int")
+    x2, d = F.get("near", pick)["x"], uniform(*keys, "__draw", seed=f"{seed}:gap")
     values = [F.coalesce(F.col(c) + d * (x2[c] - F.col(c)), F.col(c)).alias(c) for c in names]
     made = made.select(*[F.lit(None).cast(dict(df.dtypes)[x]).alias(x) for x in keys], *values, F.lit(minor).alias(label), F.lit(True).alias("synthetic"))
     return df.select(*keys, *names, label, F.lit(False).alias("synthetic")).unionByName(made)

@@ -44,10 +44,21 @@ def infer(df: DataFrame) -> DataFrame:
 
 
 def subject_folders(spark: SparkSession, root: str, pattern: str = r"CGMacros-(\d+)", id_col: str = "subject_id", dialect: str = "plain") -> DataFrame:
-    """One table of all ``<root>/*/*.csv``, with the id from each file's folder name; folders without a file are not there."""
-    raw = spark.read.option("header", True).option("mergeSchema", True).csv(f"{root}/*/*.csv")
-    raw = raw.select([F.when(~F.col(f"`{c}`").isin(*DIALECTS[dialect]), F.col(f"`{c}`")).alias(c.replace("﻿", "").strip()) for c in raw.columns] + [F.regexp_extract(F.input_file_name(), pattern, 1).cast("int").alias(id_col)])
-    return raw
+    """One table of all ``<root>/*/*.csv``, with the id from each file's folder name; folders without a file are not there.
+
+    Columns go by name: files may have them in any order, and lack some. Files are grouped by their header lines, few
+    whatever the number of files, and each group is read under its own header.
+    """
+    # of each file the first line, which is the one at its start
+    lines = spark.read.text(f"{root}/*/*.csv").select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    out = None
+    for group in heads.groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect():
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(group["files"])
+        clean = [F.when(~F.col(f"`{c}`").isin(*DIALECTS[dialect]), F.col(f"`{c}`")).alias(c.replace("\ufeff", "").strip()) for c in raw.columns]
+        one = raw.select(*clean, F.regexp_extract(F.input_file_name(), pattern, 1).cast("int").alias(id_col))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

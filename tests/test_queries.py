@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from foldwise.plans import audits, queries
+from foldwise.plans import audits, queries, readouts  # noqa: F401  the last registers with the second
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
