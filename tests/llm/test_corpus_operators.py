@@ -407,7 +407,7 @@ def test_foreign_warc_files(spark, tmp_path, version, packed):
 
 def test_ids_beside_nulls_stay_whole(spark):
     big = (1 << 53) + 1
-    docs = spark.createDataFrame([(big, "call 415-555-2671 now"), (None, "another text"), (big, "a third text")], "doc_id long, text string").coalesce(1)
+    docs = spark.createDataFrame([(big, "call 415-555-2671 now"), (None, "another text"), (big, "a third text")], "doc_id long, text string").withColumn("source", F.lit("s")).coalesce(1)
     want = [None, big, big]
     ops = [pii_feistel.pseudonymise, dart_minhash.near_duplicates, packing.best_fit_pack, suffix_dedup.repeated_passages, exact_dedup.exact_dedup, mixing.mix]
     for op in ops:
