@@ -2,8 +2,9 @@
 
 Column expressions only. A long token is a candidate. Its encoding is inferred from its characters, and it must
 look random (chi-squared uniformity over the encoding's alphabet, runs above and below the alphabet's middle,
-serial correlation). How rarely an ordinary token of its length looks as even is its p-value, and
-Benjamini-Hochberg's step-up procedure picks the findings among candidates of like length.
+serial correlation). How rarely an ordinary token of its length looks as even, and changes as often between kinds of
+characters (lower, upper, digit, other), is its p-value by Fisher's method, and Benjamini-Hochberg's step-up procedure
+picks the findings among candidates of one encoding and like length.
 """
 
 from __future__ import annotations
@@ -20,15 +21,19 @@ ASSIGN_KEY = r"(?i:password|passwd|secret|token|api_?key)"
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 ASSIGN_CHARS = 12
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-#: Encodings in the order tried: characters, alphabet, and the chance that two characters of an ordinary token agree.
+#: Encodings in the order tried: characters, alphabet, the chance that two characters of an ordinary token agree, and the
+#: chance that two neighbours of one are of different kinds (none where a random one has one kind).
 ENCODINGS = (
-    ("decimal", r"^[0-9]+$", "0123456789", 0.2),
-    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.125),
-    ("base32", r"^[A-Z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567", 0.065),
-    ("letters", r"^([a-z]+|[A-Z]?[a-z]+)$", "abcdefghijklmnopqrstuvwxyz", 0.065),
-    ("alnum", r"^([a-z0-9]+|[A-Z0-9]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.065),
-    ("base64", r".", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.065),
+    ("decimal", r"^[0-9]+$", "0123456789", 0.2, None),
+    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.125, 0.2),
+    ("base32", r"^[A-Z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567", 0.065, 0.1),
+    ("letters", r"^([a-z]+|[A-Z]?[a-z]+)$", "abcdefghijklmnopqrstuvwxyz", 0.065, None),
+    ("alnum", r"^([a-z0-9]+|[A-Z0-9]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.065, 0.2),
+    ("base64", r".", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.065, 0.35),
 )
+#: Characters of candidates and their kinds.
+CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
+CHAR_KINDS = "a" * 26 + "A" * 26 + "0" * 10 + "+" * 5
 #: A candidate that a random string would look like this rarely is not random; false discoveries among findings.
 RANDOM_ALPHA, FALSE_DISCOVERIES = 0.001, 0.01
 #: p-values are counted in bins of a 20th of a decade.
@@ -75,17 +80,21 @@ def upper_tail(z: Column) -> Column:
 
 
 def _tested(token: Column) -> Column:
-    """``struct<p, random>``: how rarely an ordinary token is as even, and whether it passes as random."""
-    code = alphabet = chance = None
-    for name, pattern, letters, share in reversed(ENCODINGS):
+    """``struct<p, random, encoding>``: how rarely an ordinary token is like it, whether it passes as random, and its encoding."""
+    code = alphabet = chance = turn = which = None
+    for at, (name, pattern, letters, share, change) in reversed(list(enumerate(ENCODINGS))):
         is_it = token.rlike(pattern)
-        one = F.lit(letters)
-        alphabet = one if alphabet is None else F.when(is_it, one).otherwise(alphabet)
-        chance = F.lit(share) if chance is None else F.when(is_it, F.lit(share)).otherwise(chance)
+        one, two = F.lit(letters), F.lit(change).cast("double")
         folded = F.translate(token, "-_=", "+/") if name == "base64" else F.translate(F.lower(token), "=", "")
-        code = folded if code is None else F.when(is_it, folded).otherwise(code)
+        if code is None:
+            code, alphabet, chance, turn, which = folded, one, F.lit(share), two, F.lit(at)
+            continue
+        pick = lambda new, old: F.when(is_it, new).otherwise(old)  # noqa: B023, E731
+        code, alphabet, chance, turn, which = pick(folded, code), pick(one, alphabet), pick(F.lit(share), chance), pick(two, turn), pick(F.lit(at), which)
 
-    return let(F.struct(code.alias("code"), alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("k"), chance.alias("chance")), _battery)
+    kinds = F.regexp_replace(F.translate(token, CHARS, CHAR_KINDS), r"(.)\1+", "$1")
+    parts = F.struct(code.alias("code"), alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("k"), chance.alias("chance"), turn.alias("turn"), (F.length(kinds) - 1).cast("double").alias("changes"), (F.length(token) - 1).cast("double").alias("steps"), which.alias("encoding"))
+    return let(parts, _battery)
 
 
 def _battery(t: Column) -> Column:
@@ -115,7 +124,11 @@ def _battery(t: Column) -> Column:
         worst = F.least(upper_tail(z_chi), 2 * upper_tail(z_runs), 2 * upper_tail(z_lag))
         extra = n * (k * t["chance"] - 1)
         z_plain = (df + extra - chi) / F.sqrt(2 * (df + 2 * extra))
-        return F.struct(upper_tail(z_plain).alias("p"), (3 * worst >= RANDOM_ALPHA).alias("random"))
+        even = F.greatest(upper_tail(z_plain), F.lit(1e-18))
+        z_turn = (t["changes"] - 0.5 - t["steps"] * t["turn"]) / F.sqrt(t["steps"] * t["turn"] * (1 - t["turn"]))
+        both = even * F.greatest(upper_tail(z_turn), F.lit(1e-18))
+        p = F.coalesce(both * (1 - F.log(both)), even)  # Fisher's method for two
+        return F.struct(p.alias("p"), (3 * worst >= RANDOM_ALPHA).alias("random"), t["encoding"].alias("encoding"))
 
     return let(let(places, sums), judged)
 
@@ -137,14 +150,14 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         n = F.length(m["token"])
         fine = F.floor(-F.log10(F.greatest(r["p"], F.lit(1e-20))) * BINS_A_DECADE)
         bin_ = F.when(r["random"], F.least(F.lit(MOST_BIN), fine)).otherwise(-1).cast("int")
-        return F.struct(m["span"]["start"].alias("start"), m["span"]["stop"].alias("stop"), F.floor(F.log2(n.cast("double"))).cast("int").alias("stratum"), bin_.alias("bin"))
+        return F.struct(m["span"]["start"].alias("start"), m["span"]["stop"].alias("stop"), (r["encoding"] * 32 + F.floor(F.log2(n.cast("double")))).cast("int").alias("stratum"), bin_.alias("bin"))
 
     none = F.array().cast("array<struct<start:int,stop:int,stratum:int,bin:int>>")
     return rows.select("doc_id", "assign", "access", "hex", F.when(F.col("tokens").isNull(), none).otherwise(F.transform("tokens", candidate)).alias("candidates"))
 
 
 def thresholds(candidates: DataFrame, q: float = FALSE_DISCOVERIES) -> dict[int, int]:
-    """For each length stratum the least significant bin that step-up control at ``q`` admits.
+    """For each stratum of encoding and length the least significant bin that step-up control at ``q`` admits.
 
     ``candidates`` has ``stratum, bin``; bin -1 (not random) counts as p = 1. The counts are at most a few
     thousand rows, whatever the corpus.
@@ -190,3 +203,16 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"),
         joined("spans").alias("spans"),
     )
+
+
+#: The base spans in SQL: pieces between matches and the matches in turn give the places.
+_ASSIGN_SQL = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+BASE_ORACLE = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, 0 AS k, 'assign' AS kind, 12 AS least, regexp_split_to_array(text, '{_ASSIGN_SQL}') AS gaps, regexp_extract_all(text, '{_ASSIGN_SQL}', 0) AS hits, regexp_extract_all(text, '{_ASSIGN_SQL}', 2) AS parts FROM t
+  UNION ALL SELECT doc_id, 1, 'access', 18, regexp_split_to_array(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0) FROM t
+  UNION ALL SELECT doc_id, 2, 'hex', 16, regexp_split_to_array(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+', 0), regexp_extract_all(text, '[0-9a-f]+', 0) FROM t),
+e AS (SELECT doc_id, k, kind, least, unnest(range(len(hits))) AS i, gaps, hits, parts FROM m),
+s AS (SELECT doc_id, k, kind, length(hits[i + 1]) AS n, length(parts[i + 1]) AS z, least, list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i], lambda x: length(x))), 0) AS place FROM e),
+f AS (SELECT * FROM s WHERE z >= least),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS c, count(*) FILTER (k = 2) AS h, string_agg(kind || ':' || CAST(place AS BIGINT) || ':' || CAST(place + n AS BIGINT), ',' ORDER BY place, k) AS spans FROM f GROUP BY doc_id)
+SELECT t.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(c, 0) AS BIGINT) AS n_access, CAST(coalesce(h, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN g USING (doc_id)"""
