@@ -216,3 +216,13 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         again = rows.join(repeats, same).withColumn("__fw_r", F.row_number().over(order))
         once = once.unionByName(again.withColumn("__fw_k", _share("__fw_n", "__fw_c", "__fw_r").cast("long")).drop("__fw_r").where("__fw_k > 0"))
     return once.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__fw_k"))).alias("__fw_copy")).drop("__fw_copy")
+
+
+#: Sizes and targets in SQL.
+TARGET_ORACLE = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][i % 3 + 1]::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(cap, w * max(level) OVER ()) AS target FROM l)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(target, 4) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""

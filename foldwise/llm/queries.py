@@ -49,6 +49,26 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3 that SQL can tell."""
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can tell."""
+    return op5_pivotal_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def sketch_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8 that SQL can tell."""
+    return op8_scaled_sketch(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def suffix_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 without the places of its spans."""
+    return op9_suffix_dedup(spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,8 +88,18 @@ def queries() -> dict:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality_cnn": op10_quality_cnn,
         "pipeline": pipeline,
+        "secret_base_spans": secret_base_spans,
+        "mix_targets": mix_targets,
+        "sketch_edits": sketch_edits,
+        "suffix_removed": suffix_removed,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op2_exact_dedup": exact_dedup.ORACLE,
+        "secret_base_spans": secret_scan.BASE_ORACLE,
+        "mix_targets": mixing.TARGET_ORACLE,
+        "sketch_edits": scaled_sketch.EDIT_ORACLE,
+        "suffix_removed": suffix_dedup.ORACLE,
+    }

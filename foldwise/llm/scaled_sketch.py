@@ -156,3 +156,9 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         likeness(F.col("own"), F.col("following")).alias("near_next"),
         containment(F.col("own"), F.col("other")).alias("in_edited"),
     )
+
+
+#: Lengths and edited texts in SQL.
+EDIT_ORACLE = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS following FROM t)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(substring(text, 1, length(text) - length(text) // 4) || substring(following, 1, length(text) // 4)) AS edited_sha256 FROM n"""

@@ -365,3 +365,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     zero = F.lit(0).cast("long")
     clean = cut.where("hashes is null").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast("array<int>").alias("removed"))
     return clean.unionByName(cleaned).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+#: The whole result in SQL, by a hash of each window; slow.
+ORACLE = """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, unnest(range(greatest(length(h) // 2 - 199, 0))) AS place, unnest(list_transform(range(greatest(length(h) // 2 - 199, 0)), lambda i: md5_number(substring(h, 2 * i + 1, 400)))) AS d FROM t),
+r AS (SELECT d FROM x GROUP BY d HAVING count(*) > 1),
+y AS (SELECT doc_id, place, lag(place) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM x SEMI JOIN r USING (d)),
+z AS (SELECT doc_id, place, sum(CASE WHEN before IS NULL OR place > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM y),
+s AS (SELECT doc_id, run, min(place) AS lo, max(place) + 200 AS hi FROM z GROUP BY doc_id, run),
+k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS from_ FROM s),
+g AS (SELECT k.doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, string_agg(substring(h, 2 * from_ + 1, 2 * (lo - from_)), '' ORDER BY lo) || substring(any_value(h), 2 * max(hi) + 1) AS kept FROM k JOIN t USING (doc_id) GROUP BY k.doc_id)
+SELECT t.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM t LEFT JOIN g USING (doc_id)"""

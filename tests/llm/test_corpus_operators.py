@@ -116,6 +116,26 @@ def test_randomness_battery_tells_keys_from_prose(spark):
     assert sum(got[i] > 0 for i in range(40)) >= 36 and sum(got[100 + i] > 0 for i in range(40)) == 0
 
 
+def test_secret_recall_by_encoding_and_length(spark):
+    """Random keys are 8 % of long tokens; the rest are paths and names."""
+    rng = random.Random(1)
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"base64": up + low + dig + "+/", "mixed": up + low + dig, "lower": low + dig, "base32": up + "234567", "HEX": dig + "ABCDEF"}
+    parts = ["".join(rng.choice("an er ti on st re en nd th or data file user get set config index http".split()) for _ in range(rng.randint(2, 4))) for _ in range(300)]
+    word = lambda: rng.choice(parts)
+    plain = [
+        lambda: "/usr/" + "/".join(word() for _ in range(rng.randint(3, 6))), lambda: "".join(word().capitalize() for _ in range(rng.randint(3, 5))), lambda: "_".join(word() for _ in range(rng.randint(3, 6))),
+        lambda: "-".join(word() for _ in range(4)) + f"-{rng.randint(1, 2024)}", lambda: "_".join(word().upper() for _ in range(4)), lambda: f"{word()}{rng.randint(2000, 2024)}/{word()}/{word()}{rng.randint(1, 99)}{word()}",
+    ]
+    keys = [(name, n, "".join(rng.choice(a) for _ in range(n))) for name, a in alphabets.items() for n in (20, 32) for _ in range(40)]
+    data = [(i, f"key is {k} ok") for i, (_, _, k) in enumerate(keys)] + [(1000 + i, f"see {rng.choice(plain)()} there") for i in range(4600)]
+    got = {r["doc_id"]: r["n_random"] for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(data, "doc_id long, text string"))).collect()}
+    hits = collections.Counter((name, n) for i, (name, n, _) in enumerate(keys) if got[i])
+    for name in alphabets:
+        assert hits[name, 20] >= 20 and hits[name, 32] >= 32, (name, hits)
+    assert sum(got[i] > 0 for i, _ in data if i >= 1000) <= 4
+
+
 def bag(text):
     w = re.findall(r"\S+", (text or "").lower())
     k = min(5, len(w))
@@ -520,3 +540,18 @@ def test_pipeline_stages(spark, tmp_path):
 )
 def test_conversion_keeps_all_text(page, want):
     assert warc_derivatives.to_text(page) == want
+
+
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "secret_base_spans", "mix_targets", "sketch_edits", "suffix_removed"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from foldwise.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    got, want = queries.queries()[name](spark, sf), con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(columns)
+    assert collections.Counter(map(str, got.select(*columns).toPandas().itertuples(index=False, name=None))) == collections.Counter(map(str, want.fetchall()))
