@@ -219,7 +219,11 @@ class Pseudonyms:
         return ".".join(reversed(out))
 
     def date(self, v: str) -> str | None:
-        """Dates are permuted within their year; day and month keep their order and their zeros."""
+        """Dates are permuted within their year, in all notations alike; day and month keep their order and width.
+
+        A date whose place in the permutation doesn't fit the notation (one digit for the month, say) goes on to the next
+        that does. Years, and so ages, stay what they are.
+        """
         try:
             if "-" in v:
                 y, m, d = (int(x) for x in v.split("-"))
@@ -236,25 +240,26 @@ class Pseudonyms:
         if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
             return None
         if "-" in v:
-            new = self._in_year("iso", day, lambda x: True)
+            new = self._in_year(day, lambda x: True)
             return f"{new:%Y-%m-%d}"
-        shape = (len(p), len(q), int(q) <= 12)
-        text = lambda x: (x.day, x.month) if shape[2] else (x.month, x.day)
+        day_first = int(q) <= 12
+        text = lambda x: (x.day, x.month) if day_first else (x.month, x.day)
 
         def fits(x: datetime.date) -> bool:
             a, b = text(x)
-            ok = all((len(s) == len(str(z))) or (len(s) == 2 and s[0] == "0" and z < 10) for s, z in ((p, a), (q, b)))
-            zeros = all((s[0] == "0") == (len(s) == 2 and z < 10) for s, z in ((p, a), (q, b)))
-            return ok and zeros and (shape[2] or b > 12)
+            padded = len(p) == len(q) == 2
+            return (padded or all((z < 10) == (len(s) == 1 or s[0] == "0") for s, z in ((p, a), (q, b)))) and (day_first or b > 12)
 
-        new = self._in_year(f"{sep}{len(p)}{p[0] == '0'}{len(q)}{q[0] == '0'}{shape[2]}", day, fits)
+        new = self._in_year(day, fits)
         a, b = text(new)
         return f"{str(a).zfill(len(p))}{sep}{str(b).zfill(len(q))}{sep}{new.year:04d}"
 
-    def _in_year(self, tweak: str, day: datetime.date, fits) -> datetime.date:
+    def _in_year(self, day: datetime.date, fits) -> datetime.date:
         first = datetime.date(day.year, 1, 1)
-        days = [x for x in (first + datetime.timedelta(i) for i in range(365 + calendar.isleap(day.year))) if fits(x)]
-        return days[self.permute(f"date{tweak}{day.year}", days.index(day), len(days))]
+        while True:
+            day = first + datetime.timedelta(self.permute(f"date{first.year}", (day - first).days, 365 + calendar.isleap(first.year)))
+            if fits(day):
+                return day
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and what was replaced: kind, start and end in code points (both texts)."""
