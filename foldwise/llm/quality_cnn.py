@@ -131,16 +131,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, max_bytes: int = SAMPLE_BYTES) -> dict:
     """Train on labelled rows that are not held out, from a bounded sample by a hash of the id.
 
-    At most ``per_class`` rows of each class (with longer texts left out of the sample, not cut) reach the
-    driver; weights restore the classes' shares. Null ids and labels are left out.
+    At most ``per_class`` rows of each class, of texts of at most ``max_bytes`` (longer ones aren't cut but left out,
+    before the draw), reach the driver; weights restore the classes' shares. Null ids and labels are left out; labels
+    without a document don't count. A class all of whose texts are too long raises ValueError.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    fits = F.octet_length(text_of(text_col)) <= max_bytes
+    sized = docs.select(F.col(id_col).alias("id"), fits.alias("fits")).join(known, "id")
+    counts = {r["y"]: (r["n"], r["m"]) for r in sized.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if("fits").alias("m")).collect()}
     parts = []
-    for y in sorted(counts):
-        share = min(1.0, per_class / counts[y])
+    for y, (_, m) in sorted(counts.items()):
+        if not m:
+            raise ValueError(f"no text of label {y} has at most {max_bytes} bytes")
+        share = min(1.0, per_class / m)
         dealt = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-        parts.append(known.where((F.col("y") == y) & dealt).limit(per_class + per_class // 4))
+        parts.append(sized.where(F.col("fits") & (F.col("y") == y) & dealt).select("id", "y").distinct().limit(per_class + per_class // 4))
     if not parts:
         return train([], [])
     sample = parts[0]
@@ -150,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = rows.join(F.broadcast(sample), "id").limit(4 * per_class).collect()
     got = sorted({(r["id"], r["text"], r["y"]) for r in got})
     used = {y: sum(r[2] == y for r in got) for y in counts}
-    return train([r[1] for r in got], [r[2] for r in got], [counts[r[2]] / used[r[2]] for r in got])
+    return train([r[1] for r in got], [r[2] for r in got], [counts[r[2]][0] / used[r[2]] for r in got])
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score") -> DataFrame:
