@@ -555,3 +555,63 @@ def test_queries_equal_their_sql(spark, name):
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert collections.Counter(map(str, got.select(*columns).toPandas().itertuples(index=False, name=None))) == collections.Counter(map(str, want.fetchall()))
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, rows, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows and clashing columns go through every stage; so does an empty table."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(r[0], int(i % 3 > 0), 0) for i, r in enumerate(rows) if r[0] is not None] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for start in (docs, docs.limit(0)):
+        at = start
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, at, str(tmp_path))
+            if name != "pack":
+                assert made.columns == start.columns
+            made.write.parquet(path := f"{tmp_path}/{name}-{start is docs}")
+            at = spark.read.parquet(path)
+            if name == "exact_dedup":
+                kept = collections.Counter(lower(r["text"]) for r in at.collect())
+                assert not kept or max(kept.values()) == 1
+        assert (at.count() > 0) == (start is docs)
+    # stages by themselves on all rows: one row of each text, and of each near-duplicate class
+    texts = {lower(r[1]) for r in rows}
+    assert corpus_pipeline.exact(spark, docs, "").count() == len(texts)
+    classes = dart_minhash.near_duplicates(docs).collect()
+    assert corpus_pipeline.near(spark, docs, "").count() == len({(r["class_id"], r["rep_id"] if r["class_id"] is None else 0) for r in classes})
+
+
+def test_classifier_takes_every_class_into_its_sample(spark):
+    texts = [(i, ("good prose of a book " * 2000) if i % 2 and i % 10 != 5 else f"bad {i} spam" if i % 2 == 0 else "good short prose of a book") for i in range(200)]
+    docs = spark.createDataFrame([*texts, (None, "x"), texts[3]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts] + [(7, 1), (10**6, 1)], "doc_id long, quality int")
+    out = {r["doc_id"]: r for r in quality_cnn.classify(docs, labels).collect()}
+    assert len(out) == 201 and out[None]["held_out"] is False
+    assert sum(out[i]["predicted"] == i % 2 for i, _ in texts) >= 190
+    with pytest.raises(ValueError):
+        quality_cnn.fit(docs.where("length(text) > 100 or doc_id % 2 = 0"), labels)
+
+
+def test_classifier_scores_as_plain_loops_do():
+    import math
+
+    import numpy as np
+
+    q, rng = quality_cnn, np.random.default_rng(1)
+    model = {"tables": rng.normal(size=(q.WIDTH, 256, q.FILTERS)).astype("f4"), "bias": rng.normal(size=q.FILTERS).astype("f4"), "w": rng.normal(size=2 * q.FILTERS).astype("f4") / 8, "b": np.float32(0.1)}
+
+    def plain(text):
+        data = list(text.encode())
+        n, data = len(data), data + [0] * q.WIDTH
+        cells = []
+        for lo in range(0, max(n, 1), q.CELL):
+            at = [[sum(float(model["tables"][j][data[p + j]][f]) for j in range(q.WIDTH)) for f in range(q.FILTERS)] for p in range(lo, min(lo + q.CELL, n))]
+            cells.append([max(0.0, (max(x[f] for x in at) if at else 0.0) + float(model["bias"][f])) for f in range(q.FILTERS)])
+        step = q.CHUNK_CELLS - 1
+        chunks = [[max(c[f] for c in cells[lo : lo + q.CHUNK_CELLS]) for f in range(q.FILTERS)] for lo in range(0, max(1, len(cells) - 1), step)]
+        features = [sum(c[f] for c in chunks) / len(chunks) for f in range(q.FILTERS)] + [max(c[f] for c in chunks) for f in range(q.FILTERS)]
+        return 1 / (1 + math.exp(-(sum(x * float(w) for x, w in zip(features, model["w"])) + float(model["b"]))))
+
+    for text in ("", "a", "short é", "ab c" * 100 + "zq", "x" * (q.CELL * q.CHUNK_CELLS + 3)):
+        assert q.predict(text, model) == pytest.approx(plain(text), abs=1e-4), text[:10]
