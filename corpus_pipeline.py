@@ -1,4 +1,7 @@
-"""A corpus pipeline of five of the operators: filter, two kinds of deduplication, mix, pack."""
+"""A corpus pipeline of five of the operators: filter, two kinds of deduplication, mix, pack.
+
+Stages take the columns of ``documents``, others too, which all but the last keep. Empty tables pass through.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +12,27 @@ from foldwise.llm.common import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below its threshold go; null text counts as empty. Without labels all score 0.5."""
     return quality_cnn.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text stays, the largest id. Texts are equal when identical after lower-casing A-Z; null is empty."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays, the smallest id; rows that repeat an id are told apart by text."""
     return dart_minhash.drop_near_duplicates(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight takes it, none or up to three times."""
     return mixing.apply_mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document: its sequence and its place there."""
     return packing.best_fit_pack(docs)
 
 
