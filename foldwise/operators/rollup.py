@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.operators.ranking import percentiles
+
 
 def share(pred: Column) -> Column:
     """Percentage of rows for which the predicate holds; null without rows."""
@@ -33,15 +35,11 @@ def equivalence(low: str = "ci_low", high: str = "ci_high", bounds: tuple[float,
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``feature, n, mean, sd, min, q1, median, q3, max`` of each column, in one pass."""
-    parts = [
-        F.struct(
-            F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("min"),
-            F.percentile(c, F.lit(0.25)).alias("q1"), F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(c, F.lit(0.75)).alias("q3"), F.max(c).alias("max"),
-        )
-        for c in columns
-    ]
-    return df.agg(F.array(*parts).alias("r")).select(F.inline("r"))
+    """``feature, n, mean, sd, min, q1, median, q3, max`` of each column; quartiles by counted values, so no task holds a column."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])))
+    moments = long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    quartiles = percentiles(long, ["feature"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return moments.join(quartiles, "feature", "left").select("feature", "n", "mean", "sd", "min", "q1", "median", "q3", "max")
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

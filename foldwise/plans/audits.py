@@ -499,8 +499,8 @@ def m_event_pairs_audit(spark, sf_dir):
         pairs = widest.where(F.col("next_ts") <= F.col("ts") + F.expr(f"interval 1 second + interval {hours} hours"))
         for cohort, t in (("all", pairs), ("uninterrupted", joins.no_event_between(pairs, left, ["user_id"], "ts", "next_ts", "ts"))):
             parts.append(t.withColumns({"window": F.lit(hours), "cohort": F.lit(cohort)}))
-    pairs = _union(parts).withColumn("drop", fx.outcome("drop", F.col("value"), F.col("next_value")))
-    q = pairs.groupBy("window", "cohort").agg(F.percentile("drop", F.lit(0.75)).alias("q"), F.count(F.lit(1)).alias("n_pairs"))
+    pairs = written(_union(parts).withColumn("drop", fx.outcome("drop", F.col("value"), F.col("next_value"))), "pairs")
+    q = ranking.percentiles(pairs, ["window", "cohort"], "drop", {"q": 0.75})
     d = pairs.join(q, ["window", "cohort"]).withColumn("label", (F.col("drop") >= F.col("q")).cast("int"))
     rows = F.array(*[F.struct(F.lit(n).alias("pipeline"), s.alias("score")) for n, s in (("clean", F.hour("ts").cast("double")), ("baseline", F.col("value")), ("follow_up", -F.col("next_value")), ("oracle", F.col("drop")))])
     out = metrics.auroc(d.select("window", "cohort", "label", F.inline(rows)), ["window", "cohort", "pipeline"], "score", "label")
@@ -520,7 +520,8 @@ def m_subject_audit(spark, sf_dir):
 def m_meal_cohort(spark, sf_dir):
     """Meals with peaks and outcomes, and the cohort's summary: subjects, meals, threshold and reconstruction error."""
     meals = queries.range_window_peak(spark, sf_dir).join(queries.events(spark, sf_dir).select("event_id", F.col("value").alias("pre"), F.hour("ts").alias("hour_of_day")), "event_id")
-    q = meals.agg(F.percentile("rise", F.lit(0.75)).alias("q")).first()["q"] or 0.0
+    meals = written(meals, "meals")
+    q = ranking.percentiles(meals, [], "rise", {"q": 0.75}).first()["q"] or 0.0
     return meals.agg(
         F.count(F.lit(1)).alias("n_meals"), F.count_distinct("user_id").alias("n_subjects"), F.lit(q).alias("threshold"), F.avg((F.col("rise") >= F.lit(q)).cast("double")).alias("prevalence"),
         *checks.reconstruction_error("pre", "peak", "rise"),

@@ -819,7 +819,7 @@ SELECT CAST(seed AS INT) AS seed, model, priority FROM g WHERE NOT EXISTS (SELEC
 )
 def resume_todo(spark, sf_dir):
     o = parquet(spark, sf_dir, "orders")
-    grid = rollup.grid(spark, seed=list(range(20)), model=["lr", "rf"]).join(F.broadcast(o.select(F.col("o_orderpriority").alias("priority")).distinct()))
+    grid = rollup.grid(spark, seed=list(range(20)), model=["lr", "rf"]).crossJoin(o.select(F.col("o_orderpriority").alias("priority")).distinct())
     done = o.where("o_totalprice > 440000").select((F.col("o_orderkey") % 20).cast("int").alias("seed"), F.lit("lr").alias("model"), F.col("o_orderpriority").alias("priority"))
     return rollup.todo(grid, done, ["seed", "model", "priority"])
 
