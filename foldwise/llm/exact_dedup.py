@@ -82,20 +82,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns without the copies that :func:`exact_dedup` drops, one row for each text.
 
-    Of rows that repeat both the kept id and its text any one stays. Rows go by id, length and prefix hash; a text is
-    hashed in full only where these don't tell.
+    Of rows that repeat both the kept id and its text any one stays. Rows go by id, length and prefix hash, four numbers
+    with 64 bits of the full hash; a text is hashed in full only where the first three agree.
     """
     hashed = survivors(docs, id_col, text_col)
     groups = duplicate_groups(hashed)
     rows = hashed.join(groups, "sha")
-    named = [F.col("id").alias("__fw_id"), F.col("len").alias("__fw_len"), F.col("prefix").alias("__fw_prefix"), F.col("sha").alias("__fw_sha")]
+    named = [F.col("id").alias("__fw_id"), F.col("len").alias("__fw_len"), F.col("prefix").alias("__fw_prefix"), F.xxhash64("sha").alias("__fw_sha")]
     gone = written(rows.where(~F.col("keep_id").eqNullSafe(F.col("id"))).select(*named).distinct(), "exact-gone")
     again = rows.where(F.col("keep_id").eqNullSafe(F.col("id"))).groupBy("id", "len", "prefix", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = written(again.select(*named), "exact-again")
     forget(hashed, groups)
     marked = docs.withColumns({"__fw_l": _length(text_col), "__fw_p": _prefix(text_col)})
     same = F.col(id_col).eqNullSafe(F.col("__fw_id")) & (F.col("__fw_l") == F.col("__fw_len")) & (F.col("__fw_p") == F.col("__fw_prefix"))
-    same = same & (full_hash(text_col) == F.col("__fw_sha"))
+    same = same & (F.xxhash64(full_hash(text_col)) == F.col("__fw_sha"))
     kept = marked.join(gone, same, "left_anti")
     if again.limit(1).count():
         once = kept.join(again, same, "left_semi").withColumn("__fw_h", full_hash(text_col)).dropDuplicates([id_col, "__fw_h"]).drop("__fw_h")
