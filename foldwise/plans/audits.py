@@ -438,6 +438,20 @@ def m_calibration(spark, sf_dir):
     return _union(parts)
 
 
+@query
+def m_oof_calibration(spark, sf_dir):
+    """Calibration of the logistic model's out-of-fold scores of the whole paired table, clean and leaking: errors by equal widths and by deciles, Brier score, intercept and slope."""
+    s, parts = _scored_by(spark, sf_dir, "lr"), []
+    for p in PIPELINES:
+        t = s.where(F.col("pipeline") == p)
+        a, b = metrics.calibration_line(t, "score", "label")
+        width = metrics.calibration_error(t, [], "score", "label").first()["ece"]
+        deciles = metrics.calibration_error(t, [], "score", "label", metrics.quantile_edges(t, "score", 10)).first()["ece"]
+        one = t.agg(F.count(F.lit(1)).alias("n"), metrics.brier("score", "label").alias("brier"))
+        parts.append(one.select(F.lit(p).alias("pipeline"), "n", "brier", F.lit(width).alias("ece"), F.lit(deciles).alias("ece_deciles"), F.lit(a).alias("intercept"), F.lit(b).alias("slope")))
+    return _union(parts)
+
+
 @query
 def m_smote(spark, sf_dir):
     """Class counts of the labelled documents before and after oversampling."""
