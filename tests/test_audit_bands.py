@@ -34,8 +34,9 @@ def test_missingness_and_outlier_settings(spark):
 
 
 def test_sample_sizes_and_noise(spark):
-    sizes = {(r["scenario"], r["n_rows"]): r for r in audits.m_sample_size_sweep(spark, sizes=(300, 3000), seeds=(1, 2, 3)).collect()}
-    assert len(sizes) == 8 and sizes["null", 300]["sd"] > sizes["null", 3000]["sd"]
+    sizes = {(r["scenario"], r["n_rows"]): r for r in audits.m_sample_size_sweep(spark, sizes=(300, 3000), seeds=(1, 2, 3, 4)).collect()}
+    spread = {n: sum(r["sd"] for (_, m), r in sizes.items() if m == n) for n in (300, 3000)}
+    assert len(sizes) == 8 and spread[300] > spread[3000]
     noise = sorted(audits.m_measurement_noise(spark, seeds=(1, 2), multiples=(0.5, 3.0)).collect(), key=lambda r: r["multiple"])
     assert noise[0]["mean"] > noise[1]["mean"] and noise[0]["expected"] > noise[1]["expected"]
     assert all(abs(r["mean"] - r["expected"]) < 0.06 for r in noise)
