@@ -96,7 +96,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = docs.withColumns({"__fw_l": _length(text_col), "__fw_p": _prefix(text_col)})
     same = F.col(id_col).eqNullSafe(F.col("__fw_id")) & (F.col("__fw_l") == F.col("__fw_len")) & (F.col("__fw_p") == F.col("__fw_prefix"))
     same = same & (F.xxhash64(full_hash(text_col)) == F.col("__fw_sha"))
-    kept = marked.join(gone, same, "left_anti")
+    # the same plan at every size, a shuffle by id, length and prefix
+    kept = marked.join(gone.hint("merge"), same, "left_anti")
     if again.limit(1).count():
         once = kept.join(again, same, "left_semi").withColumn("__fw_h", full_hash(text_col)).dropDuplicates([id_col, "__fw_h"]).drop("__fw_h")
         kept = kept.join(again, same, "left_anti").unionByName(once)
