@@ -102,7 +102,7 @@ def m_scenario_sweep(spark, sf_dir=None, seeds=seeds_to(100)):
 
 
 @query
-def m_sample_size_sweep(spark, sf_dir=None, sizes=(300, 500, 750, 1500, 3000, 6000, 10000, 50000, 100000), seeds=seeds_to(3)):
+def m_sample_size_sweep(spark, sf_dir=None, sizes=(300, 500, 750, 1500, 3000, 6000, 10000, 50000, 100000), seeds=seeds_to(2)):
     """Discrimination by sample size, with the percentile equivalence rule. The training rows are not balanced."""
     parts = [scenario_sweep_rows(spark, seeds, n).withColumn("n_rows", F.lit(n)) for n in sizes]
     out = cross_validated(_union(parts), ["scenario", "n_rows", "seed"], how={"winsor": True})
