@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import dart_minhash, exact_dedup, mixing, packing, pii_feistel, quality_cnn, scaled_sketch, secret_scan, suffix_dedup, warc_derivatives
+from foldwise.llm import dart_minhash, exact_dedup, fill_in_middle, merkle_manifest, mixing, packing, pii_feistel, quality_cnn, scaled_sketch, secret_scan, suffix_dedup, toxicity_fm, warc_derivatives
 from foldwise.llm.common import table
 
 
@@ -49,6 +49,18 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents")).drop("rank", "proof")
+
+
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op3 that SQL can tell."""
     return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -87,6 +99,9 @@ def queries() -> dict:
         "op8_scaled_sketch": op8_scaled_sketch,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality_cnn": op10_quality_cnn,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_toxicity_fm": op12_toxicity_fm,
+        "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
         "secret_base_spans": secret_base_spans,
         "mix_targets": mix_targets,
@@ -98,6 +113,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE,
+        "op11_fill_in_middle": fill_in_middle.ORACLE,
+        "op13_merkle_manifest": merkle_manifest.ORACLE,
         "secret_base_spans": secret_scan.BASE_ORACLE,
         "mix_targets": mixing.TARGET_ORACLE,
         "sketch_edits": scaled_sketch.EDIT_ORACLE,
