@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foldwise.llm.common import written
+from foldwise.llm.common import forget, written
 
 #: Levels of a bucket's subtree: 4096 leaves at most are in one DuckDB table.
 HEIGHT = 12
@@ -44,7 +44,7 @@ def group_key(group: Column) -> Column:
 def ranked(rows: DataFrame, key: str, order: Sequence[str], name: str) -> DataFrame:
     """Ranks from 0 within ``key`` in the given order, by range partitions and their counts; no task sees a whole group.
 
-    Rows that tie in everything have consecutive ranks. ``rows`` is sorted once and written with its ranks in the partition.
+    Rows that tie in everything have consecutive ranks. The result is written.
     """
     parts = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
     at = F.monotonically_increasing_id()  # the partition above, the place in it below
@@ -53,8 +53,10 @@ def ranked(rows: DataFrame, key: str, order: Sequence[str], name: str) -> DataFr
     before = Window.partitionBy(key).orderBy("__fw_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("__fw_n").over(before), F.lit(0)) - F.col("__fw_first")
     shifts = written(runs.select(key, "__fw_part", shift.alias("__fw_shift")), "shifts")
-    out = placed.join(shifts, [key, "__fw_part"])
-    return out.withColumn(name, F.col("__fw_at") + F.col("__fw_shift")).drop("__fw_part", "__fw_at", "__fw_shift")
+    out = placed.join(shifts, [key, "__fw_part"]).withColumn(name, F.col("__fw_at") + F.col("__fw_shift"))
+    out = written(out.drop("__fw_part", "__fw_at", "__fw_shift"), "ranked")
+    forget(placed, shifts)
+    return out
 
 
 def _levels(con, depth: int) -> None:
@@ -87,13 +89,13 @@ def bucket_proofs(bucket: pa.Table) -> pa.Table:
     with _connect() as con:
         con.register("leaves", bucket.select(["pos", "h"]))
         _levels(con, depth)
-        got = con.execute(
+        got = con.sql(
             f"""
             with steps as (select pos, level, xor(pos >> level, 1) as other from leaves, range({depth}) r(level))
             select s.pos, list({{'h': coalesce(n.h, ''), 'left': s.other % 2 = 0}} order by s.level) as proof
             from steps s left join nodes n on n.level = s.level and n.pos = s.other group by s.pos
             """
-        ).fetch_arrow_table()
+        ).to_arrow_table()
     proofs = dict(zip(got["pos"].to_pylist(), got["proof"].to_pylist()))
     kind = pa.list_(pa.struct([("h", pa.string()), ("left", pa.bool_())]))
     made = pa.array([proofs.get(p, []) for p in bucket["pos"].to_pylist()], kind)
@@ -117,6 +119,8 @@ def tree(nodes: DataFrame, height: int = HEIGHT) -> tuple[DataFrame, DataFrame]:
     while True:
         cut = written(_in_buckets(level, height), "buckets")
         rounds.append(cut)
+        if level is not nodes:
+            forget(level)
         roots = cut.groupBy("key", "bucket").applyInArrow(bucket_roots, "key string, bucket long, h string")
         level = written(roots.select("key", F.col("bucket").alias("rank"), "h"), "roots")
         if not level.where("rank > 0").limit(1).count():
@@ -153,9 +157,9 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", s
         ident.alias("doc_id"), group_key(F.col(group_col)).alias("key"), values(n).alias("leaf"),
         F.when(hit & n.isNotNull(), values(n + 1)).alias("tampered"),
     )
-    leaves = written(ranked(rows, "key", ["doc_id", "leaf"], "rank"), "leaves")
+    leaves = ranked(rows, "key", ["doc_id", "leaf"], "rank")
     subroots, inner = tree(leaves.select("key", "rank", F.col("leaf").alias("h")), height)
-    groups = written(ranked(subroots.withColumn("all", F.lit("")), "all", ["key"], "__fw_group"), "groups")
+    groups = ranked(subroots.withColumn("all", F.lit("")), "all", ["key"], "__fw_group")
     top, outer = tree(groups.select(F.col("all").alias("key"), F.col("__fw_group").alias("rank"), F.col("root").alias("h")), height)
     root = top.select(F.col("root").alias("top")).first()
     above = groups.join(outer.select(F.col("rank").alias("__fw_group"), F.col("proof").alias("outer")), "__fw_group").select("key", F.col("root").alias("subroot"), "outer")
