@@ -155,7 +155,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], weights:
     data = [placed(*d) for d in docs]
     share = (inside + 0.5) / (np.array([(1 - y).sum(), y.sum()])[:, None] + 1)
     w = np.log(share[1] / share[0])
-    v, b = rng.normal(0, 0.02, (len(known), factors)), float(np.log((wt * y).sum() / (wt * (1 - y)).sum()))
+    v, b = rng.normal(0, 0.05, (len(known), factors)), float(np.log((wt * y).sum() / (wt * (1 - y)).sum()))
     gw, gv, gb = np.full(len(known), 1e-2), np.full((len(known), factors), 1e-2), 1e-2
     for _ in range(epochs):
         order = rng.permutation(len(y))
@@ -186,7 +186,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], weights:
             gv[at] += dv * dv
             gb += grad_b * grad_b
             w[at] -= RATE * dw / np.sqrt(gw[at])
-            v[at] -= RATE * 0.3 * dv / np.sqrt(gv[at])
+            v[at] -= RATE * dv / np.sqrt(gv[at])
             b -= RATE * grad_b / np.sqrt(gb)
     return {"known": known, "w": w.astype(np.float32), "v": v.astype(np.float32), "b": np.float32(b)}
 
