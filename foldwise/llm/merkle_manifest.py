@@ -99,21 +99,21 @@ def bucket_proofs(bucket: pa.Table) -> pa.Table:
     proofs = dict(zip(got["pos"].to_pylist(), got["proof"].to_pylist()))
     kind = pa.list_(pa.struct([("h", pa.string()), ("left", pa.bool_())]))
     made = pa.array([proofs.get(p, []) for p in bucket["pos"].to_pylist()], kind)
-    return pa.table({"key": bucket["key"], "bucket": bucket["bucket"], "pos": bucket["pos"], "proof": made})
+    return bucket.drop_columns(["h", "depth"]).append_column("proof", made)
 
 
 def _in_buckets(nodes: DataFrame, height: int) -> DataFrame:
-    """``key, rank, h`` with bucket, place and the number of levels to hash there: all of them, or as many as a small group has."""
+    """``key, rank, h`` and more with bucket, place and the number of levels to hash there: all, or as many as a small group has."""
     sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     depth = sum(((F.col("n") > (1 << i)).cast("int") for i in range(height)), F.lit(0))  # the fewest levels that leave one node
     cut = nodes.join(sizes.select("key", depth.alias("depth")), "key")
-    return cut.select("key", F.shiftright("rank", height).alias("bucket"), F.col("rank").bitwiseAND(F.lit((1 << height) - 1)).alias("pos"), "h", "depth")
+    return cut.withColumns({"bucket": F.shiftright("rank", height), "pos": F.col("rank").bitwiseAND(F.lit((1 << height) - 1))})
 
 
 def tree(nodes: DataFrame, height: int = HEIGHT) -> tuple[DataFrame, DataFrame]:
-    """Trees over ``key, rank, h`` (ranks from 0 without gaps): ``(key, root)`` and ``(key, rank, proof)``.
+    """Trees over ``key, rank, h`` (ranks from 0 without gaps): ``(key, root)``, and the nodes, without ``h``, with their ``proof``.
 
-    Each round leaves a node for every ``2^height``; rounds go on until each key has one, which the largest rank tells.
+    Other columns stay with their node, so that none has to be joined back. Each round leaves a node for every ``2^height``; rounds go on until each key has one, which the largest rank tells.
     """
     rounds, level = [], nodes
     while True:
@@ -121,17 +121,18 @@ def tree(nodes: DataFrame, height: int = HEIGHT) -> tuple[DataFrame, DataFrame]:
         rounds.append(cut)
         if level is not nodes:
             forget(level)
-        roots = cut.groupBy("key", "bucket").applyInArrow(bucket_roots, "key string, bucket long, h string")
+        roots = cut.select("key", "bucket", "pos", "h", "depth").groupBy("key", "bucket").applyInArrow(bucket_roots, "key string, bucket long, h string")
         level = written(roots.select("key", F.col("bucket").alias("rank"), "h"), "roots")
         if not level.where("rank > 0").limit(1).count():
             break
     roots, above = level.select("key", F.col("h").alias("root")), None
     for cut in reversed(rounds):
-        proofs = cut.groupBy("key", "bucket").applyInArrow(bucket_proofs, f"key string, bucket long, pos long, proof {PROOF}")
+        kept = ", ".join(f"{name} {kind}" for name, kind in cut.dtypes if name not in ("h", "depth"))
+        proofs = cut.groupBy("key", "bucket").applyInArrow(bucket_proofs, f"{kept}, proof {PROOF}")
         if above is not None:
-            proofs = proofs.join(above.withColumnsRenamed({"rank": "bucket", "proof": "__fw_above"}), ["key", "bucket"])
-            proofs = proofs.withColumn("proof", F.concat("proof", "__fw_above"))
-        above = proofs.select("key", (F.shiftleft(F.col("bucket"), height) + F.col("pos")).alias("rank"), "proof")
+            proofs = proofs.join(above.select("key", F.col("rank").alias("bucket"), F.col("proof").alias("__fw_above")), ["key", "bucket"])
+            proofs = proofs.withColumn("proof", F.concat("proof", "__fw_above")).drop("__fw_above")
+        above = proofs.drop("bucket", "pos")
         if cut is not rounds[0]:
             above = written(above, "proofs")
     return roots, above
@@ -158,13 +159,13 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", s
         F.when(hit & n.isNotNull(), values(n + 1)).alias("tampered"),
     )
     leaves = ranked(rows, "key", ["doc_id", "leaf"], "rank")
-    subroots, inner = tree(leaves.select("key", "rank", F.col("leaf").alias("h")), height)
+    subroots, inner = tree(leaves.withColumn("h", F.col("leaf")), height)
     groups = ranked(subroots.withColumn("all", F.lit("")), "all", ["key"], "__fw_group")
     top, outer = tree(groups.select(F.col("all").alias("key"), F.col("__fw_group").alias("rank"), F.col("root").alias("h")), height)
     root = top.select(F.col("root").alias("top")).first()
     above = groups.join(outer.select(F.col("rank").alias("__fw_group"), F.col("proof").alias("outer")), "__fw_group").select("key", F.col("root").alias("subroot"), "outer")
     # a row for each group: Spark broadcasts it when its size allows
-    out = leaves.join(inner, ["key", "rank"]).join(above, "key").withColumn("proof", F.concat("proof", "outer")).withColumn("root", F.lit(root["top"] if root else None).cast("string"))
+    out = inner.join(above, "key").withColumn("proof", F.concat("proof", "outer")).withColumn("root", F.lit(root["top"] if root else None).cast("string"))
     out = out.withColumn("folded_root", fold(F.coalesce("tampered", "leaf"), F.col("proof")))
     siblings = F.sha2(F.array_join(F.transform("proof", lambda s: s["h"]), ""), 256)
     return out.select("doc_id", "leaf", "subroot", "root", siblings.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), "rank", "proof")
