@@ -12,6 +12,7 @@ import calendar
 import datetime
 import hashlib
 import hmac
+import math
 import re
 
 import pandas as pd
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from foldwise.llm.common import text_of
 
 ROUNDS = 8
+#: Characters before the @ of an e-mail address that are permuted as one number; longer ones are blocks in a chain.
+LOCAL_BLOCK = 64
 DEFAULT_KEY = "pseudonyms: replace in production"
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -62,15 +65,17 @@ class Feistel:
     """
 
     def __init__(self, key: str, tweak: str, n: int):
-        self.n, self.a = n, max(1, int(n**0.5))
-        while self.a * self.a < n:
-            self.a += 1
+        self.n, self.a = n, math.isqrt(max(n - 1, 0)) + 1
         self.b = -(-n // self.a)
         self.keys = [hmac.new(key.encode(), f"{tweak}:{n}:{r}".encode(), hashlib.sha256).digest() for r in range(ROUNDS)]
 
     def _f(self, r: int, x: int, size: int) -> int:
         data = x.to_bytes((x.bit_length() + 7) // 8 or 1, "big")
-        return int.from_bytes(hashlib.blake2b(data, key=self.keys[r], digest_size=16).digest(), "big") % size
+        if size.bit_length() <= 64:
+            return int.from_bytes(hashlib.blake2b(data, key=self.keys[r], digest_size=16).digest(), "big") % size
+        # as many digests as have 64 bits more than the half, so that all of it is mixed
+        digests = (hashlib.blake2b(data, key=self.keys[r], salt=i.to_bytes(16, "big")).digest() for i in range((size.bit_length() + 63) // 512 + 1))
+        return int.from_bytes(b"".join(digests), "big") % size
 
     def _once(self, x: int) -> int:
         left, right = divmod(x, self.b)
@@ -155,7 +160,13 @@ class Pseudonyms:
         local, _, domain = v.rpartition("@")
         if local.startswith(".") or local.endswith(".") or ".." in v:
             return None
-        return "@".join([self.mixed("email", local), domain])
+        made, tweak = [], "email"
+        for at in range(0, len(local), LOCAL_BLOCK):
+            block = local[at : at + LOCAL_BLOCK]
+            made.append(self.mixed(tweak, block))
+            # each block's permutation hangs on the pseudonym so far, which is known in both directions
+            tweak = f"email:{hashlib.sha256(f'{tweak}:{block if self.reverse else made[-1]}'.encode()).hexdigest()}"
+        return "@".join(["".join(made), domain])
 
     def iban(self, v: str) -> str | None:
         s = v.replace(" ", "")
