@@ -8,6 +8,7 @@ places by their rank within their length.
 from __future__ import annotations
 
 import base64
+import re
 import bisect
 import zlib
 
@@ -23,6 +24,7 @@ SEPARATOR = 0
 #: Rows ranked in one window partition, about.
 RANK_ROWS = 50_000
 
+LONG_BLANKS = re.compile(r"\s{50000}")
 _encoders: dict = {}
 
 
@@ -30,7 +32,8 @@ def encoder(path: str):
     """A function from text to ids, equal to tokenizers' with ``add_special_tokens=False``.
 
     The rank file beside the JSON file is the same vocabulary, and merging by rank gives the same ids several
-    times faster. A text that holds the special token's string goes through the JSON file itself.
+    times faster. A text that holds the special token's string goes through the JSON file itself, and so does one with a very
+    long run of white space, on which the fast way recurses too deeply.
     """
     if path not in _encoders:
         import tiktoken
@@ -44,7 +47,7 @@ def encoder(path: str):
         special = [t.content for t in exact.get_added_tokens_decoder().values()]
 
         def encode(text: str):
-            if any(s in text for s in special):
+            if any(s in text for s in special) or LONG_BLANKS.search(text):
                 return exact.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
