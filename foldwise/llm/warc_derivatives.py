@@ -36,19 +36,25 @@ _IN_HEAD = frozenset("base basefont bgsound head html link meta".split())
 _BREAK = frozenset(
     "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
 )
-_TITLE = re.compile(r"<title\b[^>]*+>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<(a|link|img|script|iframe|area)\b[^>]*?\s(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.S | re.I)
+_TITLE = re.compile(r"<title\b[^>]*+>", re.I)
+_LINKING = frozenset("a link img script iframe area".split())
+_LINK = re.compile(r"\s(href|src)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
 #: A path from the root without dot segments is appended to scheme and host, as urljoin would do.
 _ROOTED, _HOST = re.compile(r"/(?!/)(?:[^./?#;]|\.(?=[^./]))*\Z"), re.compile(r"https?://[^/?#]+")
 #: Runs of blanks other than one plain space; runs of line ends and blanks.
 _SPACE, _LINES = re.compile(r"[ \t\r\f\v\xa0]{2,}+|[\t\r\f\v\xa0]"), re.compile(r" \n[ \n]*+|\n[ \n]++")
 
 
+def _last(page: str) -> int:
+    """No tag ends after this place, so none is looked for there: an unclosed one would be read to the page's end each time."""
+    return page.rfind(">") + 1
+
+
 def to_text(page: str) -> str:
     """The page's visible text: one line a block, spaces collapsed, entities resolved."""
     page = page.replace("\n", " ")
-    out, at, pairs = [], 0, {}
-    while m := _TOKEN.search(page, at):
+    out, at, pairs, last = [], 0, {}, _last(page)
+    while m := _TOKEN.search(page, at, last):
         name = m[2].lower() if m[2] else None
         out.append(page[at : m.start()])
         at = m.end()
@@ -57,7 +63,8 @@ def to_text(page: str) -> str:
             out.append(" ")
         elif name in _BREAK:
             out.append("\n")
-    page = "".join(out) + page[at:]
+    open_ = page.find("<!--", at)  # beyond the last tag: a comment to the page's end
+    page = "".join(out) + (page[at:] if open_ < 0 else page[at:open_])
     if "&" in page:
         page = html.unescape(page)
     return _LINES.sub("\n", _SPACE.sub(" ", page)).strip()
@@ -72,11 +79,11 @@ def _hidden_end(page: str, m: re.Match, name: str | None, pairs: dict) -> int:
         end = page.find("-->", m.end()) + 3 if m[0] == "<!--" else m.end()
         return end if end > 2 else len(page)
     if name in _RAW:
-        close = _CLOSE[name].search(page, m.end())
+        close = _CLOSE[name].search(page, m.end(), _last(page))
         return close.end() if close else len(page)
     if name not in pairs:
         pairs[name], still_open = {}, []
-        for t in _TOKEN.finditer(page, m.start()):
+        for t in _TOKEN.finditer(page, m.start(), _last(page)):
             if (t[2] or "").lower() != name:
                 continue
             if not t[1]:
@@ -89,7 +96,8 @@ def _hidden_end(page: str, m: re.Match, name: str | None, pairs: dict) -> int:
 
 def _head_end(page: str, at: int, pairs: dict) -> int:
     """Where a head ends: after its end tag, which may be left out, or before what can only be in the body."""
-    while m := _TOKEN.search(page, at):
+    last = _last(page)
+    while m := _TOKEN.search(page, at, last):
         name = m[2].lower() if m[2] else None
         if page[at : m.start()].strip():
             return at
@@ -100,7 +108,7 @@ def _head_end(page: str, at: int, pairs: dict) -> int:
             if name == "head":
                 return at
         elif name in ("title", "noframes"):
-            close = _CLOSE[name].search(page, m.end())
+            close = _CLOSE[name].search(page, m.end(), last)
             at = close.end() if close else m.end()
         elif name is None or name in _RAW or name in ("noscript", "template"):
             at = _hidden_end(page, m, name, pairs)
@@ -115,8 +123,12 @@ def links(page: str, base: str | None) -> list[dict]:
     """Links in page order, resolved against the page's URI."""
     host = _HOST.match(base or "")
     out, root = [], host[0] if host else ""
-    for m in _LINK.finditer(page):
-        url = html.unescape(m[3] or m[4] or m[5] or "").strip()
+    for tag in _TOKEN.finditer(page, 0, _last(page)):
+        name = "" if tag[1] else (tag[2] or "").lower()
+        m = _LINK.search(page, tag.end(2), tag.end()) if name in _LINKING else None
+        if not m:
+            continue
+        url = html.unescape(m[2] or m[3] or m[4] or "").strip()
         if _ROOTED.match(url) and root:
             url = root + url
         else:
@@ -124,13 +136,15 @@ def links(page: str, base: str | None) -> list[dict]:
                 url = urljoin(base or "", url)
             except ValueError:
                 pass
-        out.append({"path": f"{m[1].upper()}@/{m[2].lower()}", "url": url})
+        out.append({"path": f"{name.upper()}@/{m[1].lower()}", "url": url})
     return out
 
 
 def title(page: str) -> str:
-    m = _TITLE.search(page)
-    return _SPACE.sub(" ", html.unescape(m[1]).replace("\n", " ")).strip() if m else ""
+    last = _last(page)
+    m = _TITLE.search(page, 0, last)
+    close = _CLOSE["title"].search(page, m.end(), last) if m else None
+    return _SPACE.sub(" ", html.unescape(page[m.end() : close.start()]).replace("\n", " ")).strip() if close else ""
 
 
 def sha1(data: bytes) -> str:
