@@ -314,6 +314,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text.alias("text"))
     texts = texts.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(1))).alias("row"), F.xxhash64("text").alias("tie"), "doc_id", "text")
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # of rows that repeat id and text all is repeated, or they are too short: one of them stands for them in what follows
+    repeats = written(texts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), "repeats")
+    everything, some = texts, repeats.limit(1).count() > 0
+    if some:
+        texts = written(texts.join(repeats, key, "left_anti").unionByName(texts.join(repeats, key, "left_semi").dropDuplicates(key)), "distinct")
 
     again = texts.select("text").withColumns({k: F.lit(0) for k in key}).mapInPandas(_anchor_counts(match), "hash long, n long")
     again = again.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
@@ -327,6 +332,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     name = f"foldwise_cut_{uuid.uuid4().hex}"
     cut.write.bucketBy(n_tasks, *key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     cut = spark.table(name)
+    told = cut.join(repeats, key, "left_anti") if some else cut
 
     member = cut.where("hashes is not null").select(*key, F.inline(F.arrays_zip("hashes", "digests", "packed"))).toDF(*key, "hash", "digest", "packed")
     kinds = member.groupBy("hash", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key, "packed")).alias("one"))
@@ -360,11 +366,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole = F.array(F.lit(0), (F.col("packed") % 1024).cast("int"))
     spans = member.join(hits, ["hash", "digest"]).select(*key, "packed", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs"))
     spans = spans.groupBy(key).agg(F.collect_list(F.struct("packed", "runs")).alias("spans"))
-    cleaned = cut.where("hashes is not null").select(*key, "doc_id", "data").join(spans, key, "left")
+    cleaned = told.where("hashes is not null").select(*key, "doc_id", "data").join(spans, key, "left")
     cleaned = cleaned.mapInPandas(_finish(match), "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<int>")
     zero = F.lit(0).cast("long")
-    clean = cut.where("hashes is null").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast("array<int>").alias("removed"))
-    return clean.unionByName(cleaned).withColumn("doc_id", F.col("doc_id").cast("long"))
+    clean = told.where("hashes is null").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast("array<int>").alias("removed"))
+    out = clean.unionByName(cleaned)
+    if some:
+        n = F.octet_length("text").cast("long")
+        gone = n >= match
+        whole = everything.join(repeats, key, "left_semi").select(
+            "doc_id", n.alias("n_bytes"), F.when(gone, n).otherwise(zero).alias("n_removed"), gone.cast("long").alias("n_spans"),
+            F.sha2(F.when(gone, "").otherwise(F.col("text")), 256).alias("kept_sha256"), F.when(gone, F.array(F.lit(0), n.cast("int"))).otherwise(F.array().cast("array<int>")).alias("removed"),
+        )
+        out = out.unionByName(whole)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 #: The whole result in SQL, by a hash of each window; slow.
