@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.llm.common import text_of
@@ -132,17 +132,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on labelled rows that are not held out, from a bounded sample by a hash of the id.
 
     At most ``per_class`` rows of each class, of texts of at most ``max_bytes`` (longer ones aren't cut but left out,
-    before the draw), reach the driver; weights restore the classes' shares. Null ids and labels are left out; labels
-    without a document don't count. A class all of whose texts are too long raises ValueError.
+    before the draw), reach the driver; weights restore the classes' shares. Of a class all of whose texts are longer, rows
+    reach it in the order of the hash while they have at most ``per_class * max_bytes`` bytes together, and one always.
+    Null ids and labels are left out; labels without a document don't count.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     fits = F.octet_length(text_of(text_col)) <= max_bytes
-    sized = docs.select(F.col(id_col).alias("id"), fits.alias("fits")).join(known, "id")
+    sized = docs.select(F.col(id_col).alias("id"), fits.alias("fits"), F.octet_length(text_of(text_col)).cast("long").alias("bytes")).join(known, "id")
     counts = {r["y"]: (r["n"], r["m"]) for r in sized.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if("fits").alias("m")).collect()}
     parts = []
     for y, (_, m) in sorted(counts.items()):
         if not m:
-            raise ValueError(f"no text of label {y} has at most {max_bytes} bytes")
+            first = sized.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
+            so_far = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            first = first.withColumn("sum", F.sum("bytes").over(so_far)).withColumn("r", F.row_number().over(so_far))
+            parts.append(first.where((F.col("sum") <= per_class * max_bytes) | (F.col("r") == 1)).select("id", "y").distinct())
+            continue
         share = min(1.0, per_class / m)
         dealt = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
         parts.append(sized.where(F.col("fits") & (F.col("y") == y) & dealt).select("id", "y").distinct().limit(per_class + per_class // 4))
@@ -151,7 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = parts[0]
     for part in parts[1:]:
         sample = sample.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where(F.octet_length("text") <= max_bytes)
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    if all(m for _, m in counts.values()):
+        rows = rows.where(F.octet_length("text") <= max_bytes)
     got = rows.join(F.broadcast(sample), "id").limit(4 * per_class).collect()
     got = sorted({(r["id"], r["text"], r["y"]) for r in got})
     used = {y: sum(r[2] == y for r in got) for y in counts}

@@ -589,8 +589,9 @@ def test_classifier_takes_every_class_into_its_sample(spark):
     out = {r["doc_id"]: r for r in quality_cnn.classify(docs, labels).collect()}
     assert len(out) == 201 and out[None]["held_out"] is False
     assert sum(out[i]["predicted"] == i % 2 for i, _ in texts) >= 190
-    with pytest.raises(ValueError):
-        quality_cnn.fit(docs.where("length(text) > 100 or doc_id % 2 = 0"), labels)
+    long = docs.where("length(text) > 100 or doc_id % 2 = 0")  # all texts of label 1 are over the bound
+    out = {r["doc_id"]: r["predicted"] for r in quality_cnn.classify(long, labels).where("doc_id is not null").collect()}
+    assert sum(out[i] == i % 2 for i in out) >= 0.9 * len(out)
 
 
 def test_classifier_scores_as_plain_loops_do():
