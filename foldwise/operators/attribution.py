@@ -188,7 +188,12 @@ def tree_contributions_of(x: np.ndarray, trees: list[dict]) -> np.ndarray:
 
 def tree_contributions(df: DataFrame, model, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """``keys, feature, phi`` of a fitted forest or boosted trees, scored in Arrow batches."""
-    trees, names = tree_arrays(model), list(features)
+    return contributions_of_trees(df, tree_arrays(model), features, keys)
+
+
+def contributions_of_trees(df: DataFrame, trees: list[dict], features: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``keys, feature, phi`` of trees given as node arrays."""
+    names = list(features)
 
     @F.pandas_udf("array<double>")
     def phi(*columns: pd.Series) -> pd.Series:

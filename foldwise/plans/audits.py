@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import formulas as fx
 from foldwise.functions.hashing import uniform
-from foldwise.operators import attribution, checks, contaminate, joins, metrics, ranking, rollup, sealed, splits, stats
+from foldwise.operators import attribution, checks, contaminate, forests, joins, manyfits, metrics, ranking, rollup, sealed, splits, stats
 from foldwise.plans import models, queries
 from foldwise.plans.simulate import POPULATION, SCENARIOS, simulate
 from foldwise.sources.scratch import written
@@ -394,32 +394,110 @@ def _ml_audit(name: str, **options):
 
 
 QUERIES["m_lr"] = _ml_audit("lr")
-QUERIES["m_rf"] = _ml_audit("rf")
 QUERIES["m_gbt"] = _ml_audit("xgb")
 QUERIES["m_linear_svm"] = _ml_audit("linear_svm")
 
 
+def kernel_scores(d: DataFrame, features: Sequence[str], row: str, fold: str, label, landmarks: int = 50, folds: int = FOLDS) -> tuple[DataFrame, list[float]]:
+    """Rows with ``score``, from kernel machines of the other folds calibrated by Platt's method, and each fold's kernel error.
+
+    Columns are standardised and landmarks drawn (by the smallest hashes) from each round's training rows. Platt's line is fitted to
+    training rows scored out of fold. All machines of all rounds are fitted side by side, and so are all lines.
+    ``label(k)`` is the label's column in round k.
+    """
+    xs, p = [f"x{j}" for j in range(len(features))], len(features)
+    rows = d.select(F.col(row).alias("row"), F.col(fold).alias("fold"), *[F.col(f).cast("double").alias(x) for f, x in zip(features, xs)], *[label(k).cast("int").alias(f"y{k}") for k in range(folds)]).dropna()
+    rows = written(rows.withColumn("u", uniform("row", seed="landmarks")), "rows")
+
+    def rounds(pdf):
+        x, of = manyfits.with_ones(pdf, xs), pdf["fold"].to_numpy()
+        for k in range(folds):
+            yield k, x, pdf[f"y{k}"].to_numpy(float), of
+
+    about = manyfits.moments(rows, folds, p + 1, lambda pdf: ((k, x[of != k], y[of != k], np.ones((of != k).sum())) for k, x, y, of in rounds(pdf)))
+    first = rows.orderBy("u", "row").select("fold", *xs).limit(4 * landmarks * folds).collect()  # a bounded number of rows
+    maps = []
+    for k in range(folds):
+        points = np.array([r[1:] for r in first if r["fold"] != k][:landmarks], float).reshape(-1, p)
+        maps.append(models.Landmarks(points, about["mean"][k, 1:], about["sd"][k, 1:]))
+    size, width = folds * folds, landmarks + 1
+    z = lambda k, x: np.column_stack([np.ones(len(x)), np.pad(maps[k](x[:, 1:]), ((0, 0), (0, landmarks - len(maps[k].points))))])
+
+    def training(pdf):
+        """Round k without fold j; j = k is the round's own machine."""
+        for k, x, y, of in rounds(pdf):
+            zk = z(k, x)
+            for j in range(folds):
+                on = (of != k) & (of != j)
+                yield k * folds + j, zk[on], y[on], np.ones(on.sum())
+
+    ridge = np.r_[0.0, np.ones(landmarks)]
+    w = manyfits.fit_many(rows, size, width, training, ridge, loss="squared_hinge")
+
+    def margins(pdf):
+        for k, x, y, of in rounds(pdf):
+            zk = z(k, x)
+            for j in range(folds):
+                on = of == j
+                if j != k:
+                    yield k, np.column_stack([np.ones(on.sum()), zk[on] @ w[k * folds + j]]), y[on], np.ones(on.sum())
+
+    line = manyfits.fit_many(rows, folds, 2, margins, np.full((folds, 2), 1e-9))
+    short = manyfits.sums(rows, folds, 2, lambda pdf: ((k, np.r_[(of == k).sum(), (1 - (z(k, x[of == k])[:, 1:] ** 2).sum(1)).sum()]) for k, x, y, of in rounds(pdf)))
+
+    def score(batches):
+        for pdf in batches:
+            for k, x, y, of in rounds(pdf):
+                on = of == k
+                if on.any():
+                    m = z(k, x[on]) @ w[k * folds + k]
+                    yield pdf.loc[on, ["row", "fold"]].assign(label=y[on].astype("int32"), margin=m, score=1 / (1 + np.exp(-np.clip(line[k, 0] + line[k, 1] * m, -500, 500))))
+
+    types = dict(rows.dtypes)
+    out = written(rows.mapInPandas(score, f"row {types['row']}, fold {types['fold']}, label int, margin double, score double"), "scored")
+    return out.withColumnRenamed("row", row), (short[:, 1] / np.maximum(short[:, 0], 1)).tolist()
+
+
 @query
 def m_kernel_svm(spark, sf_dir):
-    """A kernel machine by random Fourier features, calibrated by Platt's method: cross-validated means over the folds.
+    """A kernel machine on 50 landmarks, calibrated by Platt's method: cross-validated means over the folds, and the mean kernel error."""
+    f = queries.folded(spark, sf_dir)
+    cuts = {r["fold"]: r["threshold"] for r in sealed.fit_threshold(f, "y", 0.25, folds=FOLDS).collect()}
+    s, error = kernel_scores(f, PIPELINES["clean"], "rid", "fold", lambda k: F.col("y") <= F.lit(cuts[k]))
+    per = metrics.auroc(s, ["fold"], "score", "label").join(s.groupBy("fold").agg(metrics.brier("score", "label").alias("brier")), "fold")
+    return _over_folds(per, [], ["auroc", "brier"]).withColumn("kernel_error", F.lit(float(np.mean(error))))
 
-    Columns are standardised by each round's training rows; Platt's line is fitted to training rows scored out of fold.
-    """
-    in_round, f = _rounds(spark, sf_dir), PIPELINES["clean"]
 
-    def work(k: int) -> DataFrame:
-        d, inner = in_round(k).select("rid", "fold", "label", *f), [j for j in range(FOLDS) if j != k]
-        m = d.where(F.col("fold") != k).agg(*[g(c).alias(f"{x}{c}") for c in f for x, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
-        d = models.kernel_features(d.withColumns({c: (F.col(c) - F.lit(m[f"m{c}"])) / F.lit(m[f"s{c}"] or 1.0) for c in f}), f)
-        names = [c for c in d.columns if c.startswith("rff_")]
-        fitted = lambda folds: models.fit(d.where(F.col("fold").isin(folds)), "svm", names)
-        margin = lambda model, j: models.predict(model, d.where(F.col("fold") == j)).select("fold", "label", "score")
-        cal = models.platt(_union([margin(fitted([i for i in inner if i != j]), j) for j in inner]), "score", "label")
-        return models.calibrated(cal, margin(fitted(inner), k), "score")
+def _labelled_by_round(spark, sf_dir) -> DataFrame:
+    """The paired table with a label for each round, ``y0 ... y4``, cut by the round's training rows."""
+    f = queries.folded(spark, sf_dir)
+    cuts = {r["fold"]: r["threshold"] for r in sealed.fit_threshold(f, "y", 0.25, folds=FOLDS).collect()}
+    return written(f.select("rid", "fold", "a", "qty", "tax", "b", *[(F.col("y") <= F.lit(cuts[k])).cast("int").alias(f"y{k}") for k in range(FOLDS)]), "rounds")
 
-    s = written(_union(_each_fold(spark, work)), "scored")
-    per = metrics.auroc(s, ["fold"], "calibrated", "label").join(s.groupBy("fold").agg(metrics.brier("calibrated", "label").alias("brier")), "fold")
-    return _over_folds(per, [], ["auroc", "brier"])
+
+def _forests(d: DataFrame, pipelines: dict[str, Sequence[str]], trees: int) -> dict:
+    n = d.count() * (FOLDS - 1) // FOLDS
+    member = lambda pdf, k: (pdf["fold"].to_numpy() != k, pdf[f"y{k}"].to_numpy())
+    return forests.as_arrays(forests.forests(d, ["rid"], ["a", "qty", "tax", "b"], range(FOLDS), member, pipelines, n, trees, seed=models.SEED))
+
+
+@query
+def m_rf(spark, sf_dir, trees: int = 200):
+    """Forests of bounded bags, without a limit of depth, on the whole paired table, clean and leaking: means over the folds."""
+    d = _labelled_by_round(spark, sf_dir)
+    grown = spark.sparkContext.broadcast(_forests(d, PIPELINES, trees))
+
+    def score(batches):
+        for pdf in batches:
+            x, fold = pdf[["a", "qty", "tax", "b"]].to_numpy(float), pdf["fold"].to_numpy()
+            for k in np.unique(fold):
+                on = fold == k
+                for p in PIPELINES:
+                    yield pdf.loc[on, ["rid", "fold"]].assign(label=pdf.loc[on, f"y{k}"].astype("int32"), score=forests.predict(x[on], grown.value[k, p]), pipeline=p)
+
+    s, by = written(d.mapInPandas(score, "rid string, fold int, label int, score double, pipeline string"), "scored"), ["pipeline", "fold"]
+    per = metrics.auroc(s, by, "score", "label").join(metrics.average_precision(s, by, "score", "label"), by)
+    return _over_folds(per, ["pipeline"], ["auroc", "average_precision"]).withColumn("model", F.lit("rf"))
 
 
 @query
@@ -546,27 +624,43 @@ def m_meal_cohort(spark, sf_dir):
 
 
 @query
-def m_attribution(spark, sf_dir):
+def m_attribution(spark, sf_dir, trees: int = 100):
     """Mean |phi| and ranks of a forest (of 100 trees, as in the reference) and of a logistic model, clean and leaking, with distortions.
 
-    Every row of the paired table is explained by the model of its round, which was trained on the other folds.
+    Every row of the paired table is explained by the models of its round, which were trained on the other folds.
     """
-    in_round, pipelines = _rounds(spark, sf_dir), {"clean": PIPELINES["clean"], "leaky": PIPELINES["follow_up"]}
-
-    def work(k: int) -> dict:
-        d, out = in_round(k), {}
-        train, test = d.where(F.col("fold") != k), d.where(F.col("fold") == k)
-        for name in ("rf", "lr"):
-            for p, f in pipelines.items():
-                m = models.fit(train, name, f, **({"numTrees": 100} if name == "rf" else {})).stages[-1]
-                out[name, p] = attribution.tree_contributions(test, m, f, ["rid"]) if name == "rf" else attribution.linear_contributions(test, dict(zip(f, map(float, m.coefficients))), ["rid"])
-        return out
-
-    phi, parts = _each_fold(spark, work), []
+    d, pipelines = _labelled_by_round(spark, sf_dir), {"clean": PIPELINES["clean"], "leaky": PIPELINES["follow_up"]}
+    names, kinds = pipelines["leaky"], list(pipelines)
+    grown = _forests(d, pipelines, trees)
+
+    def training(pdf):
+        x, fold = manyfits.with_ones(pdf, names), pdf["fold"].to_numpy()
+        for k in range(FOLDS):
+            on = fold != k
+            for p in range(len(kinds)):
+                yield k * len(kinds) + p, x[on], pdf[f"y{k}"].to_numpy(float)[on], np.ones(on.sum())
+
+    size, width = FOLDS * len(kinds), len(names) + 1
+    about = manyfits.moments(d, size, width, training)
+    used = np.array([[True, *[c in pipelines[kinds[i % len(kinds)]] for c in names]] for i in range(size)])
+    w = manyfits.fit_many(d, size, width, training, manyfits.standard_ridge(about["sd"]), used)
+
+    def explained(name: str, p: str) -> DataFrame:
+        parts = []
+        for k in range(FOLDS):
+            test, i = d.where(F.col("fold") == k), k * len(kinds) + kinds.index(p)
+            if name == "rf":  # trees number all columns; those that a pipeline lacks have no part in them
+                parts.append(attribution.contributions_of_trees(test, grown[k, p], names, ["rid"]).where(F.col("feature").isin(*pipelines[p])))
+            else:
+                at = {c: j for j, c in enumerate(names, 1)}
+                parts.append(attribution.linear_contributions(test, {c: w[i, at[c]] for c in pipelines[p]}, ["rid"]))
+        return _union(parts)
+
+    parts = []
     for name in ("rf", "lr"):
-        ranks = {p: attribution.importance_ranks(attribution.mean_abs(_union([x[name, p] for x in phi]))) for p in pipelines}
+        ranks = {p: attribution.importance_ranks(attribution.mean_abs(explained(name, p))) for p in pipelines}
         parts.append(attribution.attribution_distortion(ranks["clean"], ranks["leaky"]).withColumn("classifier", F.lit(name)))
-    return _union(parts)
+    return written(_union(parts), "attribution")
 
 
 @query

@@ -74,6 +74,29 @@ def kernel_features(df: DataFrame, features: Sequence[str], gamma: float | None
     return df.withColumns(out)
 
 
+class Landmarks:
+    """Nystroem features of the Gaussian kernel: inner products of rows' features are the kernel as seen from a few landmarks.
+
+    A row's squared length falls short of 1 by its kernel error, which falls with the number of landmarks.
+    """
+
+    def __init__(self, points: np.ndarray, mean: np.ndarray, sd: np.ndarray, gamma: float | None = None) -> None:
+        self.mean, self.sd = mean, np.where(sd > 0, sd, 1.0)
+        self.points = (points - self.mean) / self.sd
+        self.gamma = gamma or 1.0 / points.shape[1]
+        value, vector = np.linalg.eigh(self._kernel(self.points))
+        keep = value > 1e-10 * max(value.max(initial=0.0), 1e-300)
+        self.root = np.zeros((len(points), len(points)))
+        self.root[:, keep] = vector[:, keep] / np.sqrt(value[keep])
+
+    def _kernel(self, x: np.ndarray) -> np.ndarray:
+        gap = (x * x).sum(1)[:, None] + (self.points * self.points).sum(1) - 2 * x @ self.points.T
+        return np.exp(-self.gamma * np.maximum(gap, 0))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self._kernel((x - self.mean) / self.sd) @ self.root
+
+
 def platt(df: DataFrame, score: str, label: str):
     """An unpenalised logistic fit on the raw score."""
     return fit_one(df, score, label, LogisticRegression(regParam=0.0, maxIter=200, featuresCol="features", labelCol="__y"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import uniform_sql
-from foldwise.operators import checks, contaminate, joins, metrics, ranking, rollup, splits, stats
+from foldwise.operators import checks, contaminate, joins, manyfits, metrics, ranking, resample, rollup, splits, stats
 from foldwise.operators.sealed import fit_percentiles
-from foldwise.plans.queries import BOUNDS, FOLDED, FOLDS, GRID_490, JUDGED, ORACLES, PAIRED, QUERIES, SEED, folded, judged, paired, query, r6
+from foldwise.plans.queries import BOUNDS, FOLDED, FOLDS, GRID_490, JUDGED, ORACLES, PAIRED, QUERIES, SCORED, SEED, folded, judged, paired, query, r6, scored
 from foldwise.plans.queries import _benefit_sql
 from foldwise.sources.tables import parquet
 
@@ -208,13 +208,30 @@ def fold_bounds_of_columns(spark, sf_dir):
 
 @query(
     "loso_threshold",
-    """WITH e AS (SELECT user_id, value FROM events WHERE value IS NOT NULL), u AS (SELECT DISTINCT user_id FROM e WHERE user_id < 20)
-SELECT u.user_id, CAST(count(*) AS BIGINT) AS n_train, round(avg(e.value), 6) AS train_mean FROM u, e WHERE e.user_id <> u.user_id GROUP BY u.user_id""",
+    """WITH e AS (SELECT user_id, value FROM events WHERE value IS NOT NULL), u AS (SELECT DISTINCT user_id FROM e)
+SELECT u.user_id, CAST(count(*) AS BIGINT) AS n_train, round(quantile_cont(e.value, 0.75), 6) AS threshold FROM u, e WHERE e.user_id <> u.user_id GROUP BY u.user_id""",
 )
 def loso_threshold(spark, sf_dir):
-    """What training on all other subjects gives, for the first subjects: totals less their own."""
-    e = parquet(spark, sf_dir, "events").where("value is not null")
-    total = e.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s")).first()
-    own = e.where("user_id < 20").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
-    n = F.lit(total["n"]) - F.col("n")
-    return own.select("user_id", n.alias("n_train"), r6((F.lit(total["s"]) - F.col("s")) / n).alias("train_mean"))
+    """The upper quartile of all other subjects' values, for every subject."""
+    e = parquet(spark, sf_dir, "events").select("user_id", "value")
+    out = manyfits.leave_one_out_percentiles(e, "user_id", "value", 0.75)
+    return out.select("user_id", F.col("n_rest").alias("n_train"), r6("threshold").alias("threshold"))
+
+
+@query(
+    "auroc_jackknife",
+    f"""WITH {SCORED},
+c AS (SELECT pipeline, fold, score, sum(label) AS pos, sum(1 - label) AS neg FROM s GROUP BY pipeline, fold, score),
+r AS (SELECT *, sum(pos) OVER g AS m1, sum(neg) OVER g AS m0, sum(neg) OVER o - neg / 2.0::DOUBLE AS b, sum(pos) OVER g - sum(pos) OVER o + pos / 2.0::DOUBLE AS a
+      FROM c WINDOW g AS (PARTITION BY pipeline, fold), o AS (PARTITION BY pipeline, fold ORDER BY score)),
+t AS (SELECT *, sum(pos * b) OVER (PARTITION BY pipeline, fold) / (m1 * m0) AS auc FROM r),
+j AS (SELECT *, (m1 * auc - b / m0) / (m1 - 1) AS j1, (m0 * auc - a / m1) / (m0 - 1) AS j0 FROM t),
+k AS (SELECT *, sum(pos * j1 + neg * j0) OVER (PARTITION BY pipeline, fold) / (m1 + m0) AS jm FROM j)
+SELECT pipeline, fold, CAST(max(m1 + m0) AS BIGINT) AS n, round(max(auc), 6) AS auroc, round(max(jm), 6) AS jack_mean,
+       round(sqrt((max(m1 + m0) - 1) / max(m1 + m0) * sum(pos * (jm - j1) ** 2 + neg * (jm - j0) ** 2)), 6) AS jack_se FROM k GROUP BY pipeline, fold""",
+)
+def auroc_jackknife(spark, sf_dir):
+    """AUROC without each row in turn, by fold and pipeline: mean and standard error, from placements in one ranking."""
+    placed = resample.auroc_placements(scored(spark, sf_dir), ["pipeline", "fold"], "score", "label")
+    out = resample.auroc_jackknife(placed, ["pipeline", "fold"])
+    return out.select("pipeline", "fold", "n", *[r6(x).alias(x) for x in ("auroc", "jack_mean", "jack_se")])

@@ -7,12 +7,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from foldwise.plans import audits, queries, readouts  # noqa: F401  the last registers with the second
+from foldwise.plans import audits, cohort_audits, queries, readouts  # noqa: F401  the last registers with the second
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = queries.ORACLES | audits.ORACLES
-QUERIES = queries.QUERIES | audits.QUERIES
+SQL = queries.ORACLES | audits.ORACLES | cohort_audits.ORACLES
+QUERIES = queries.QUERIES | audits.QUERIES | cohort_audits.QUERIES
 
 
 @pytest.fixture(scope="module")
