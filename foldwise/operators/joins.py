@@ -75,22 +75,55 @@ def interval_join(index: DataFrame, readings: DataFrame, by: Sequence[str], on:
     return out.where(F.col("n_readings") >= least)
 
 
+def interval_extremes(index: DataFrame, readings: DataFrame, by: Sequence[str], on: str, after: str, until: str, value: str, least: int = 1) -> DataFrame:
+    """Index rows with ``n_readings, low, peak`` of their group's values in ``(on + after, on + until]``; like :func:`interval_join`, without pairs.
+
+    Time is cut into slots as wide as the window, so a window is the end of one slot and the beginning of the next. Both ends are
+    stacked with the readings, and each takes the running count and extremes of its slot, from its end or up to it. A group of
+    any size is spread over its slots, and no row is multiplied. Null values don't count.
+    """
+    keys, width = list(index.columns), max(1, seconds(until) - seconds(after))
+    known = readings.where(F.col(value).isNotNull())
+    r = known.select(*by, F.col(on).alias("__t"), _slot(known, F.col(on), on, width).alias("__slot"), F.lit(1).alias("__side"), F.col(value).alias("__v"))
+    ends = []
+    for side, at in ((0, F.col(on) + F.expr(f"interval {after}")), (2, F.col(on) + F.expr(f"interval {until}"))):
+        ends.append(index.select(*by, at.alias("__t"), _slot(index, at, on, width).alias("__slot"), F.lit(side).alias("__side"), F.struct(*keys).alias("__i")))
+    both = r.unionByName(ends[0].unionByName(ends[1]), allowMissingColumns=True)
+    slot = Window.partitionBy(*by, "__slot")
+    # of equal times a reading is no part of what begins there, and part of what ends there: side 0, 1, 2 in time, and backwards
+    later = slot.orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sooner = slot.orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begin = F.col("__side") == 0
+    pick = lambda f: F.when(begin, f.over(later)).otherwise(f.over(sooner))
+    found = both.withColumns({"__n": pick(F.count("__v")), "__low": pick(F.min("__v")), "__peak": pick(F.max("__v"))}).where(F.col("__side") != 1)
+    out = found.groupBy("__i").agg(F.sum("__n").alias("n_readings"), F.min("__low").alias("low"), F.max("__peak").alias("peak"))
+    # rows that repeat all columns have each counted the same readings
+    times = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("__times")).select(F.struct(*keys).alias("__j"), "__times")
+    out = out.join(times, F.col("__i").eqNullSafe(F.col("__j"))).withColumn("n_readings", (F.col("n_readings") / F.col("__times")).cast("long"))
+    return out.where(F.col("n_readings") >= least).select("__i.*", "n_readings", "low", "peak")
+
+
 def no_event_between(pairs: DataFrame, events: DataFrame, by: Sequence[str], start: str, end: str, on: str, slot: str = "1 day") -> DataFrame:
     """Pairs without another event of their group strictly between start and end.
 
-    Pairs and events meet by group and time slot; a pair is looked up in each slot that it touches.
+    The group's first event after the start tells: it is in the start's slot, or heads the group's next slot that has any. So a
+    pair is looked up twice, however long it is. Pairs with a null in the group have no event.
     """
     width, columns = seconds(slot), pairs.columns
-    e = events.select(*[F.col(k).alias(f"__{k}") for k in by], F.col(on).alias("__t"), _slot(events, F.col(on), on, width).alias("__e_slot"))
-    p = pairs.withColumn("__slot", F.explode(F.sequence(_slot(pairs, F.col(start), start, width), F.greatest(_slot(pairs, F.col(start), start, width), _slot(pairs, F.col(end), end, width)))))
-    same = F.col("__slot") == F.col("__e_slot")
+    e = events.select(*by, F.col(on).alias("__t"), _slot(events, F.col(on), on, width).alias("__slot"), F.lit(0).alias("__side"), F.col(on).alias("__e")).dropna()
+    p = pairs.select(*by, F.col(start).alias("__t"), _slot(pairs, F.col(start), start, width).alias("__slot"), F.lit(1).alias("__side"), F.struct(*columns).alias("__p"))
+    ahead = Window.partitionBy(*by, "__slot").orderBy("__t", "__side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = e.unionByName(p, allowMissingColumns=True).withColumn("__next", F.first("__e", ignorenulls=True).over(ahead)).where(F.col("__side") == 1)
+    # a row for each slot of a group, with the first event of a later slot
+    slots = e.groupBy(*by, "__slot").agg(F.min("__e").alias("__head")).unionByName(p.select(*by, "__slot"), allowMissingColumns=True).groupBy(*by, "__slot").agg(F.min("__head").alias("__head"))
+    beyond = Window.partitionBy(*by).orderBy("__slot").rowsBetween(1, Window.unboundedFollowing)
+    heads = slots.withColumn("__later", F.first("__head", ignorenulls=True).over(beyond)).select(*[F.col(k).alias(f"__h_{k}") for k in by], F.col("__slot").alias("__h_slot"), "__later")
+    same = F.col("__slot").eqNullSafe(F.col("__h_slot"))
+    known = F.lit(True)
     for k in by:
-        same = same & (F.col(k) == F.col(f"__{k}"))
-    hit = p.join(e, same & (F.col("__t") > F.col(start)) & (F.col("__t") < F.col(end)), "left_semi").select(*columns).distinct().toDF(*[f"__x_{c}" for c in columns])
-    equal = F.lit(True)
-    for c in columns:
-        equal = equal & F.col(c).eqNullSafe(F.col(f"__x_{c}"))
-    return pairs.join(hit, equal, "left_anti")
+        same, known = same & F.col(k).eqNullSafe(F.col(f"__h_{k}")), known & F.col(k).isNotNull()
+    found = found.join(heads, same, "left").withColumn("__next", F.when(known, F.coalesce("__next", "__later")))
+    return found.where(F.col("__next").isNull() | ~F.coalesce(F.col("__next") < F.col(f"__p.{end}"), F.lit(False))).select("__p.*")
 
 
 def first_in_group(df: DataFrame, by: Sequence[str], on: str, name: str) -> DataFrame:

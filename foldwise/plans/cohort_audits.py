@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +17,11 @@ from pyspark.sql import functions as F
 from foldwise.functions import formulas as fx
 from foldwise.operators import attribution, joins, manyfits, metrics, ranking, resample, rollup, splits
 from foldwise.plans import audits, queries
-from foldwise.sources.scratch import written
+from foldwise.functions.hashing import uniform_sql
+from foldwise.sources import table_functions
+from foldwise.sources.scratch import shared_dir, written
+from foldwise.sources.sinks import resume_cells
+from foldwise.sources.tables import parquet
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -373,3 +379,91 @@ def m_cohort_attribution(spark, sf_dir, resamples: int = 200):
 def m_auroc_bca(spark, sf_dir, resamples: int = 1000):
     """Bias-corrected and accelerated intervals of AUROC by fold and pipeline of the paired table."""
     return resample.auroc_bca(queries.scored(spark, sf_dir), ["pipeline", "fold"], ["rid"], "score", "label", resamples)
+
+
+# -- cohorts, resumed work, SQL and streams -----------------------------------
+
+
+@query
+def meal_cohort(spark, sf_dir):
+    """Meals of the user's denser sensor: pre-meal value, readings, peak and rise over the next day, and the meal's type by its hour."""
+    e = queries.events(spark, sf_dir)
+    first = F.col("event_type").isin("view", "click")
+    both = e.select("event_id", "user_id", "ts", F.when(first, F.col("value")).alias("libre"), F.when(~first, F.col("value")).alias("dexcom"))
+    r = joins.denser_column(both, "user_id", "libre", "dexcom", "cgm").where("cgm is not null").select("user_id", "ts", F.col("cgm").alias("value"))
+    m = e.where("event_type = 'purchase' and value > 0").select("event_id", "user_id", "ts", F.col("value").alias("pre"))
+    out = joins.interval_extremes(m, r, ["user_id"], "ts", "15 minutes", "24 hours", "value", 2)
+    h = F.hour("ts")
+    kind = F.when(h.between(5, 10), "breakfast").when(h.between(11, 14), "lunch").when(h.between(17, 21), "dinner").otherwise("snack")
+    rise = fx.outcome("rise", F.col("pre"), F.col("peak"))
+    return out.where(rise >= -30).select("event_id", "user_id", queries.r6("pre").alias("pre"), "n_readings", queries.r6("peak").alias("peak"), queries.r6(rise).alias("rise"), kind.alias("meal_type"))
+
+
+ORACLES["meal_cohort"] = """WITH e AS (SELECT *, CASE WHEN event_type IN ('view', 'click') THEN value END AS libre, CASE WHEN event_type NOT IN ('view', 'click') THEN value END AS dexcom FROM events),
+n AS (SELECT user_id, count(libre) AS a, count(dexcom) AS b FROM e GROUP BY user_id),
+r AS (SELECT user_id, ts, CASE WHEN a >= b THEN libre ELSE dexcom END AS v FROM e JOIN n USING (user_id))
+SELECT m.event_id, m.user_id, round(m.value, 6) AS pre, CAST(count(*) AS BIGINT) AS n_readings, round(max(v), 6) AS peak, round(max(v) - m.value, 6) AS rise,
+  CASE WHEN hour(m.ts) BETWEEN 5 AND 10 THEN 'breakfast' WHEN hour(m.ts) BETWEEN 11 AND 14 THEN 'lunch' WHEN hour(m.ts) BETWEEN 17 AND 21 THEN 'dinner' ELSE 'snack' END AS meal_type
+FROM events m JOIN r ON m.user_id = r.user_id AND v IS NOT NULL AND r.ts > m.ts + INTERVAL 15 MINUTE AND r.ts <= m.ts + INTERVAL 24 HOUR
+WHERE m.event_type = 'purchase' AND m.value > 0 GROUP BY m.event_id, m.user_id, m.value, m.ts HAVING count(*) >= 2 AND max(v) - m.value >= -30"""
+
+
+@query
+def resumed_grid(spark, sf_dir):
+    """A grid of order status by priority done in two sittings: the second does what the first, stopped halfway, has not."""
+    o = parquet(spark, sf_dir, "orders")
+    grid = o.select("o_orderstatus", "o_orderpriority").dropna().distinct()
+
+    def work(cells: DataFrame) -> DataFrame:
+        of = o.join(cells, ["o_orderstatus", "o_orderpriority"], "left_semi").groupBy("o_orderstatus", "o_orderpriority")
+        return of.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
+
+    path = f"{shared_dir(spark)}/foldwise-grid-{uuid.uuid4().hex}"
+    half = grid.where(F.pmod(F.xxhash64("o_orderstatus", "o_orderpriority"), F.lit(2)) == 0)
+    resume_cells(half, ["o_orderstatus", "o_orderpriority"], work, path, 2)
+    return resume_cells(grid, ["o_orderstatus", "o_orderpriority"], work, path, 2)
+
+
+ORACLES["resumed_grid"] = "SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY ALL"
+
+
+@query
+def sql_fold_rounds(spark, sf_dir):
+    """Cross-validation rounds of all orders from SQL text, by a registered table function."""
+    table_functions.register(spark)
+    parquet(spark, sf_dir, "orders").createOrReplaceTempView("foldwise_orders")
+    return spark.sql(
+        "SELECT round, is_test, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM foldwise_orders, LATERAL fold_rounds(CAST(o_orderkey AS STRING), 5, '7') GROUP BY round, is_test"
+    )
+
+
+ORACLES["sql_fold_rounds"] = f"""WITH f AS (SELECT *, CAST(floor({uniform_sql("o_orderkey", seed="7")} * 5) AS INT) AS fold FROM orders)
+SELECT CAST(k AS INT) AS round, fold = k AS is_test, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice), 4) AS mean_price FROM f, range(5) t(k) GROUP BY k, fold = k"""
+
+
+@query
+def stream_event_pairs(spark, sf_dir):
+    """Purchases with the user's next error within four hours, by a stream-stream join over a replay of the events."""
+    schema = parquet(spark, sf_dir, "events").schema
+    home = f"{shared_dir(spark)}/foldwise-stream-{uuid.uuid4().hex}"
+
+    def side(kind: str, prefix: str) -> DataFrame:
+        e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).where(F.col("event_type") == kind)
+        e = e.select(F.col("event_id").alias(f"{prefix}event_id"), F.col("user_id").alias(f"{prefix}user"), F.col("ts").cast("timestamp").alias(f"{prefix}ts"), F.col("value").alias(f"{prefix}value"))
+        return e.withWatermark(f"{prefix}ts", "1 hour")
+
+    l, r = side("purchase", ""), side("error", "next_")
+    near = (F.col("next_ts") >= F.col("ts") + F.expr("interval 1 second")) & (F.col("next_ts") <= F.col("ts") + F.expr("interval 1 second + interval 4 hours"))
+    run = l.join(r, (F.col("user") == F.col("next_user")) & near).writeStream.format("parquet").option("path", f"{home}/pairs").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    # a purchase may pair with several errors, in any batch: the first in time is its own, whatever the batches were
+    nearest = F.min(F.struct("next_ts", "next_event_id", "next_value")).alias("m")
+    schema_out = "event_id long, user long, ts timestamp, value double, next_event_id long, next_user long, next_ts timestamp, next_value double"
+    out = spark.read.schema(schema_out).parquet(f"{home}/pairs").groupBy("event_id", F.col("user").alias("user_id"), "value").agg(nearest)
+    return out.select("event_id", "user_id", F.col("m.next_event_id").alias("next_event_id"), queries.r6(F.col("value") - F.col("m.next_value")).alias("drop"))
+
+
+ORACLES["stream_event_pairs"] = """SELECT event_id, user_id, next_event_id, round(value - next_value, 6) AS "drop" FROM (
+  SELECT l.event_id, l.user_id, l.value, r.event_id AS next_event_id, r.value AS next_value, row_number() OVER (PARTITION BY l.event_id ORDER BY r.ts, r.event_id) AS k
+  FROM events l JOIN events r ON l.user_id = r.user_id AND r.ts >= l.ts + INTERVAL 1 SECOND AND r.ts <= l.ts + INTERVAL 1 SECOND + INTERVAL 4 HOUR
+  WHERE l.event_type = 'purchase' AND r.event_type = 'error') WHERE k = 1"""

@@ -465,7 +465,7 @@ def range_window_peak(spark, sf_dir):
     e = events(spark, sf_dir)
     meals = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
     readings = e.where("value is not null").select("user_id", "ts", "value")
-    out = joins.interval_join(meals, readings, ["user_id"], "ts", "15 minutes", "24 hours", [F.max("r_value").alias("peak")], 2)
+    out = joins.interval_extremes(meals, readings, ["user_id"], "ts", "15 minutes", "24 hours", "value", 2)
     rise = fx.outcome("rise", F.col("value"), F.col("peak"))
     return out.where(rise >= -30).select("event_id", "user_id", "n_readings", "peak", r6(rise).alias("rise"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,42 @@ def resume(grid: DataFrame, done: DataFrame, keys: Sequence[str], work, path: st
     return left
 
 
+def resume_cells(grid: DataFrame, keys: Sequence[str], work, path: str, batches: int = 8) -> DataFrame:
+    """Do the cells of a grid that aren't done and return all cells' records; each cell counts once, whatever was interrupted.
+
+    ``work(cells)`` gives records with the keys. A batch of cells is written under its keys, replacing what an interrupted run
+    left there, and then marked as done under the same keys; only marked cells are read. A task or an executor that is lost
+    is Spark's to repeat, and a run that is stopped loses at most its last batch. Keys must not be null.
+    """
+    spark = grid.sparkSession
+    data, marks = f"{path}/cells", f"{path}/done"
+    grid = grid.select(*keys).distinct()
+
+    def put(df: DataFrame, at: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(at)
+
+    def marked() -> DataFrame:
+        types = dict(grid.dtypes)
+        try:
+            return spark.read.parquet(marks).select(*[F.col(k).cast(types[k]).alias(k) for k in keys])
+        except AnalysisException:  # nothing is done yet
+            return grid.where(F.lit(False))
+
+    def under(df: DataFrame) -> DataFrame:
+        return df.repartition(*keys)
+
+    batch = F.pmod(F.xxhash64(*keys), F.lit(batches))
+    for b in range(batches):
+        left = grid.where(batch == b).join(marked(), list(keys), "left_anti")
+        if left.limit(1).count():
+            put(under(work(left)), data)
+            put(under(left.withColumn("done", F.lit(True))), marks)
+    records = spark.read.parquet(data)
+    types = dict(grid.dtypes)
+    records = records.withColumns({k: F.col(k).cast(types[k]) for k in keys})
+    return records.join(marked(), list(keys), "left_semi")
+
+
 def sidecar(df: DataFrame, path: str, columns: Sequence[str], **facts) -> None:
     """A one-row JSON beside a table: its facts and each column's count, mean, sd, minimum and maximum."""
     stats = [F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("min"), F.max(c).alias("max")).alias(c) for c in columns]
