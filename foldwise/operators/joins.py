@@ -90,8 +90,8 @@ def interval_extremes(index: DataFrame, readings: DataFrame, by: Sequence[str],
         ends.append(index.select(*by, at.alias("__t"), _slot(index, at, on, width).alias("__slot"), F.lit(side).alias("__side"), F.struct(*keys).alias("__i")))
     both = r.unionByName(ends[0].unionByName(ends[1]), allowMissingColumns=True)
     slot = Window.partitionBy(*by, "__slot")
-    # of equal times a reading is no part of what begins there, and part of what ends there: side 0, 1, 2 in time, and backwards
-    later = slot.orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # of equal times a reading is no part of what begins there, which comes before it, but part of what ends there, which comes after
+    later = slot.orderBy(F.desc("__t"), "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sooner = slot.orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begin = F.col("__side") == 0
     pick = lambda f: F.when(begin, f.over(later)).otherwise(f.over(sooner))
