@@ -78,11 +78,11 @@ MEAL_PIPELINES = {"clean": MEAL_CLEAN, "peak_leak": (*MEAL_CLEAN, "peak"), "targ
 # -- grouped cross-validation -------------------------------------------------
 
 
-def grouped_scores(rows: DataFrame, tasks: Sequence[str], row: str, subject: str, outcome: str, pipelines: dict[str, Sequence[str]], q: float = 0.75, models: Sequence[str] = MODELS, folds: int = FOLDS, seed=SEED, c: float = 1.0) -> DataFrame:
+def grouped_scores(rows: DataFrame, tasks: Sequence[str], row: str, subject: str, outcome: str, pipelines: dict[str, Sequence[str]], q: float = 0.75, models: Sequence[str] = MODELS, folds: int = FOLDS, seed=SEED, c: float = 1.0, cut: float | None = None, balanced: bool = False) -> DataFrame:
     """``<tasks>, pipeline, model, fold, <row>, <subject>, label, score``: rows scored by models that never saw their subject.
 
-    Folds keep subjects whole and have alike shares of high outcomes. Labels are cut at the training rows' percentile, columns
-    standardised by the training rows. ``lr`` is logistic, ``linear_svm`` a squared-hinge machine whose margins are calibrated by
+    Folds keep subjects whole and have alike shares of high outcomes. Labels are cut at the training rows' percentile, or at
+    ``cut``; columns are standardised by the training rows, and ``balanced`` weighs a fit's classes equally. ``lr`` is logistic, ``linear_svm`` a squared-hinge machine whose margins are calibrated by
     Platt's method in three inner folds, averaged. The rule itself is the pipeline ``oracle``. Every fit of every task, pipeline
     and fold is one of the cells of :func:`manyfits.fit_many`. Rows with nulls are left out.
     """
@@ -92,11 +92,12 @@ def grouped_scores(rows: DataFrame, tasks: Sequence[str], row: str, subject: str
     rows = written(rows.withColumn("__task", F.concat_ws("|", *[F.col(t).cast("string") for t in tasks]) if tasks else F.lit("")), "rows")
     overall = ranking.percentiles(rows, ["__task"], "__v", {"__q": q})
     high = rows.join(F.broadcast(overall), "__task").withColumn("__y0", (F.col("__v") >= F.col("__q")).cast("int"))
+    high = high if cut is None else high.withColumn("__y0", (F.col("__v") >= F.lit(float(cut))).cast("int"))
     fold = splits.stratified_group_folds(high, "__subject", "__y0", folds, seed, "__fold").drop("__q", "__y0")
     inner = F.pmod(F.xxhash64("__row", F.lit(seed)), F.lit(INNER)).cast("int").alias("__inner")
     rows = written(fold.select("*", inner), "folded")
     each = rows.select("__task", "__fold", "__v", F.explode(F.array(*[F.lit(k) for k in range(folds)])).alias("k")).where(F.col("k") != F.col("__fold"))
-    cuts = {(r["__task"], r["k"]): r["q"] for r in ranking.percentiles(each, ["__task", "k"], "__v", {"q": q}).collect()}
+    cuts = {(r["__task"], r["k"]): r["q"] if cut is None else cut for r in ranking.percentiles(each, ["__task", "k"], "__v", {"q": q}).collect()}
     order = sorted({t for t, _ in cuts})
     at = {t: i for i, t in enumerate(order)}
     xs = [f"__x{j}" for j in range(len(names))]
@@ -112,7 +113,7 @@ def grouped_scores(rows: DataFrame, tasks: Sequence[str], row: str, subject: str
                 if (t, k) in cuts:
                     yield at[t], k, x, (v >= cuts[t, k]).astype(float), sub
 
-    def training(pdf: pd.DataFrame, weight=None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def training(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         for t, k, x, y, sub in parts(pdf):
             on = sub["__fold"].to_numpy() != k
             xk, yk, one = x[on], y[on], np.ones(on.sum())
@@ -121,9 +122,16 @@ def grouped_scores(rows: DataFrame, tasks: Sequence[str], row: str, subject: str
 
     about = manyfits.moments(rows, size, width, training)
     ridge = manyfits.standard_ridge(about["sd"], c)
+    weights = np.ones((2, size))  # of the classes, by fit
+    if balanced:
+        weights = about["n"] / (2 * np.maximum([about["n"] - about["pos"], about["pos"]], 1))
+
+    def weighed(members, per: int = 1):
+        return lambda pdf: ((i, x, y, one * np.where(y > 0, weights[1, i // per], weights[0, i // per])) for i, x, y, one in members(pdf))
+
     linear: dict[str, np.ndarray] = {}
     if "lr" in models:
-        linear["lr"] = manyfits.fit_many(rows, size, width, training, ridge, used)
+        linear["lr"] = manyfits.fit_many(rows, size, width, weighed(training), ridge, used)
     if "linear_svm" in models:
         # margins of a squared-hinge fit on two inner folds calibrate on the third
         def inner_training(pdf: pd.DataFrame, held: bool = False):
@@ -134,7 +142,7 @@ def grouped_scores(rows: DataFrame, tasks: Sequence[str], row: str, subject: str
                     for p in range(len(kinds)):
                         yield cell(t, p, k) * INNER + j, x[on], y[on], np.ones(on.sum())
 
-        w = manyfits.fit_many(rows, size * INNER, width, inner_training, np.repeat(ridge, INNER, 0), np.repeat(used, INNER, 0), "squared_hinge")
+        w = manyfits.fit_many(rows, size * INNER, width, weighed(inner_training, INNER), np.repeat(ridge, INNER, 0), np.repeat(used, INNER, 0), "squared_hinge")
         counts = manyfits.moments(rows, size * INNER, width, lambda pdf: inner_training(pdf, True))
         hi, lo = (counts["pos"] + 1) / (counts["pos"] + 2), 1 / (counts["n"] - counts["pos"] + 2)
 
@@ -200,6 +208,70 @@ def m_meal_models(spark, sf_dir):
     return grouped_audit(meals(spark, sf_dir), [], "event_id", "user_id", "rise", MEAL_PIPELINES)
 
 
+def order_outcomes(spark, sf_dir) -> DataFrame:
+    """Orders with an outcome for each of two horizons: closed with a price up to a limit, which status and price leak."""
+    o = parquet(spark, sf_dir, "orders").join(parquet(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    code = lambda c: F.ascii(F.substring(c, 1, 1)).cast("double")  # noqa: E731  first letters and digits tell the values apart
+    o = o.select(
+        "o_orderkey", "o_custkey", F.col("c_acctbal").alias("balance"), code("o_orderpriority").alias("priority"), code("c_mktsegment").alias("segment"),
+        F.month("o_orderdate").cast("double").alias("month"), F.col("o_totalprice").alias("price"), (F.col("o_orderstatus") == "F").cast("double").alias("closed"),
+    )
+    horizon = F.explode(F.array(F.lit(100000), F.lit(144000))).alias("horizon")
+    return o.select("*", horizon).withColumn("outcome", F.col("closed") * (F.col("price") <= F.col("horizon")).cast("double"))
+
+
+ORDER_CLEAN = ("balance", "priority", "segment", "month")
+ORDER_PIPELINES = {"clean": ORDER_CLEAN, "proxy": (*ORDER_CLEAN, "closed"), "leaky": (*ORDER_CLEAN, "closed", "price")}
+
+
+@query
+def m_status_models(spark, sf_dir):
+    """Status outcomes at two horizons: balanced models with clean, proxy and leaking columns, and the rule; folds keep customers whole."""
+    return grouped_audit(order_outcomes(spark, sf_dir), ["horizon"], "o_orderkey", "o_custkey", "outcome", ORDER_PIPELINES, cut=0.5, balanced=True)
+
+
+def calibration_lines(s: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
+    """``keys, intercept, slope`` of the label on the score's logit, for all groups side by side; nulls where a group has one class only."""
+    keys = list(keys)
+    groups = [tuple(r) for r in s.select(*keys).distinct().orderBy(*keys).collect()]
+    at = {g: i for i, g in enumerate(groups)}
+    rows = s.select(*keys, F.col(score).cast("double").alias("__s"), F.col(label).cast("int").alias("__y")).dropna()
+
+    def members(pdf: pd.DataFrame):
+        for g, part in pdf.groupby(keys, sort=False):
+            p = np.clip(part["__s"].to_numpy(), 1e-7, 1 - 1e-7)
+            yield at[g], np.column_stack([np.ones(len(part)), np.log(p / (1 - p))]), part["__y"].to_numpy(float), np.ones(len(part))
+
+    size = max(1, len(groups))
+    about = manyfits.moments(rows, size, 2, members)
+    w = manyfits.fit_many(rows, size, 2, members, np.zeros((size, 2)))
+    both = [0 < p < n for p, n in zip(about["pos"], about["n"])]
+    types = dict(s.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "intercept double, slope double"])
+    return s.sparkSession.createDataFrame([(*g, *(map(float, w[i]) if both[i] else (None, None))) for g, i in at.items()], schema)
+
+
+def calibration_table(s: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
+    """``keys, n, brier, ece, ece_deciles, intercept, slope`` of out-of-fold scores, for any number of groups at once."""
+    keys = list(keys)
+    edges = ranking.percentiles(s, keys, score, {f"__q{i}": i / 10 for i in range(11)})
+    cut = s.join(edges, keys)
+    bin_ = metrics.bin_of(F.col(score), [F.col(f"__q{i}") for i in range(11)])
+    bins = cut.withColumn("__bin", bin_).groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__n"), F.avg(score).alias("__m"), F.avg(F.col(label).cast("double")).alias("__p"))
+    deciles = bins.groupBy(*keys).agg((F.sum(F.col("__n") * F.abs(F.col("__p") - F.col("__m"))) / F.sum("__n")).alias("ece_deciles"))
+    out = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), metrics.brier(score, label).alias("brier"))
+    for more in (metrics.calibration_error(s, keys, score, label), deciles, calibration_lines(s, keys, score, label)):
+        out = out.join(more, keys)
+    return out
+
+
+@query
+def m_cohort_calibration(spark, sf_dir):
+    """Calibration of out-of-fold scores over event cohorts, pipelines and models."""
+    s = grouped_scores(event_pairs(spark, sf_dir), ["window", "cohort"], "event_id", "user_id", "drop", PAIR_PIPELINES)
+    return calibration_table(s.where("model <> 'rule'"), ["window", "cohort", "pipeline", "model"])
+
+
 # -- leave one subject out, and subjects resampled ----------------------------
 
 

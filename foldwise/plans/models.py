@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import uniform
-from foldwise.operators.ranking import bucket_of
-from foldwise.sources.scratch import written
+from foldwise.sources.scratch import forget, written
 
 SEED = 2026
 
@@ -227,58 +226,84 @@ def measured(p: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(auroc), float((pos[::-1] * tp / m).sum() / pos.sum()), float(((p - y) ** 2).mean())
 
 
-#: Distinct minority rows in one block of a neighbour search.
+#: Distinct points that a leaf of the neighbour search holds at most, unless they can't be cut.
 BLOCK_ROWS = 256
 
 
+def _leaves(points: DataFrame, xs: Sequence[str], least: int) -> tuple[DataFrame, int]:
+    """``points`` with ``leaf``, and the depth: nodes of a k-d tree, cut at medians of their widest column until small.
+
+    A level is two aggregates by node. A node stays whole where a side would have fewer than ``least`` points. Numbers go
+    from 1, a node's sides are twice its number and one more, and all leaves have numbers of the same depth.
+    """
+    at, depth = written(points.withColumn("leaf", F.lit(1).cast("long")), "kd"), 0
+    while depth < 60:
+        spread = F.array(*[F.max(x) - F.min(x) for x in xs])
+        nodes = at.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), spread.alias("w"), F.array(*[F.percentile_approx(x, 0.5, 1000) for x in xs]).alias("m"), F.array(*[F.max(x) for x in xs]).alias("top")).where(F.col("n") > BLOCK_ROWS)
+        widest = F.array_position("w", F.array_max("w")).cast("int")
+        nodes = nodes.withColumn("j", widest).select("leaf", "j", F.element_at("m", F.col("j")).alias("cut"), F.element_at("top", F.col("j")).alias("top"))
+        nodes = written(nodes, "cuts")
+        value = F.element_at(F.array(*[F.col(x) for x in xs]), F.col("j"))
+        # a median that is the largest value leaves what is below it on the left
+        right = (value > F.col("cut")) | ((F.col("cut") == F.col("top")) & (value == F.col("cut")))
+        sides = at.join(nodes, "leaf").groupBy("leaf").agg(F.count_if(right).alias("r"), F.count(F.lit(1)).alias("n"))
+        good = written(nodes.join(sides.where((F.col("r") >= least) & (F.col("n") - F.col("r") >= least)).select("leaf"), "leaf"), "cuts")
+        if not good.limit(1).count():
+            break
+        after = at.join(good, "leaf", "left").withColumn("leaf", F.col("leaf") * 2 + F.coalesce(right, F.lit(False)).cast("long")).drop("j", "cut", "top")
+        after = written(after, "kd")
+        forget(at, nodes, good)
+        at, depth = after, depth + 1
+    return at, depth
+
+
 def neighbours(rows: DataFrame, features: Sequence[str], k: int) -> DataFrame:
     """``__id, near``: the k nearest other rows of each row (ties by id), as ``array<struct<d, id, x>>``; exact at every size.
 
-    ``rows`` has ``__id`` and the features. Rows are cut into blocks along the first feature. A row meets its own block,
-    then in each round the next ones on either side, until its k-th distance is no more than the gap to what it
-    hasn't met. Rows with equal features are one point with a list of at most ``k + 1`` ids, so ties don't crowd a block.
+    ``rows`` has ``__id`` and the features. Points are the leaves of a k-d tree. A point's k-th distance within its leaf bounds how
+    far it has to look; leaves then go down the tree, level by level, to the leaves whose boxes are within their points'
+    bounds, and a point meets those whose box is within its own. Rows with equal features are one point with a list of
+    at most ``k + 1`` ids, so ties don't crowd a leaf.
     """
     names = list(features)
-    first_ids = Window.partitionBy(*names).orderBy("__id")
-    ids = rows.select("__id", *names).distinct().withColumn("__r", F.row_number().over(first_ids)).where(F.col("__r") <= k + 1)
-    points = written(ids.groupBy(*names).agg(F.sort_array(F.collect_list("__id")).alias("ids"), F.min("__id").alias("pid")), "points")
-    n = points.count()
-    first = names[0]
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    cuts = points.select(F.percentile_approx(F.col(first).cast("double"), [i / blocks for i in range(1, blocks)] or [0.5], 10 * blocks)).first()[0] or []
-    cuts = sorted(set(cuts)) if blocks > 1 else []
-    points = written(points.withColumn("block", bucket_of(F.col(first).cast("double"), cuts)), "points")
-    edges = points.groupBy("block").agg(F.min(first).alias("lo"), F.max(first).alias("hi"))
-    edges = written(edges, "edges")
-    last = edges.agg(F.max("block")).first()[0] or 0
-    other = points.select(F.col("block").alias("b2"), F.col("ids").alias("ids2"), F.struct(*names).alias("x2"))
-    state = points.select("pid", "ids", *names, "block", F.array().cast(f"array<struct<d:double,id:bigint,x:struct<{','.join(f'{c}:double' for c in names)}>>>").alias("near"))
-    done, radius = None, 0
-    while True:
-        reach = F.array(F.col("block")) if radius == 0 else F.array(F.col("block") - radius, F.col("block") + radius)
-        asked = state.withColumn("b", F.explode(reach)).where((F.col("b") >= 0) & (F.col("b") <= last))
-        gap = F.lit(0.0)
-        for c in names:
-            gap = gap + F.pow(F.col(c) - F.col(f"x2.{c}"), F.lit(2.0))
-        x2 = F.struct(*[F.col(f"x2.{c}").cast("double").alias(c) for c in names])
-        met = asked.join(other, F.col("b") == F.col("b2")).select("pid", F.explode(F.transform("ids2", lambda i: F.struct(gap.alias("d"), i.alias("id"), x2.alias("x")))).alias("m"))
-        best = Window.partitionBy("pid").orderBy("m.d", "m.id")
-        met = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).groupBy("pid").agg(F.collect_list("m").alias("more"))
-        state = state.join(met, "pid", "left").withColumn("near", F.slice(F.array_sort(F.concat("near", F.coalesce("more", F.array().cast(dict(state.dtypes)["near"])))), 1, k + 1)).drop("more")
-        before = edges.select((F.col("block") + radius + 1).alias("block"), F.col("hi").alias("below"))
-        after = edges.select((F.col("block") - radius - 1).alias("block"), F.col("lo").alias("above"))
-        state = state.join(before, "block", "left").join(after, "block", "left")
-        least = F.least(F.col(first) - F.col("below"), F.col("above") - F.col(first))  # to the nearest block not met; null: none is left
-        enough = F.size("near") > k
-        state = written(state.withColumn("open", least.isNotNull() & (~enough | (F.element_at("near", -1)["d"] > F.pow(least, F.lit(2.0))))).drop("below", "above"), "near")
-        part = state.where("not open").select("ids", "near")
-        done = part if done is None else done.unionByName(part)
-        state = state.where("open").drop("open")
-        radius += 1
-        if radius > last or not state.limit(1).count():
-            break
-    out = rows.select("__id", *names).join(done.withColumn("pid", F.col("ids")[0]).select("pid", "near").join(points.select("pid", *[F.col(c).alias(f"__p_{c}") for c in names]), "pid"), [F.col(c).eqNullSafe(F.col(f"__p_{c}")) for c in names])
-    return out.select("__id", F.slice(F.filter("near", lambda m: m["id"] != F.col("__id")), 1, k).alias("near"))
+    xs = [f"__f{j}" for j in range(len(names))]
+    rows = rows.select("__id", *[F.col(c).cast("double").alias(x) for c, x in zip(names, xs)])
+    first_ids = Window.partitionBy(*xs).orderBy("__id")
+    ids = rows.distinct().withColumn("__r", F.row_number().over(first_ids)).where(F.col("__r") <= k + 1)
+    points = ids.groupBy(*xs).agg(F.sort_array(F.collect_list("__id")).alias("ids"), F.min("__id").alias("pid"))
+    points, depth = _leaves(points, xs, k + 1)
+    kind = f"array<struct<d:double,id:bigint,x:struct<{','.join(f'`{c}`:double' for c in names)}>>>"
+    other = points.select("leaf", F.col("ids").alias("ids2"), F.struct(*[F.col(x).alias(c) for c, x in zip(names, xs)]).alias("x2"))
+    square = lambda c: F.pow(c, F.lit(2.0))
+    gap = sum((square(F.col(x) - F.col("x2")[c]) for c, x in zip(names, xs)), F.lit(0.0))
+
+    def best(asked: DataFrame) -> DataFrame:
+        """``pid, more``: of the points of the asked leaves the nearest ids."""
+        met = asked.join(other, "leaf").select("pid", F.explode(F.transform("ids2", lambda i: F.struct(gap.alias("d"), i.alias("id"), F.col("x2").alias("x")))).alias("m"))
+        order = Window.partitionBy("pid").orderBy("m.d", "m.id")
+        return met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("pid").agg(F.sort_array(F.collect_list("m")).cast(kind).alias("more"))
+
+    own = points.join(best(points.select("pid", *xs, "leaf")).withColumnRenamed("more", "near"), "pid")
+    reach = F.when(F.size("near") > k, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf")))
+    own = written(own.withColumn("reach", reach), "near")
+    box = lambda p: [f(x).alias(f"{p}{e}{j}") for j, x in enumerate(xs) for e, f in (("a", F.min), ("b", F.max))]
+    leaves = written(own.groupBy("leaf").agg(*box("l"), F.max("reach").alias("reach")), "leaves")
+    apart = lambda low, high, a, b: square(F.greatest(a - high, low - b, F.lit(0.0)))
+    pairs = leaves.select("leaf", *[c for c in leaves.columns if c[:2] in ("la", "lb")], "reach", F.lit(1).cast("long").alias("node"))
+    for level in range(1, depth + 1):
+        nodes = leaves.groupBy(F.shiftright("leaf", depth - level).alias("node")).agg(*[f(f"l{e}{j}").alias(f"n{e}{j}") for j in range(len(xs)) for e, f in (("a", F.min), ("b", F.max))])
+        far = sum((apart(F.col(f"la{j}"), F.col(f"lb{j}"), F.col(f"na{j}"), F.col(f"nb{j}")) for j in range(len(xs))), F.lit(0.0))
+        below = pairs.withColumn("node", F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)))
+        pairs = written(below.join(nodes, "node").where(far <= F.col("reach")).select(*pairs.columns), "frontier")
+    more = pairs.where(F.col("node") != F.col("leaf")).select("leaf", "node").join(leaves.select(F.col("leaf").alias("node"), *[c for c in leaves.columns if c[:2] in ("la", "lb")]), "node")
+    within = sum((apart(F.col(x), F.col(x), F.col(f"la{j}"), F.col(f"lb{j}")) for j, x in enumerate(xs)), F.lit(0.0))
+    asked = own.select("pid", *xs, "leaf", "reach").join(more, "leaf").where(within <= F.col("reach")).select("pid", *xs, F.col("node").alias("leaf"))
+    done = own.join(best(asked), "pid", "left").select("pid", *xs, F.slice(F.sort_array(F.concat("near", F.coalesce("more", F.array().cast(kind)))), 1, k + 1).alias("near"))
+    done = done.select(*[F.col(x).alias(f"__p{j}") for j, x in enumerate(xs)], "near")
+    same = F.lit(True)
+    for j, x in enumerate(xs):
+        same = same & F.col(x).eqNullSafe(F.col(f"__p{j}"))
+    return rows.join(done, same).select("__id", F.slice(F.filter("near", lambda m: m["id"] != F.col("__id")), 1, k).alias("near"))
 
 
 def smote(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], k: int = 5, seed=0) -> DataFrame:

@@ -56,6 +56,21 @@ def test_grouped_audit(spark, cohort):
     assert got.auroc["oracle", "rule"] == 1
 
 
+def test_balanced_fits_and_calibration_of_many_groups(spark, cohort):
+    d = spark.createDataFrame(cohort.assign(y=(cohort.v > 1.5).astype(float)))
+    s = cohort_audits.grouped_scores(d, ["w"], "id", "s", "y", {"clean": CLEAN}, models=["lr"], cut=0.5, balanced=True).where("model = 'lr'")
+    got = s.toPandas()
+    assert (got.label == (cohort.set_index("id").v > 1.5).loc[got.id].to_numpy()).all()
+    assert abs(got.score.mean() - 0.5) < 0.08 and got.label.mean() < 0.3  # equal weights move the mean score to a half
+    table = cohort_audits.calibration_table(s, ["w", "pipeline", "model"]).toPandas()
+    for _, r in table.iterrows():
+        one = s.where(F.col("w") == r.w)
+        a, b = metrics.calibration_line(one, "score", "label")
+        assert np.allclose([r.intercept, r.slope], [a, b], atol=1e-5)
+        deciles = metrics.calibration_error(one, [], "score", "label", metrics.quantile_edges(one, "score", 10)).first()["ece"]
+        assert np.isclose(r.ece_deciles, deciles) and np.isclose(r.ece, metrics.calibration_error(one, [], "score", "label").first()["ece"])
+
+
 def test_resampled_subjects_equal_plain_refits(spark, cohort):
     d = spark.createDataFrame(cohort)
     got = cohort_audits.resampled_subjects(d, "s", {"clean": CLEAN}, "v", 4).toPandas().sort_values("boot_id")

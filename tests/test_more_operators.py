@@ -130,6 +130,23 @@ def test_neighbours_are_exact_at_every_size(spark, block, monkeypatch):
         assert [m["id"] for m in r["near"]] == [i for _, i in want]
 
 
+def test_neighbours_beside_a_constant_column(spark):
+    """Leaves stay small where the first column tells nothing, a fifth of the rows tie and one lies far away."""
+    rng = np.random.default_rng(9)
+    x = np.column_stack([np.ones(6000), np.round(rng.normal(size=6000), 3), np.where(rng.random(6000) < 0.2, 7.0, rng.normal(size=6000))])
+    x[0] = 1, 900, 900
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "__id long, c double, x double, z double")
+    leaves, _ = models._leaves(rows.select(*[F.col(c).alias(f"f{j}") for j, c in enumerate("cxz")]), ["f0", "f1", "f2"], 4)
+    sizes = [r["count"] for r in leaves.groupBy("leaf").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= models.BLOCK_ROWS and min(sizes) >= 4
+    got = {r["__id"]: r["near"] for r in models.neighbours(rows, ["c", "x", "z"], 3).collect()}
+    assert len(got) == 6000
+    for i in [0, *range(1, 6000, 83)]:
+        d = ((x - x[i]) ** 2).sum(1)
+        want = sorted((round(float(v), 9), j) for j, v in enumerate(d) if j != i)[:3]
+        assert [m["id"] for m in got[i]] == [j for _, j in want], i
+
+
 def test_smote_lies_between_neighbours(spark):
     rng = random.Random(9)
     rows = [(i, rng.random(), rng.random(), int(i < 20)) for i in range(100)]
