@@ -285,12 +285,8 @@ def _finish(match: int):
             out = []
             for doc, data, spans in zip(b["doc_id"], b["data"], b["spans"]):
                 n = len(data)
-                edge = np.zeros(n + 1, np.int64)
-                for s in spans if spans is not None else ():
-                    lo = np.asarray(s["runs"][0::2]) + (s["packed"] >> 10)
-                    hi = np.asarray(s["runs"][1::2]) + (s["packed"] >> 10) + match - 1
-                    np.add.at(edge, lo, 1)
-                    np.add.at(edge, hi, -1)
+                at = np.asarray(spans if spans is not None else (), np.int64)
+                edge = np.bincount(at[0::2], minlength=n + 1) - np.bincount(at[1::2] + match - 1, minlength=n + 1)
                 gone = np.cumsum(edge)[:n] > 0
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 runs = _runs(gone)
@@ -364,8 +360,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         own = own.join(more, ["hash", "digest"], "left").select("hash", "digest", F.concat("runs", F.coalesce("more", F.array().cast("array<int>"))).alias("runs"))
     hits = kinds.join(own, ["hash", "digest"], "left").select("hash", "digest", "n", "runs").where("n > 1 or size(runs) > 0")
     whole = F.array(F.lit(0), (F.col("packed") % 1024).cast("int"))
-    spans = member.join(hits, ["hash", "digest"]).select(*key, "packed", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs"))
-    spans = spans.groupBy(key).agg(F.collect_list(F.struct("packed", "runs")).alias("spans"))
+    first = F.shiftright("packed", 10)  # of the segment in its text
+    runs = F.transform(F.when(F.col("n") > 1, whole).otherwise(F.col("runs")), lambda x: x + first)
+    spans = member.join(hits, ["hash", "digest"]).select(*key, runs.alias("runs"))
+    spans = spans.groupBy(key).agg(F.flatten(F.collect_list("runs")).alias("spans"))
     cleaned = told.where("hashes is not null").select(*key, "doc_id", "data").join(spans, key, "left")
     cleaned = cleaned.mapInPandas(_finish(match), "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<int>")
     zero = F.lit(0).cast("long")
