@@ -357,8 +357,8 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     so they hold for both texts. ``reverse`` with the same key gives the values back: by their ``spans`` if the table
     has them, which is always exact; otherwise values are found anew, and one beside another number can, by the
     chance of a checksum, be read with it. A card in fours before three more digits (4-4-4-4-3) is read as one of 19
-    digits where all of them pass Luhn, so nothing of such a card stays. Numbers that fail their validation stay as
-    they are. Null text counts as empty; repeated rows are each replaced; null ids stay null;
+    digits where all of them pass Luhn, so nothing of such a card stays. E-mail addresses keep their domain, dates their
+    year. Numbers that fail their validation stay as they are. Null text counts as empty; repeated rows are each replaced; null ids stay null;
     an empty table gives an empty result, and other columns are ignored.
     """
 
