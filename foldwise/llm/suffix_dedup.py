@@ -25,7 +25,7 @@ MIN_MATCH = 200
 #: Anchors are the least of consecutive hashes of so many bytes.
 GRAM = 64
 #: Bytes of segments in a shard, about, and different segments of one anchor in a shard.
-SHARD_BYTES, SHARD_SEGMENTS = 2_000_000, 2_000
+SHARD_BYTES, SHARD_SEGMENTS = 1_000_000, 2_000
 #: Windows merged in one task, about.
 MERGE_ROWS = 500_000
 
