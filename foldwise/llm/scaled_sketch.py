@@ -35,27 +35,31 @@ def sketch(text: Column, scale: int = SCALE, size: int = SHINGLE_WORDS, least: i
     """
     pad = F.array(*[F.lit("")] * (size - 1))
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    windows = lambda w: F.arrays_zip(*[F.slice(w, i + 1, F.size(w) - (size - 1)) for i in range(size)])
-    padded = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.concat(pad, w, pad)).otherwise(F.array().cast("array<string>")))
-    shingles = F.transform(padded, lambda w: F.when(F.size(w) > 0, windows(w)))[0]
-    hashes = F.transform(shingles, lambda s: F.shiftrightunsigned(F.xxhash64(s), 64 - HASH_BITS))
+
+    def hashed(padded: Column) -> Column:
+        shingle = lambda last, i: F.xxhash64(*[F.get(padded, i + k) for k in range(size - 1)], last)
+        lasts = F.slice(padded, F.lit(size), F.size(padded) - (size - 1))
+        return F.transform(lasts, lambda last, i: F.shiftrightunsigned(shingle(last, i), 64 - HASH_BITS))
+
+    hashes = let(words, lambda w: F.when(F.size(w) > 0, let(F.concat(pad, w, pad), hashed)))
     share, space = F.lit((1 << HASH_BITS) // scale), F.lit(1 << HASH_BITS)
 
     def limited(h: Column) -> Column:
         below = F.size(F.filter(h, lambda x: x < share))
         limit = F.when(below >= least, share).when(F.size(h) <= least, space).otherwise(F.get(h, F.lit(least - 1)) + 1)
-        return F.struct(limit.alias("limit"), F.filter(h, lambda x: x < limit).alias("hashes"))
+        # in order: a slice, as a filter would work the limit out for every hash
+        return F.struct(limit.alias("limit"), F.slice(h, F.lit(1), F.greatest(below, F.lit(least))).alias("hashes"))
 
     # texts of any length: only those with few hashes below the share are sorted in full
     kept = lambda a: F.when(F.size(F.filter(a, lambda x: x < share)) >= least, F.filter(a, lambda x: x < share)).otherwise(a)
-    return let(let(F.coalesce(hashes, F.array().cast("array<bigint>")), lambda a: F.array_sort(F.array_distinct(kept(a)))), limited)
+    return let(let(F.coalesce(hashes, F.array().cast("array<bigint>")), lambda a: F.sort_array(F.array_distinct(kept(a)))), limited)
 
 
 def as_string(s: Column) -> Column:
     """The limit in eleven hexadecimal digits and each hash in ten; empty for a text without words."""
-    digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
+    digits = lambda x, n: F.lpad(F.hex(x), n, "0")
     joined = F.array_join(F.transform(s["hashes"], lambda h: digits(h, HASH_BITS // 4)), "")
-    return F.when(F.size(s["hashes"]) > 0, F.concat(digits(s["limit"], HASH_BITS // 4 + 1), joined)).otherwise("")
+    return F.when(F.size(s["hashes"]) > 0, F.lower(F.concat(digits(s["limit"], HASH_BITS // 4 + 1), joined))).otherwise("")
 
 
 def _below(s: Column, limit: Column) -> Column:
