@@ -44,15 +44,19 @@ def sketch(text: Column, scale: int = SCALE, size: int = SHINGLE_WORDS, least: i
     hashes = let(words, lambda w: F.when(F.size(w) > 0, let(F.concat(pad, w, pad), hashed)))
     share, space = F.lit((1 << HASH_BITS) // scale), F.lit(1 << HASH_BITS)
 
-    def limited(h: Column) -> Column:
-        below = F.size(F.filter(h, lambda x: x < share))
-        limit = F.when(below >= least, share).when(F.size(h) <= least, space).otherwise(F.get(h, F.lit(least - 1)) + 1)
+    ordered = lambda h: F.sort_array(F.array_distinct(h))
+
+    def lowest(h: Column) -> Column:
         # in order: a slice, as a filter would work the limit out for every hash
-        return F.struct(limit.alias("limit"), F.slice(h, F.lit(1), F.greatest(below, F.lit(least))).alias("hashes"))
+        limit = F.when(F.size(h) <= least, space).otherwise(F.get(h, F.lit(least - 1)) + 1)
+        return F.struct(limit.alias("limit"), F.slice(h, 1, least).alias("hashes"))
+
+    def limited(h: Column) -> Column:
+        # texts of any length: only those with few distinct hashes below the share are sorted in full
+        enough = lambda below: F.when(F.size(below) >= least, F.struct(share.alias("limit"), below.alias("hashes"))).otherwise(let(ordered(h), lowest))
+        return let(ordered(F.filter(h, lambda x: x < share)), enough)
 
-    # texts of any length: only those with few hashes below the share are sorted in full
-    kept = lambda a: F.when(F.size(F.filter(a, lambda x: x < share)) >= least, F.filter(a, lambda x: x < share)).otherwise(a)
-    return let(let(F.coalesce(hashes, F.array().cast("array<bigint>")), lambda a: F.sort_array(F.array_distinct(kept(a)))), limited)
+    return let(F.coalesce(hashes, F.array().cast("array<bigint>")), limited)
 
 
 def as_string(s: Column) -> Column:
