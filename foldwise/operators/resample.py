@@ -114,8 +114,8 @@ def auroc_bca(df: DataFrame, keys: Sequence[str], row: Sequence[str], score: str
     """``keys, n, auroc, ci_low, ci_high``: bias-corrected and accelerated intervals, the acceleration by the exact jackknife.
 
     Replicates weigh rows by Poisson(1) draws, made in the task by a hash of ``row``; a replicate is the weighted mean placement
-    of each class, added, less AUROC, which is AUROC of the draws up to terms of order 1 / n. All groups' replicates are four sums each, in
-    one pass. Groups, a few rows on the driver, whose classes have fewer than two rows have no interval.
+    of each class, added, less AUROC, which is AUROC of the draws up to terms of order 1 / n. All groups' replicates are four sums each, a
+    matrix product of draws and placements. Groups, a few rows on the driver, whose classes have fewer than two rows have no interval.
     """
     from foldwise.functions.special import normal_cdf, normal_ppf
     from foldwise.operators import manyfits
@@ -125,21 +125,29 @@ def auroc_bca(df: DataFrame, keys: Sequence[str], row: Sequence[str], score: str
     known = [r for r in auroc_jackknife(placed, keys).collect()]
     at = {tuple(r[k] for k in keys): i for i, r in enumerate(known)}
     rows = df.select(*keys, F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("__y"), F.xxhash64(*row).alias("__u"))
-    rows = written(rows.join(placed.select(*keys, "score", "v_pos", "v_neg"), [*keys, "score"]), "placed")
+    rows = rows.join(placed.select(*keys, "score", "v_pos", "v_neg"), [*keys, "score"])
+    rows = rows.select("__u", "__y", *keys, F.when(F.col("__y") == 1, F.col("v_pos")).otherwise(F.col("v_neg")).alias("v"))
+    # a row's draws are made once for all its groups
+    rows = written(rows.repartition("__u").sortWithinPartitions("__u"), "placed")
 
-    def of(pdf):
+    def of(pdf, block: int = 512):
         import numpy as np
 
-        groups = pdf.groupby(list(keys), sort=False) if keys else [((), pdf)]
-        for key, part in groups:
-            i = at[key if isinstance(key, tuple) else (key,)]
-            u, y = part["__u"].to_numpy(), part["__y"].to_numpy() == 1
-            v = np.where(y, part["v_pos"], part["v_neg"])
-            for b in range(resamples):
-                w = manyfits.poisson_weights(u, b)
-                yield i * resamples + b, np.array([(w * y).sum(), (w * y) @ v, (w * ~y).sum(), (w * ~y) @ v])
-
-    got = manyfits.sums(rows, max(1, len(known) * resamples), 4, of).reshape(-1, resamples, 4)
+        unit, unit_at = np.unique(pdf["__u"].to_numpy(), return_inverse=True)
+        group = np.zeros(len(pdf), int)
+        for key, idx in pdf.groupby(list(keys), sort=False).indices.items() if keys else ():
+            group[idx] = at[key if isinstance(key, tuple) else (key,)]
+        y, v = pdf["__y"].to_numpy() == 1, pdf["v"].to_numpy()
+        met, place = np.unique(group, return_inverse=True)
+        width, total = 4 * len(met), np.zeros((4 * len(met), resamples))
+        cell = unit_at * width + place * 4 + np.where(y, 0, 2)
+        z = np.bincount(np.r_[cell, cell + 1], np.r_[np.ones(len(v)), v], len(unit) * width).reshape(-1, width)
+        for lo in range(0, len(unit), block):
+            total += z[lo : lo + block].T @ manyfits.poisson_draws(unit[lo : lo + block], range(resamples)).T
+        for i, part in zip(met, total.reshape(len(met), 4, resamples)):
+            yield i, part.T.ravel()
+
+    got = manyfits.sums(rows, max(1, len(known)), 4 * resamples, of).reshape(-1, resamples, 4)
     out = []
     for i, r in enumerate(known):
         low = high = None

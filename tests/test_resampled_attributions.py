@@ -44,3 +44,28 @@ def test_draws_at_once_are_the_draws_one_by_one():
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
         assert np.array_equal(row, np.searchsorted(manyfits._POISSON, u, "right"))
+
+
+def test_rows_in_several_groups_are_drawn_once(spark, monkeypatch):
+    from foldwise.operators import resample
+
+    rng = np.random.default_rng(6)
+    t = pd.DataFrame({"id": np.arange(300), "y": rng.integers(0, 2, 300)})
+    long = pd.concat([t.assign(k=k, s=np.round(t.y + rng.normal(size=300) * (k + 1), 1)) for k in range(3)])
+    drawn = []
+    real_sums, real_draws = manyfits.sums, manyfits.poisson_draws
+
+    def here(rows, size, width, of):  # in this process, to count
+        total = np.zeros((size, width))
+        for i, v in of(rows.toPandas()):
+            total[i] += v
+        return total
+
+    monkeypatch.setattr(manyfits, "poisson_draws", lambda u, b: drawn.append(len(u) * len(b)) or real_draws(u, b))
+    monkeypatch.setattr(manyfits, "sums", here)
+    got = {r["k"]: r for r in resample.auroc_bca(spark.createDataFrame(long), ["k"], ["id"], "s", "y", 50).collect()}
+    assert sum(drawn) == 300 * 50
+    monkeypatch.setattr(manyfits, "sums", real_sums)
+    for k in range(3):
+        one = resample.auroc_bca(spark.createDataFrame(long[long.k == k]), ["k"], ["id"], "s", "y", 50).first()
+        assert np.allclose([got[k][c] for c in ("auroc", "ci_low", "ci_high")], [one[c] for c in ("auroc", "ci_low", "ci_high")], atol=1e-12)
